@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import chat, mixing, sharding, simhash
 from .common import table
 
 
@@ -22,9 +22,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slotted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat.digests(chat.read_back(chat.windows(turns.unionByName(own))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op5_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op5_sharding, op8_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": chat.SQL}
