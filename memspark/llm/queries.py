@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash, warc
+from . import chat, mixing, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -33,8 +33,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.windows(turns.unionByName(own))))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op8_chat)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op8_chat, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
