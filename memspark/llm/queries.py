@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash, toxicity, warc
+from . import chat, mixing, pieces, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.windows(turns.unionByName(own))))
 
 
+#: A vocabulary of merges with byte fallback; only the driver reads the file.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = pieces.encoded(docs.withColumn("text_crc32", crc), pieces.load(VOCABULARY))
+    return found.select("doc_id", "n_ids", "ids", "text_crc32", "decoded_crc32")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -41,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op8_chat, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op8_chat, op9_sentencepiece, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
