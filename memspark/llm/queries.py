@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, mixing, pieces, sharding, simhash, toxicity, warc
+from . import audio, chat, mixing, nearest, pieces, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slotted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op6_nearest, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
