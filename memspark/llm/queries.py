@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, mixing, nearest, pieces, sharding, simhash, toxicity, warc
+from . import audio, chat, mixing, nearest, pieces, sharding, simhash, style_tree, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op4_warc, op5_sharding, op6_nearest, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_warc, op5_sharding, op6_nearest, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
