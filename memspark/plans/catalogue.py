@@ -2,10 +2,562 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memspark.functions import temporal, text, vector
+from memspark.operators import clusters, evaluate, filters, links, provenance, recall, resolve
+from memspark.schemas import RecallConfig
+
+from . import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# Thresholds that select pairs of the driver's vectors, which are nearly orthogonal.
+SEMANTIC, CLUSTER, OPINION, NEAR_NAME = 0.30, 0.40, 0.25, (0.1, 0.3)
+NOW = "2024-02-01 12:00:00"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query by its name, with its SQL; tables in braces are the fixtures'."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: fixtures.build(spark, sf_dir, name))
+        if sql:
+            ORACLES[f.__name__] = fixtures.duckdb(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
+
+
+def _cos(a: str, b: str) -> str:
+    return _COS.replace("{a}", a).replace("{b}", b)
+
+
+def _semantic_sql(k: int, where: str = "true", source: str = "semantic") -> str:
+    return f"""SELECT query_id, fact_id, score, rank - 1 AS rank, '{source}' AS source FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM (
+          SELECT q.query_id, f.fact_id, round({_cos('q.embedding', 'f.embedding')}, 4) AS score
+          FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id WHERE {where})) WHERE rank <= {k}"""
+
+
+def _now_queries(t: Callable) -> DataFrame:
+    """The queries with a now and a text of their first two words, as the keyword channel reads them."""
+    two = F.array_join(F.slice(text.words(F.col("full_text")), 1, 2), " ")
+    return t("queries").withColumns({"text": two, "now": F.lit(NOW).cast("timestamp_ntz"), "anchor_start": F.lit("2024-01-01").cast("timestamp_ntz"), "anchor_end": F.lit("2024-01-15").cast("timestamp_ntz")})
+
+
+_KEYWORD_SQL = """SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'keyword' AS source FROM (
+    SELECT q.query_id, x.fact_id, CAST(sum(x.tf) AS DOUBLE) AS score FROM
+      (SELECT DISTINCT query_id, bank_id, unnest(list_slice(regexp_extract_all(lower(full_text), '[a-z]+'), 1, 2)) AS term FROM {queries}) q
+      JOIN (SELECT bank_id, fact_id, term, count(*) AS tf FROM (SELECT bank_id, fact_id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS term FROM {facts}) GROUP BY 1, 2, 3) x
+      ON x.bank_id = q.bank_id AND x.term = q.term
+    GROUP BY q.query_id, x.fact_id
+    HAVING count(*) = (SELECT len(list_distinct(list_slice(regexp_extract_all(lower(full_text), '[a-z]+'), 1, 2))) FROM {queries} z WHERE z.query_id = q.query_id))
+  QUALIFY rank < 40"""
+_MIDDLE = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN epoch_us({a}) - epoch_us(n) + trunc((epoch_us({b}) - epoch_us({a})) / 2.0) ELSE coalesce(epoch_us({a}), epoch_us({b})) - epoch_us(n) END"
+_TEMPORAL_SQL = f"""SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'temporal' AS source FROM (
+    SELECT query_id, fact_id, round(1 / (1 + 0.01::DOUBLE * floor(abs(coalesce({_MIDDLE.replace('{a}', 'temporal_start').replace('{b}', 'temporal_end')}, 0)
+      - ({_MIDDLE.replace('{a}', 'f0').replace('{b}', 't0')})) / 86400000000)), 4) AS score
+    FROM (SELECT *, TIMESTAMP '{NOW}' AS n, TIMESTAMP '2024-01-01' AS f0, TIMESTAMP '2024-01-15' AS t0 FROM {{queries}}) q JOIN {{facts}} f ON f.bank_id = q.bank_id
+    WHERE (temporal_start IS NULL OR temporal_start <= t0) AND (temporal_end IS NULL OR temporal_end >= f0))"""
+
+_EDGES = "SELECT source_id AS node, target_id AS nbr, link_type, weight FROM {graph_links} UNION ALL SELECT target_id, source_id, link_type, weight FROM {graph_links}"
+
+
+def _activation_sql(decay: float = 0.7, boost: float = 1.5, threshold: float = 0.1) -> str:
+    """Three levels, unrolled: a level's frontier is what the level before reached first."""
+    parts = [f"ed AS ({_EDGES})", f"f0 AS (SELECT query_id, fact_id AS node, score AS act, rank AS ord FROM ({_semantic_sql(10)}))", "s0 AS (SELECT query_id, node FROM f0)"]
+    for h in range(3):
+        parts.append(
+            f"r{h} AS (SELECT f.query_id, e.nbr AS node, f.act * e.weight * (CASE WHEN e.link_type = 'causal' THEN {boost}::DOUBLE ELSE 1.0::DOUBLE END) * {decay}::DOUBLE AS act, "
+            f"row_number() OVER (PARTITION BY f.query_id ORDER BY f.ord, e.weight DESC, e.link_type, e.nbr) AS pos FROM f{h} f JOIN ed e ON e.node = f.node)"
+        )
+        if h < 2:
+            parts.append(
+                f"f{h + 1} AS (SELECT query_id, node, arg_min(act, pos) AS act, min(pos) AS ord FROM r{h} r WHERE act >= {threshold} "
+                f"AND NOT EXISTS (SELECT 1 FROM s{h} s WHERE s.query_id = r.query_id AND s.node = r.node) GROUP BY query_id, node)"
+            )
+            parts.append(f"s{h + 1} AS (SELECT * FROM s{h} UNION ALL SELECT query_id, node FROM f{h + 1})")
+    union = " UNION ALL ".join(f"SELECT query_id, node, act FROM {x} WHERE act >= {threshold}" if x != "f0" else "SELECT query_id, node, act FROM f0" for x in ("f0", "r0", "r1", "r2"))
+    parts.append(f"g AS (SELECT query_id, node AS fact_id, round(max(act), 4) AS score FROM ({union}) GROUP BY 1, 2)")
+    return "WITH " + ",\n".join(parts)
+
+
+_GRAPH = "SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'graph' AS source FROM g QUALIFY rank < 50"
+_CHANNELS = f"{_activation_sql()}, ch AS (SELECT * FROM ({_semantic_sql(40)}) UNION ALL SELECT * FROM ({_KEYWORD_SQL}) UNION ALL SELECT * FROM ({_GRAPH}) UNION ALL SELECT * FROM ({_TEMPORAL_SQL}))"
+_FUSED = (
+    _CHANNELS + ", fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank FROM (SELECT query_id, fact_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score, "
+    "string_agg(source, ',' ORDER BY CASE source WHEN 'semantic' THEN 1 WHEN 'keyword' THEN 2 WHEN 'graph' THEN 3 ELSE 4 END) AS sources FROM ch GROUP BY 1, 2))"
+)
+_WORDS = lambda c: text.words(c)
+
+
+@query(_semantic_sql(40))
+def semantic_topk_batch(t):
+    return recall.vector_topk(t("queries"), t("facts"), 40)
+
+
+@query("SELECT fact_id, score FROM (" + _semantic_sql(10) + ") WHERE query_id = 0")
+def semantic_topk(t):
+    return recall.vector_topk(t("queries").where("query_id = 0"), t("facts"), 10).select("fact_id", "score")
+
+
+@query(_semantic_sql(10, "f.network IN ('world', 'observation')"))
+def semantic_topk_network(t):
+    return recall.vector_topk(t("queries"), t("facts"), 10, ["world", "observation"])
+
+
+@query(_KEYWORD_SQL)
+def keyword_match_all(t):
+    return recall.keyword_topk(_now_queries(t), recall.inverted_index(t("facts"), _WORDS), _WORDS)
+
+
+@query(_TEMPORAL_SQL)
+def temporal_channel(t):
+    return recall.temporal_channel(recall.with_ranges(_now_queries(t)), t("facts"))
+
+
+@query(f"{_activation_sql()} {_GRAPH}")
+def graph_activation(t):
+    return recall.graph_channel(t("queries"), t("facts"), t("graph_links"))
+
+
+def _channels(t) -> DataFrame:
+    q = _now_queries(t)
+    out = recall.vector_topk(q, t("facts"), 40).unionByName(recall.keyword_topk(q, recall.inverted_index(t("facts"), _WORDS), _WORDS))
+    return out.unionByName(recall.graph_channel(q, t("facts"), t("graph_links"))).unionByName(recall.temporal_channel(recall.with_ranges(q), t("facts")))
+
+
+@query(f"{_FUSED} SELECT query_id, fact_id, score, rank, sources FROM fu")
+def rrf_fusion(t):
+    return recall.fuse(_channels(t)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"SELECT query_id, fact_id, used FROM (SELECT r.*, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM (SELECT s.*, ceil(octet_length(encode(content)) / 4.0)::BIGINT AS tokens FROM ({_semantic_sql(40)}) s JOIN {{facts}} f USING (fact_id)) r) WHERE used <= 1024")
+def recall_budget(t):
+    ranked = recall.vector_topk(t("queries"), t("facts"), 40).join(t("facts").select("fact_id", text.token_estimate(F.col("content")).alias("tokens")), "fact_id")
+    return recall.within_budget(ranked, 50, 1024).select("query_id", "fact_id", "used")
+
+
+_BUDGETED = "SELECT query_id, fact_id, score, rank, sources, tokens, used FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM (SELECT fu.*, ceil(octet_length(encode(content)) / 4.0)::BIGINT AS tokens FROM fu JOIN {facts} f USING (fact_id) WHERE rank < 50)) WHERE used <= 4096"
+
+
+@query(f"{_FUSED} {_BUDGETED}")
+def recall_full(t):
+    out = recall.recall(_now_queries(t), t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS, RecallConfig())
+    return out.withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) - 1 AS rank FROM ({_semantic_sql(40)})")
+def rerank_reverse(t):
+    return recall.reverse(recall.vector_topk(t("queries"), t("facts"), 40)).select("query_id", "fact_id", "rank")
+
+
+@query("SELECT fact_id, CASE WHEN temporal_start IS NULL THEN content ELSE '[Date: ' || strftime(temporal_start, '%B %-d, %Y') || ' (' || strftime(temporal_start, '%Y-%m-%d') || ')] ' || content END AS input FROM {facts}")
+def rerank_input(t):
+    return t("facts").select("fact_id", text.rerank_input(F.col("content"), F.col("temporal_start")).alias("input"))
+
+
+@query("SELECT doc_id, ceil(octet_length(encode(text)) / 4.0)::BIGINT AS tokens FROM {documents}")
+def token_estimate(t):
+    return t("documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT fact_id FROM {facts} f WHERE network IN ('world', 'experience') AND fact_type = 'world' AND (temporal_start IS NULL OR temporal_start <= TIMESTAMP '2024-01-20')
+  AND (temporal_end IS NULL OR temporal_end >= TIMESTAMP '2024-01-05') AND created_at >= TIMESTAMP '2024-01-02' AND consolidated_at IS NULL
+  AND EXISTS (SELECT 1 FROM {fact_entities} e WHERE e.fact_id = f.fact_id AND entity_id IN (3, 7, 11, 14, 21))""")
+def filter_facts(t):
+    arrays = t("fact_entities").groupBy("fact_id").agg(F.collect_list("entity_id").alias("entity_ids"))
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    where = filters.fact_filter(["world", "experience"], "world", at("2024-01-05"), at("2024-01-20"), at("2024-01-02"), True, [3, 7, 11, 14, 21])
+    return t("facts").join(arrays, "fact_id").where(where).select("fact_id")
+
+
+@query("SELECT fact_id, entity_id, bank_id FROM {fact_entities} WHERE entity_id IN (SELECT entity_id FROM {entities} WHERE entity_id % 4 = 1)")
+def entity_facts(t):
+    return filters.entity_facts(t("fact_entities"), t("entities").where("entity_id % 4 = 1").select("entity_id")).select("fact_id", "entity_id", "bank_id")
+
+
+@query("SELECT m.mention, min(e.entity_id) AS entity_id FROM (SELECT name AS mention FROM {entities} WHERE entity_id % 2 = 0 UNION SELECT alias FROM {entities} WHERE entity_id % 3 = 0 UNION SELECT 'nowhere') m JOIN {entities} e ON e.name = m.mention OR e.alias = m.mention GROUP BY 1")
+def entity_exact_match(t):
+    e = t("entities").withColumn("aliases", F.array("alias"))
+    mentions = e.where("entity_id % 2 = 0").selectExpr("name AS mention").unionAll(e.where("entity_id % 3 = 0").selectExpr("alias")).unionAll(e.limit(1).selectExpr("'nowhere'"))
+    return filters.exact_entities(mentions, e)
+
+
+def _new(t) -> DataFrame:
+    return t("facts").where("fact_id % 10 = 3")
+
+
+@query("""SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'temporal' AS link_type,
+    round(CASE WHEN a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL THEN greatest(0.1::DOUBLE, 1 - (abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000) / 172800.0::DOUBLE) ELSE 0.5 END, 4) AS weight
+  FROM {facts} a JOIN {facts} b ON a.bank_id = b.bank_id AND a.fact_id <> b.fact_id
+  WHERE a.fact_id % 10 = 3 AND b.network <> 'opinion' AND a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL AND abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000 <= 172800""")
+def links_temporal(t):
+    return links.temporal_links(_new(t), t("facts"), 2)
+
+
+_ENTITY_LINKS = """SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'entity' AS link_type, round(s.shared::DOUBLE / (na.n + nb.n - s.shared), 4) AS weight FROM
+    (SELECT x.fact_id AS a, y.fact_id AS b, count(*) AS shared FROM {fact_entities} x JOIN {fact_entities} y ON x.entity_id = y.entity_id AND x.bank_id = y.bank_id AND x.fact_id <> y.fact_id GROUP BY 1, 2) s
+    JOIN {facts} a ON a.fact_id = s.a JOIN {facts} b ON b.fact_id = s.b
+    JOIN (SELECT fact_id, count(*) AS n FROM {fact_entities} GROUP BY 1) na ON na.fact_id = s.a JOIN (SELECT fact_id, count(*) AS n FROM {fact_entities} GROUP BY 1) nb ON nb.fact_id = s.b
+  WHERE a.fact_id % 10 = 3 AND b.network <> 'opinion'"""
+
+
+@query(_ENTITY_LINKS)
+def links_entity(t):
+    return links.entity_links(_new(t), t("facts"), t("fact_entities"))
+
+
+@query(f"SELECT source_id, target_id, 'semantic' AS link_type, round(c, 4) AS weight FROM (SELECT a.fact_id AS source_id, b.fact_id AS target_id, {_cos('a.embedding', 'b.embedding')} AS c FROM {{facts}} a JOIN {{facts}} b ON a.bank_id = b.bank_id AND a.fact_id <> b.fact_id WHERE b.network <> 'opinion') WHERE c >= {SEMANTIC}")
+def links_semantic(t):
+    return links.semantic_links(t("facts"), t("facts"), SEMANTIC)
+
+
+@query("SELECT source_id, target_id, link_type, CASE WHEN source_id % 3 = 0 THEN CASE WHEN source_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END ELSE weight END AS weight FROM {graph_links}")
+def links_upsert(t):
+    old = t("graph_links")
+    some = old.where("source_id % 3 = 0")
+    first = some.withColumn("weight", F.lit(0.75)).withColumn("seq", F.lit(0).cast("long"))
+    second = some.where("source_id % 2 = 0").withColumn("weight", F.lit(0.25)).withColumn("seq", F.lit(1).cast("long"))
+    return links.upsert(old, first.unionByName(second))
+
+
+@query(f"SELECT node, nbr AS neighbor, link_type, weight FROM ({_EDGES}) WHERE node < 50 AND link_type = 'causal'")
+def neighbors(t):
+    return recall.undirected(t("graph_links"), "causal").where("node < 50")
+
+
+@query(f"SELECT source_id, target_id, source_id % 5 AS chunk, row_number() OVER (PARTITION BY source_id % 5 ORDER BY source_id, target_id) AS rank FROM ({_ENTITY_LINKS}) QUALIFY rank <= 10")
+def causal_candidates(t):
+    made = links.entity_links(_new(t), t("facts"), t("fact_entities"))
+    return links.causal_candidates(made, 10, _new(t).select(F.col("fact_id").alias("source_id"), (F.col("fact_id") % 5).alias("chunk"))).select("source_id", "target_id", "chunk", "rank")
+
+
+@query(f"SELECT fact_id FROM {{dedup_new}} n WHERE NOT EXISTS (SELECT 1 FROM {{facts}} f WHERE f.fact_id % 2 = 0 AND f.bank_id = n.bank_id AND {_cos('n.embedding', 'f.embedding')} >= 0.95)")
+def dedup_facts(t):
+    return resolve.dedup(t("dedup_new"), t("facts").where("fact_id % 2 = 0")).select("fact_id")
+
+
+@query(f"""SELECT bank_id, mention, entity_id, round(score, 4) AS score, CASE WHEN score >= {NEAR_NAME[1]} THEN 'accept' WHEN score >= {NEAR_NAME[0]} THEN 'ask' ELSE 'create' END AS tier FROM (
+    SELECT q.bank_id, q.text AS mention, f.fact_id AS entity_id, {_cos('q.embedding', 'f.embedding')} AS score FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id WHERE f.fact_id % 10 = 7)
+  QUALIFY row_number() OVER (PARTITION BY bank_id, mention ORDER BY score DESC, entity_id) = 1""")
+def entity_nearest(t):
+    mentions = t("queries").select("bank_id", F.col("text").alias("mention"), "embedding")
+    known = t("facts").where("fact_id % 10 = 7").select("bank_id", F.col("fact_id").alias("entity_id"), "embedding")
+    return resolve.nearest(mentions, known).withColumn("tier", resolve.tier(F.col("score"), *NEAR_NAME)).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT fact_id, source_id, row_number() OVER (PARTITION BY fact_id ORDER BY minute, source_id) AS rank FROM {fact_sources} JOIN {sources} USING (source_id) QUALIFY rank <= 3")
+def lookup_sources(t):
+    return provenance.sources_of(t("facts"), t("fact_sources"), t("sources"), 3, ["minute", "source_id"])
+
+
+@query("SELECT fact_id, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS source_ids FROM {fact_sources} GROUP BY 1")
+def grouped_sources(t):
+    ranked = provenance.sources_of(t("facts"), t("fact_sources"), t("sources"), 100, ["source_id"])
+    return provenance.grouped_sources(ranked).select("fact_id", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"))
+
+
+@query("WITH RECURSIVE c AS (SELECT fact_id, evidence_id FROM {fact_evidence} UNION SELECT c.fact_id, e.evidence_id FROM c JOIN {fact_evidence} e ON e.fact_id = c.evidence_id) SELECT fact_id, evidence_id FROM c")
+def evidence_closure(t):
+    return provenance.evidence_closure(t("fact_evidence"))
+
+
+@query("""SELECT bank_id, count(*) AS n_facts, count(*) FILTER (network = 'world') AS n_world, count(*) FILTER (network = 'experience') AS n_experience, count(*) FILTER (network = 'observation') AS n_observation,
+  count(*) FILTER (network = 'opinion') AS n_opinion, max(n) AS n_entities FROM {facts} JOIN (SELECT bank_id, count(DISTINCT entity_id) AS n FROM {fact_entities} GROUP BY 1) USING (bank_id) GROUP BY 1""")
+def bank_stats(t):
+    return evaluate.bank_stats(t("facts"), t("fact_entities"))
+
+
+@query("SELECT bank_id, fact_id, (row_number() OVER (PARTITION BY bank_id ORDER BY created_at DESC, fact_id DESC) - 1) // 8 AS batch FROM {facts} WHERE network IN ('world', 'experience') AND consolidated_at IS NULL")
+def unconsolidated_batches(t):
+    return resolve.consecutive_batches(t("facts")).select("bank_id", "fact_id", "batch")
+
+
+@query("""SELECT f.bank_id, f.fact_id % 6 AS topic, strftime(min(temporal_start), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(temporal_end), '%Y-%m-%d %H:%M:%S') AS last,
+  string_agg(DISTINCT e.entity_id::VARCHAR, ',' ORDER BY e.entity_id::VARCHAR) AS entities FROM {facts} f JOIN {fact_entities} e ON e.fact_id = f.fact_id GROUP BY 1, 2""")
+def interval_envelope(t):
+    rows = t("facts").join(t("fact_entities").select("fact_id", "entity_id"), "fact_id").withColumn("topic", F.col("fact_id") % 6)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.groupBy("bank_id", "topic").agg(
+        day(F.min("temporal_start")).alias("first"), day(F.max("temporal_end")).alias("last"), F.array_join(F.array_sort(F.collect_set(F.col("entity_id").cast("string"))), ",").alias("entities")
+    )
+
+
+_PAIRS = f"SELECT a.fact_id AS a, b.fact_id AS b FROM {{facts}} a JOIN {{facts}} b ON a.fact_id < b.fact_id WHERE {_cos('a.embedding', 'b.embedding')} >= {CLUSTER}"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_PAIRS}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  r AS (SELECT fact_id AS id, fact_id AS low FROM {{facts}} UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.id) SELECT id, min(low) AS cluster_id FROM r GROUP BY 1""")
+def similarity_clusters(t):
+    return clusters.clusters(t("facts").select(F.col("fact_id").alias("id"), "embedding"), CLUSTER)
+
+
+def _opinions(t) -> DataFrame:
+    own = t("facts").where("network = 'opinion'")
+    found = clusters.clusters(own.select(F.col("fact_id").alias("id"), "embedding", "bank_id"), OPINION, "bank_id")
+    return found.join(own.select(F.col("fact_id").alias("id"), "confidence"), "id").withColumnRenamed("id", "fact_id")
+
+
+_OPINIONS = f"""WITH RECURSIVE o AS (SELECT * FROM {{facts}} WHERE network = 'opinion'),
+  e AS MATERIALIZED (SELECT a.fact_id AS a, b.fact_id AS b FROM o a JOIN o b ON a.bank_id = b.bank_id AND a.fact_id < b.fact_id WHERE {_cos('a.embedding', 'b.embedding')} >= {OPINION}),
+  u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT fact_id AS id, fact_id AS low FROM o UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.id),
+  c AS (SELECT id AS fact_id, min(low) AS cluster_id FROM r GROUP BY 1), k AS (SELECT c.*, o.confidence FROM c JOIN o USING (fact_id)) """
+
+
+@query(_OPINIONS + "SELECT fact_id, cluster_id FROM c")
+def opinion_clusters(t):
+    return _opinions(t).select("fact_id", "cluster_id")
+
+
+@query(_OPINIONS + "SELECT cluster_id, fact_id, w AS winner, round(CASE WHEN w THEN least(1.0, m + 0.1) ELSE 0.0 END, 4)::DOUBLE AS new_confidence FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(confidence, 0) DESC, fact_id DESC) = 1 AS w, avg(coalesce(confidence, 0.5)) OVER (PARTITION BY cluster_id) AS m FROM k)")
+def opinion_consistent(t):
+    return clusters.merge_consistent(_opinions(t)).withColumn("new_confidence", F.round("new_confidence", 4))
+
+
+@query(_OPINIONS + "SELECT cluster_id, fact_id, round(coalesce(confidence, 0.5) * 0.7::DOUBLE, 4) AS new_confidence FROM k QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(confidence, 0), fact_id) = 1")
+def opinion_weaken(t):
+    return clusters.weaken_contradictory(_opinions(t)).withColumn("new_confidence", F.round("new_confidence", 4))
+
+
+@query(_OPINIONS + "SELECT cluster_id, fact_id, round(coalesce(confidence, 0.5) * 0.7::DOUBLE, 4) AS new_confidence FROM (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY cluster_id) AS n FROM k WINDOW w AS (PARTITION BY cluster_id ORDER BY fact_id)) WHERE p = least(1, n - 1)")
+def opinion_superseded(t):
+    own = _opinions(t)
+    return clusters.weaken_superseded(own, own.select("cluster_id", F.lit(1).alias("superseded_index")).distinct()).withColumn("new_confidence", F.round("new_confidence", 4))
+
+
+@query(f"SELECT query_id, fact_id, score, rank FROM ({_semantic_sql(20)}) WHERE fact_id IN (SELECT fact_id FROM {{facts}} WHERE network = 'opinion')")
+def opinion_lookup(t):
+    return clusters.opinions_for(t("queries"), t("facts")).select("query_id", "fact_id", "score", "rank")
+
+
+@query(f"SELECT DISTINCT fact_id FROM (SELECT fact_id * 3 AS fact_id FROM {{facts}}) WHERE fact_id IN (SELECT fact_id FROM ({_semantic_sql(40)}))")
+def citation_semijoin(t):
+    cited = t("facts").select((F.col("fact_id") * 3).alias("fact_id"))
+    return provenance.valid_citations(cited, recall.vector_topk(t("queries"), t("facts"), 40)).distinct()
+
+
+@query("SELECT fact_id, bank_id FROM {facts} WHERE bank_id <> 2")
+def delete_bank_anti(t):
+    gone = t("facts").select("bank_id").where("bank_id = 2").distinct()
+    return t("facts").join(gone, "bank_id", "left_anti").select("fact_id", "bank_id")
+
+
+@query("SELECT source_id, target_id, link_type FROM {graph_links} WHERE source_id NOT IN (SELECT fact_id FROM {facts} WHERE network = 'observation') AND target_id NOT IN (SELECT fact_id FROM {facts} WHERE network = 'observation')")
+def orphan_links(t):
+    from memspark.sources.store import without_orphans
+
+    kept = t("facts").where("network <> 'observation'")
+    return without_orphans(t("graph_links"), kept).select("source_id", "target_id", "link_type")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS session FROM {conversations} GROUP BY 1")
+def session_format(t):
+    return provenance.formatted_sessions(t("conversations"))
+
+
+@query("SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS preceding FROM {conversations}")
+def preceding_turns(t):
+    return provenance.preceding_turns(t("conversations"))
+
+
+@query("SELECT conv_id, turn, role, coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS round FROM (SELECT *, CASE WHEN role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> 'assistant' THEN 1 ELSE 0 END AS e FROM {conversations})")
+def round_slices(t):
+    return provenance.rounds(t("conversations")).select("conv_id", "turn", "role", "round")
+
+
+_NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
+
+
+def _norm(x: str) -> str:
+    return _NORM.replace("{x}", x).replace("{{", "{")
+
+
+@query(None)
+def answer_normalize(t):
+    return t("benchmark").select("item_id", text.normalize_answer(F.col("text")).alias("answer"))
+
+
+@query(None)
+def token_f1(t):
+    pairs = t("benchmark").alias("a").join(t("benchmark").alias("b"), F.expr("b.item_id = a.item_id + 4"))
+    return pairs.select(F.col("a.item_id").alias("item_id"), F.round(text.token_f1(F.col("a.text"), F.concat(F.col("b.text"), F.lit(" "), F.substring("a.text", 1, 20))), 6).alias("f1"))
+
+
+ORACLES["answer_normalize"] = f"SELECT item_id, {_norm('text')} AS answer FROM benchmark"
+ORACLES["token_f1"] = f"""WITH p AS (SELECT a.item_id, {_norm('a.text')} AS x, {_norm("b.text || ' ' || substring(a.text, 1, 20)")} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 4),
+  w AS (SELECT item_id, unnest(string_split(x, ' ')) AS w, 1 AS s FROM p UNION ALL SELECT item_id, unnest(string_split(y, ' ')), 2 FROM p),
+  c AS (SELECT item_id, w, count(*) FILTER (s = 1) AS p, count(*) FILTER (s = 2) AS t FROM w WHERE w <> '' GROUP BY 1, 2),
+  k AS (SELECT item_id, sum(least(p, t))::DOUBLE AS k, sum(p)::DOUBLE AS p, sum(t)::DOUBLE AS t FROM c GROUP BY 1)
+  SELECT item_id, round(CASE WHEN k = 0 THEN 0 ELSE 2 * (k / p) * (k / t) / (k / p + k / t) END, 6) AS f1 FROM k"""
+
+
+_EVIDENCE = "(SELECT f.fact_id, coalesce(list_distinct(w.ids), []) AS want, coalesce(list_distinct(g.ids), []) AS got FROM {facts} f LEFT JOIN (SELECT fact_id, list(evidence_id) AS ids FROM {fact_evidence} GROUP BY 1) w USING (fact_id) LEFT JOIN (SELECT fact_id, list(fact_id - entity_id) AS ids FROM {fact_entities} GROUP BY 1) g USING (fact_id))"
+
+
+@query(f"SELECT fact_id, CASE WHEN len(want) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(want, got))::DOUBLE / len(want), 6) END AS recall, CASE WHEN len(got) = 0 AND len(want) = 0 THEN NULL WHEN len(got) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(got, want))::DOUBLE / len(got), 6) END AS precision FROM {_EVIDENCE}")
+def evidence_metrics(t):
+    want = t("fact_evidence").groupBy("fact_id").agg(F.collect_list("evidence_id").alias("want"))
+    got = t("fact_entities").groupBy("fact_id").agg(F.collect_list(F.col("fact_id") - F.col("entity_id")).alias("got"))
+    none = F.array().cast("array<bigint>")
+    rows = t("facts").select("fact_id").join(want, "fact_id", "left").join(got, "fact_id", "left").withColumns({"want": F.coalesce("want", none), "got": F.coalesce("got", none)})
+    w, g = F.col("want"), F.col("got")
+    return rows.select("fact_id", F.round(text.evidence_recall(w, g), 6).alias("recall"), F.round(text.evidence_precision(w, g), 6).alias("precision"))
+
+
+@query("SELECT category, conversation, count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy, round(avg(f1), 6) AS mean_f1 FROM {eval_results} GROUP BY GROUPING SETS ((), (category), (conversation))")
+def eval_report(t):
+    return evaluate.report(t("eval_results"))
+
+
+def _runs(t) -> tuple[DataFrame, DataFrame]:
+    a = t("eval_results")
+    return a, a.where("question_id % 4 <> 0").withColumn("correct", F.when(F.col("question_id") % 3 == 0, 1 - F.col("correct")).otherwise(F.col("correct")))
+
+
+_B = "(SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 1 - correct ELSE correct END AS cb FROM {eval_results} WHERE question_id % 4 <> 0)"
+
+
+@query(f"SELECT category, count(*) AS n, sum(correct)::BIGINT AS correct_a, sum(cb)::BIGINT AS correct_b, count(*) FILTER (cb > correct) AS improved, count(*) FILTER (cb < correct) AS regressed, count(*) FILTER (cb = correct) AS unchanged FROM {{eval_results}} JOIN {_B} USING (question_id) GROUP BY 1")
+def compare_runs_inner(t):
+    return evaluate.compare_matched(*_runs(t))
+
+
+@query(f"SELECT question_id, correct, CASE WHEN cb IS NULL THEN '-' WHEN cb = 1 THEN 'yes' ELSE 'no' END AS other FROM {{eval_results}} LEFT JOIN {_B} USING (question_id)")
+def compare_runs_left(t):
+    return evaluate.compare_all(*_runs(t))
+
+
+@query("SELECT conversation, category, question_id, correct FROM {eval_results}")
+def merge_runs(t):
+    runs = [t("eval_results").where(f"question_id % 2 = {i}") for i in (0, 1)]
+    return evaluate.merge_runs(runs).select("conversation", "category", "question_id", "correct")
+
+
+@query("SELECT stage, count(*) AS calls, round(sum(tokens), 2) AS tokens, sum(error)::BIGINT AS errors FROM {stage_usage} GROUP BY 1")
+def stage_usage(t):
+    return evaluate.usage(t("stage_usage"))
+
+
+@query("SELECT user_id % 100 AS shard, sum(error)::BIGINT AS error FROM {stage_usage} GROUP BY 1")
+def breakdown_totals(t):
+    return t("stage_usage").groupBy((F.col("user_id") % 100).alias("shard")).agg(F.sum("error").alias("error"))
+
+
+# Phrases and what they mean at 2026-02-25 12:00:00.
+PHRASES = {
+    "what happened recently?": ("2026-02-18 12:00:00", "2026-02-25 12:00:00"), "plans for today": ("2026-02-25 00:00:00", "2026-02-25 12:00:00"),
+    "what did I do yesterday": ("2026-02-24 00:00:00", "2026-02-24 23:59:59"), "last week": ("2026-02-18 12:00:00", "2026-02-25 12:00:00"),
+    "in the last month": ("2026-01-26 12:00:00", "2026-02-25 12:00:00"), "last year": ("2025-02-25 12:00:00", "2026-02-25 12:00:00"),
+    "in December": ("2025-12-01 00:00:00", "2025-12-31 23:59:59"), "back in january": ("2026-01-01 00:00:00", "2026-01-31 23:59:59"),
+    "2026-01-15 to 2026-01-20": ("2026-01-15 00:00:00", "2026-01-20 23:59:59"), "on 2026-01-15": ("2026-01-15 00:00:00", "2026-01-15 23:59:59"), "no time at all": (None, None),
+}
+INSTANTS = {
+    "2023/05/25 (Thu) 14:30": "2023-05-25 14:30:00", "2023/05/25 14:30": "2023-05-25 14:30:00", "2023-05-25 14:30": "2023-05-25 14:30:00", "2023-05-25": "2023-05-25 23:59:59",
+    "2023/05/25": "2023-05-25 23:59:59", "2023-05-25T14:30:15Z": "2023-05-25 14:30:15", "2023-05-25T14:30:15+02:00": "2023-05-25 12:30:15", "soon": None,
+}
+
+
+def _values(rows: list[tuple]) -> str:
+    quote = lambda x: "NULL" if x is None else "'" + x + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values([(k, *v) for k, v in PHRASES.items()])}) t(phrase, start, finish)")
+def parse_temporal_phrase(t):
+    rows = t("region").sparkSession.createDataFrame([(p,) for p in PHRASES], "phrase string")
+    start, end = temporal.parse_phrase(F.col("phrase"), F.lit("2026-02-25 12:00:00").cast("timestamp_ntz"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("phrase", shown(start).alias("start"), shown(end).alias("finish"))
+
+
+@query(f"SELECT * FROM (VALUES {_values(list(INSTANTS.items()))}) t(reference, instant)")
+def parse_reference_instant(t):
+    rows = t("region").sparkSession.createDataFrame([(p,) for p in INSTANTS], "reference string")
+    return rows.select("reference", F.date_format(temporal.parse_instant(F.col("reference")), "yyyy-MM-dd HH:mm:ss").alias("instant"))
+
+
+def _case(x: str, labels: list[str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(labels, 1)) + " END"
+
+
+@query(f"SELECT n_nationkey::BIGINT AS bank_id, 'Your reasoning style: You are ' || {_case('n_nationkey % 5 + 1', text.SKEPTICISM)} || '. You ' || {_case('n_nationkey // 5 + 1', text.LITERALISM)} || '. You ' || {_case('(n_nationkey * 3) % 5 + 1', text.EMPATHY)} || '. These traits ' || {_case('n_nationkey % 4 + 1', text.BIAS)} || ' influence your responses.' AS prompt FROM {{nation}}")
+def disposition_text(t):
+    n = F.col("n_nationkey")
+    made = text.disposition_text(n % 5 + 1, F.floor(n / 5) + 1, (n * 3) % 5 + 1, (n % 4) / 4)
+    return t("nation").select(n.cast("long").alias("bank_id"), made.alias("prompt"))
+
+
+@query("SELECT fact_id, CASE WHEN temporal_start IS NOT NULL AND temporal_end IS NOT NULL AND temporal_start::DATE <> temporal_end::DATE THEN ' | occurred: ' || strftime(temporal_start, '%Y-%m-%d') || ' to ' || strftime(temporal_end, '%Y-%m-%d') WHEN temporal_start IS NOT NULL THEN ' | occurred: ' || strftime(temporal_start, '%Y-%m-%d') WHEN temporal_end IS NOT NULL THEN ' | occurred: until ' || strftime(temporal_end, '%Y-%m-%d') ELSE '' END AS suffix FROM {facts}")
+def occurred_suffix(t):
+    return t("facts").select("fact_id", text.occurred(F.col("temporal_start"), F.col("temporal_end")).alias("suffix"))
+
+
+@query()
+def source_excerpts(t):
+    return t("sources").select("source_id", text.truncated(F.col("content"), 40).alias("shown"), text.word_count(F.col("content")).alias("words"))
+
+
+ORACLES["source_excerpts"] = fixtures.duckdb("SELECT source_id, CASE WHEN length(content) > 40 THEN substring(content, 1, 40) || '...' ELSE content END AS shown, len(regexp_extract_all(content, '[^ \\t\\n\\r\\f\\v]+'))::BIGINT AS words FROM {sources}")
+
+
+@query()
+def chunk_documents(t):
+    return resolve.chunked(t("documents").select("doc_id", "text")).select("doc_id", "index", "start", "end", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query()
+def mock_embedding(t):
+    return t("benchmark").select("item_id", vector.mock_embedding(F.col("text"), 16).alias("embedding"))
+
+
+@query()
+def json_salvage(t):
+    wrapped = F.concat(F.lit('Sure:\n```json\n{"id": '), F.col("item_id"), F.lit(', "text": "a } b"}\n``` done'))
+    return t("benchmark").select("item_id", text.json_salvage(wrapped).alias("found"))
+
+
+@query()
+def retain_end_to_end(t):
+    from memspark.plans.engine import retain
+
+    return retain(t("documents").select(F.col("doc_id"), (F.col("doc_id") % 4).alias("bank_id"), "text"))
+
+
+@query()
+def reflect_trace(t):
+    from memspark.plans.engine import reflect
+
+    return reflect(_now_queries(t), t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS, t("fact_evidence"))
+
+
+@query()
+def consolidation_actions(t):
+    from memspark.plans.engine import consolidate
+
+    return consolidate(t("facts"), t("fact_entities"))
+
+
+def stream_consolidation_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memspark.streaming.trigger import replay
+
+    return replay(fixtures.build(spark, sf_dir, "facts").select("bank_id", "fact_id", "network", "created_at", "consolidated_at"))
+
+
+QUERIES["stream_consolidation_trigger"] = stream_consolidation_trigger
