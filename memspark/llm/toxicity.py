@@ -12,7 +12,6 @@ word seen in a single text doesn't give that text's label away. Scoring reads ev
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POSITIVE, NEGATIVE, FIT_BYTES = 2500, 5000, 8_192
+POSITIVE, NEGATIVE, FIT_BYTES = 2000, 4000, 4_096
 WINDOW, STRIDE = 48, 40
 HIDDEN, STEPS, BATCH, RATE = 8, 240, 192, 0.02
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
@@ -33,37 +32,61 @@ _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»
 
 
 def pieces(word: str) -> list[tuple[int, str]]:
-    """The word and its character pieces, each with its kind."""
-    out = [(0, word)] + [(i + 1, word[:n]) for i, n in enumerate(PREFIXES) if len(word) >= n]
-    return out + [(len(PREFIXES) + 1, word[-SUFFIX:])] if len(word) >= SUFFIX else out
-
-
-def odds(texts: list[set[str]], labels: np.ndarray) -> dict[tuple[int, str], float]:
-    """Smoothed log-odds of each piece of the texts' words, less those of the labels."""
-    yes, no = Counter(), Counter()
-    for words, y in zip(texts, labels):
-        (yes if y else no).update({p for w in words for p in pieces(w)})
-    share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if len(labels) else 0.5
-    prior = np.log(share / (1 - share))
-    out = {}
-    for p in yes.keys() | no.keys():
-        if (a := yes[p]) + (b := no[p]) >= LEAST:
-            x = float(np.log((a + SMOOTH * share) / (b + SMOOTH * (1 - share))) - prior)
-            if abs(x) > 0.2:
-                out[p] = round(x * 5) / 10  # halved, in steps: so few different inputs that their projections stay in cache
-    return out
+    """The word and its character pieces, each with its kind; the kind also begins the piece's key."""
+    out = [(0, f"0{word}")] + [(i + 1, f"{i + 1}{word[:n]}") for i, n in enumerate(PREFIXES) if len(word) >= n]
+    kind = len(PREFIXES) + 1
+    return out + [(kind, f"{kind}{word[-SUFFIX:]}")] if len(word) >= SUFFIX else out
+
+
+class Vocabulary:
+    """The words of a sample as numbers, their pieces, and how many texts of each half and label hold each piece."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray, half: np.ndarray) -> None:
+        number: dict[str, int] = {}
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
+        self.names: dict[str, int] = {}
+        self.pieces = np.full((len(number), len(PREFIXES) + 2), -1, np.int32)
+        self.length = np.zeros(len(number), np.float32)
+        for i, raw in enumerate(number):
+            word = raw.strip(_EDGE).lower()
+            self.length[i] = length_input(word)
+            for kind, piece in pieces(word):
+                self.pieces[i, kind] = self.names.setdefault(piece, len(self.names))
+        self.count = np.zeros((2, 2, len(self.names)), np.int32)
+        for ids, y, h in zip(self.texts, labels, half):
+            held = np.unique(self.pieces[np.unique(ids)])
+            self.count[h, y, held[held >= 0]] += 1
+
+    def odds(self, halves: list[int], share: float) -> np.ndarray:
+        """Smoothed log-odds of each piece in the texts of these halves, less those of the labels; 0 for rare ones."""
+        no, yes = self.count[halves].sum(0)
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        x = np.log((yes + SMOOTH * share) / (no + SMOOTH * (1 - share))) - np.log(share / (1 - share))
+        # halved, in steps: so few different inputs that their projections stay in cache
+        return np.where((yes + no >= LEAST) & (np.abs(x) > 0.2), np.round(x * 5) / 10, 0)
+
+    def inputs(self, odds: np.ndarray) -> np.ndarray:
+        """A row of network inputs for each word."""
+        out = np.ones((len(self.pieces), INPUTS), np.float32)
+        out[:, : INPUTS - 2] = np.append(odds, 0)[self.pieces]  # what is missing takes the last, a 0
+        out[:, -2] = self.length
+        return out
+
+
+def length_input(word: str) -> float:
+    return min(len(word), 20) // 4 / 5
 
 
-def inputs(words: list[str], table: dict[tuple[int, str], float]) -> np.ndarray:
+def inputs(words: list[str], table: dict[str, float]) -> np.ndarray:
     """A row of network inputs for each word, as it stands in the text."""
     out = np.zeros((len(words), INPUTS), np.float32)
     get = table.get
     for i, raw in enumerate(words):
         word = raw.strip(_EDGE).lower()
         for kind, piece in pieces(word):
-            if x := get((kind, piece)):
+            if x := get(piece):
                 out[i, kind] = x
-        out[i, -2] = min(len(word), 20) // 4 / 5
+        out[i, -2] = length_input(word)
     out[:, -1] = 1
     return out
 
@@ -197,17 +220,14 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> di
     share is the part of all labels that are 1. With labels of one kind only, or none, every score is that part.
     """
     rng = np.random.default_rng(seed)
-    words = [t.split() for t in texts]
-    sets = [{w.strip(_EDGE).lower() for w in ws} for ws in words]
     model = {"share": share, "p": None, "table": {}}
     if len(set(labels.tolist())) < 2:
         return model
     half = rng.integers(0, 2, len(texts))
-    crossed = [odds([s for s, h in zip(sets, half) if h != k], labels[half != k]) for k in (0, 1)]
-    all_words = sorted({w for ws in words for w in ws})
-    number = {w: i for i, w in enumerate(all_words)}
-    at_fold = [inputs(all_words, table) for table in crossed]
-    rows = [at_fold[h][[number[w] for w in ws]] for ws, h in zip(words, half)]
+    words = Vocabulary(texts, labels, half)
+    part = float(labels.mean())
+    at_half = [words.inputs(words.odds([1 - h], part)) for h in (0, 1)]
+    rows = [at_half[h][ids] for ids, h in zip(words.texts, half)]
     xs, masks, ys = [], [], []
     for x, y in zip(rows, labels):
         w, m = _windows(x)
@@ -230,11 +250,12 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> di
             second[k] = 0.99 * second[k] + 0.01 * g * g
             p[k] = (p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     own = Scorer({"p": p})
-    best = own.largest(rows, np.concatenate([p["Wf"], p["Wb"]], axis=1))
+    best = np.concatenate([own.largest(rows[at : at + 200]) for at in range(0, len(rows), 200)])
     # each class has its true part of the labels
-    part = np.where(labels > 0, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
-    a, b = logistic(best, labels, part)
-    return model | {"p": p, "table": odds(sets, labels), "a": a, "b": b}
+    weight = np.where(labels > 0, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
+    a, b = logistic(best, labels, weight)
+    odds = words.odds([0, 1], part)
+    return model | {"p": p, "table": {k: float(odds[i]) for k, i in words.names.items() if odds[i]}, "a": a, "b": b}
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray, float]:
@@ -282,12 +303,12 @@ class Scorer:
                 self.table = np.concatenate([self.table, np.stack(new) @ self.weights])
         return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
-    def largest(self, rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    def largest(self, rows: list[np.ndarray]) -> np.ndarray:
         """The largest logit of the windows of each text, given the inputs of its words."""
         begin = np.concatenate([np.array(starts(len(r))) + a for r, a in zip(rows, np.cumsum([0, *map(len, rows)]))])
         n = [len(starts(len(r))) for r in rows]
         ends = np.repeat(np.cumsum([*map(len, rows)]), n)
-        self.table = np.concatenate([*rows, np.zeros((1, INPUTS), np.float32)]) @ weights
+        self.table = np.concatenate([*rows, np.zeros((1, INPUTS), np.float32)]) @ self.weights
         out = np.full(len(rows), -np.inf)
         np.maximum.at(out, np.repeat(np.arange(len(rows)), n), self._window_logits(np.arange(len(self.table)), begin, ends))
         return out
