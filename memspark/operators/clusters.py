@@ -55,9 +55,6 @@ def clusters(vectors: DataFrame, threshold: float = 0.85, by: str | None = None)
     return components(vectors.select("id"), similar_pairs(vectors, threshold, by))
 
 
-_BY_ID = Window.partitionBy("cluster_id").orderBy("fact_id")
-
-
 def _whole(order: list[Column]) -> Window:
     return Window.partitionBy("cluster_id").orderBy(*order)
 
@@ -93,7 +90,7 @@ def weaken_contradictory(opinions: DataFrame, factor: float = 0.7) -> DataFrame:
 def weaken_superseded(opinions: DataFrame, verdicts: DataFrame, factor: float = 0.7) -> DataFrame:
     """The opinion at each cluster's superseded index, which is held within the cluster, with its confidence lowered. verdicts: cluster_id, superseded_index."""
     n = F.count(F.lit(1)).over(Window.partitionBy("cluster_id"))
-    rows = opinions.select("*", (F.row_number().over(_BY_ID) - 1).alias("__at"), n.alias("__n")).join(verdicts, "cluster_id")
+    rows = opinions.select("*", (F.row_number().over(_whole([F.asc("fact_id")])) - 1).alias("__at"), n.alias("__n")).join(verdicts, "cluster_id")
     return rows.where(F.col("__at") == F.least(F.coalesce("superseded_index", F.lit(0)), F.col("__n") - 1)).select("cluster_id", "fact_id", (F.coalesce("confidence", F.lit(0.5)) * factor).alias("new_confidence"))
 
 
