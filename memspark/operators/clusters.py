@@ -5,45 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.functions.vector import cosine, norm
+from .pairs import cut, similar
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None) -> DataFrame:
-    """Pairs a < b of id at a cosine of the threshold or more, within a group where one is named.
-
-    Without a group, ids are dealt into blocks and each pair of blocks meets once, by an equi-join on the pair, so no task holds
-    all pairs.
-    """
-    v = vectors.where("embedding is not null").select("id", "embedding", norm(F.col("embedding")).alias("n"), *([by] if by else []))
-    if by:
-        key, a, b = by, v, v
-    else:
-        blocks, key = 16, "tile"
-        own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        a = v.withColumn(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: own * blocks + j)))
-        b = v.withColumn(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * blocks + own)))
-    left, right = a.select(key, F.col("id").alias("a"), F.col("embedding").alias("av"), F.col("n").alias("an")), b.select(key, F.col("id").alias("b"), F.col("embedding").alias("bv"), F.col("n").alias("bn"))
-    return left.join(right, key).where("a < b").where(cosine(F.col("av"), F.col("bv"), F.col("an"), F.col("bn")) >= threshold).select("a", "b")
+    """Pairs a < b of id at a cosine of the threshold or more, within a group where one is named."""
+    return similar(vectors, vectors, threshold, by, ordered=True).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id and cluster_id, the least id that edges (a, b) lead to, of each node.
 
     Each round a node takes the least label around it and then that label's own label; edges are few beside nodes, and
-    rounds are cut with checkpoint() so that plans stay small.
+    rounds are checkpointed so that plans stay small.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-"))
-    both = edges.select("a", "b").unionAll(edges.select("b", "a")).distinct().checkpoint()
+    both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct())
     label = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("near"))
         low = label.join(near, label.id == near.a).select("id", F.least("label", "near").alias("low"), "label")
         jump = low.select(F.col("id").alias("low"), F.col("low").alias("far"))
-        new = low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) < F.col("label")).alias("moved")).checkpoint()
+        new = cut(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) < F.col("label")).alias("moved")))
         label = new.select("id", "label")
         if new.where("moved").isEmpty():
             break

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import top
+from .pairs import cut
 
 
 def sources_of(facts: DataFrame, fact_sources: DataFrame, sources: DataFrame, limit: int, order: list[str]) -> DataFrame:
@@ -24,11 +25,11 @@ def grouped_sources(ranked: DataFrame) -> DataFrame:
 
 def evidence_closure(evidence: DataFrame, rounds: int = 20) -> DataFrame:
     """fact_id and every fact that its evidence leads to; rounds double the reach, so few are needed."""
-    reach = evidence.select("fact_id", "evidence_id").distinct()
+    reach = cut(evidence.select("fact_id", "evidence_id").distinct())
     n = reach.count()
     for _ in range(rounds):
         step = reach.select(F.col("fact_id").alias("evidence_id"), F.col("evidence_id").alias("next"))
-        reach = reach.unionAll(reach.join(step, "evidence_id").select("fact_id", F.col("next").alias("evidence_id"))).distinct()
+        reach = cut(reach.unionAll(reach.join(step, "evidence_id").select("fact_id", F.col("next").alias("evidence_id"))).distinct())
         if (more := reach.count()) == n:
             break
         n = more

@@ -17,6 +17,7 @@ from memspark.functions.vector import cosine, norm
 from memspark.schemas import RecallConfig
 
 from .filters import top
+from .pairs import cut
 
 
 def _ranked(scored: DataFrame, source: str, k: int | None) -> DataFrame:
@@ -86,13 +87,13 @@ def activation(seeds: DataFrame, links: DataFrame, config: RecallConfig = Recall
     sorts its frontier.
     """
     edges = undirected(links)
-    frontier = seeds.select("query_id", F.col("fact_id").alias("node"), F.col("score").alias("act"), F.array(F.struct(F.lit(0.0).alias("w"), F.lit("").alias("t"), F.col("rank").alias("n"))).alias("path"))
+    frontier = cut(seeds).select("query_id", F.col("fact_id").alias("node"), F.col("score").alias("act"), F.array(F.struct(F.lit(0.0).alias("w"), F.lit("").alias("t"), F.col("rank").alias("n"))).alias("path"))
     seen, arrived = frontier.select("query_id", "node"), frontier.select("query_id", "node", "act")
     for hop in range(config.hops):
         boost = F.when(F.col("link_type") == "causal", config.causal_boost).otherwise(1.0)
         step = F.struct((-F.col("weight")).alias("w"), F.col("link_type").alias("t"), F.col("neighbor").alias("n"))
         reach = frontier.join(edges, "node").select("query_id", F.col("neighbor").alias("node"), (F.col("act") * F.col("weight") * boost * config.decay).alias("act"), F.concat("path", F.array(step)).alias("path"))
-        reach = reach.where(F.col("act") >= config.threshold)
+        reach = cut(reach.where(F.col("act") >= config.threshold))  # three uses each level: without the cut a level would be computed 3 ** hops times
         arrived = arrived.unionAll(reach.select("query_id", "node", "act"))
         if hop + 1 < config.hops:
             first = reach.groupBy("query_id", "node").agg(F.min(F.struct("path", "act")).alias("best"))
