@@ -459,6 +459,73 @@ def stage_usage(t):
 def breakdown_totals(t):
     return t("stage_usage").groupBy((F.col("user_id") % 100).alias("shard")).agg(F.sum("error").alias("error"))
 
+@query("SELECT fact_id, network, CASE WHEN fact_id % 7 = 0 THEN 'changed ' || fact_id ELSE content END AS content, CASE WHEN fact_id % 7 = 0 THEN NULL ELSE confidence END AS confidence FROM {facts}")
+def update_facts(t):
+    from memspark.sources.store import update_facts as update
+
+    changes = t("facts").where("fact_id % 7 = 0").select("fact_id", F.concat(F.lit("changed "), F.col("fact_id")).alias("content"), F.lit(None).cast("double").alias("confidence"))
+    return update(t("facts"), changes).select("fact_id", "network", "content", "confidence")
+
+
+@query("SELECT fact_id, strftime(CASE WHEN fact_id % 5 = 2 THEN TIMESTAMP '2024-03-01' ELSE consolidated_at END, '%Y-%m-%d %H:%M:%S') AS at FROM {facts}")
+def mark_consolidated(t):
+    from memspark.sources.store import mark_consolidated as mark
+
+    ids = t("facts").where("fact_id % 5 = 2").select("fact_id")
+    return mark(t("facts"), ids.unionAll(ids), "2024-03-01").select("fact_id", F.date_format("consolidated_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT coalesce(o.entity_id, n.entity_id + 1000) AS entity_id, coalesce(o.name, n.name) AS name, coalesce(n.alias || '!', o.alias) AS alias FROM (SELECT * FROM {entities} WHERE entity_id % 2 = 0) o FULL JOIN (SELECT * FROM {entities} WHERE entity_id % 3 = 0) n ON n.name = o.name")
+def entity_upsert(t):
+    from memspark.sources.store import upsert_entities
+
+    rows = t("entities").select("entity_id", F.lit(0).cast("long").alias("bank_id"), "name", F.lit("concept").alias("entity_type"), F.array("alias").alias("aliases"))
+    new = rows.where("entity_id % 3 = 0").withColumns({"entity_id": F.col("entity_id") + 1000, "aliases": F.transform("aliases", lambda a: F.concat(a, F.lit("!")))})
+    return upsert_entities(rows.where("entity_id % 2 = 0"), new).select("entity_id", "name", F.col("aliases")[0].alias("alias"))
+
+
+@query("SELECT DISTINCT fact_id, source_id FROM {fact_sources} WHERE fact_id % 3 <> 0")
+def fact_source_links(t):
+    from memspark.sources.store import link_facts
+
+    rows = t("fact_sources")
+    return link_facts(rows.where("fact_id % 3 = 0"), rows.unionAll(rows)).select("fact_id", "source_id")
+
+
+@query("""WITH RECURSIVE c AS (SELECT fact_id, fact_id AS evidence_id FROM {facts} UNION SELECT c.fact_id, e.evidence_id FROM c JOIN {fact_evidence} e ON e.fact_id = c.evidence_id)
+  SELECT fact_id, string_agg((evidence_id * 10)::VARCHAR, ',' ORDER BY evidence_id) AS turns FROM c GROUP BY 1""")
+def support_turns(t):
+    own = t("facts").select("fact_id", (F.col("fact_id") * 10).alias("source_turn_id"))
+    return provenance.support(own, t("fact_evidence")).select("fact_id", F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"))
+
+
+@query(f"SELECT fact_id, min(call) AS call FROM (SELECT fact_id, 0 AS call FROM ({_semantic_sql(10, "f.network = 'observation'")}) UNION ALL SELECT fact_id, 1 FROM ({_semantic_sql(10)})) GROUP BY 1")
+def unique_across_calls(t):
+    calls = [recall.vector_topk(t("queries"), t("facts"), 10, n) for n in (["observation"], None)]
+    return provenance.unique_across(calls)
+
+
+@query("SELECT conv_id, string_agg(source_id::VARCHAR, ',' ORDER BY pos) AS found FROM (SELECT conv_id, turn AS pos, conv_id * 1000 + turn * 2 AS key FROM {conversations}) k JOIN {sources} s ON s.source_id = k.key GROUP BY 1")
+def turn_references(t):
+    keys = t("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", (F.col("conv_id") * 1000 + F.col("turn") * 2).alias("key")))).alias("x"))
+    found = provenance.lookup(keys.select("id", F.expr("transform(x, k -> k.key)").alias("keys")), t("sources"), "keys", "source_id", "source_id")
+    return found.select(F.col("id").alias("conv_id"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("found"))
+
+
+@query("SELECT fact_id FROM {facts} WHERE network = 'opinion' AND coalesce(confidence, 0) > 0")
+def active_opinions(t):
+    return t("facts").where(filters.active_opinion()).select("fact_id")
+
+
+@query("SELECT network, round(least(1.0, avg(coalesce(confidence, 0.5)) + 0.1), 6)::DOUBLE AS raised, round(avg(confidence), 6) AS mean_present FROM {facts} GROUP BY 1")
+def confidence_means(t):
+    return t("facts").groupBy("network").agg(F.round(clusters.reinforced(F.avg(F.coalesce("confidence", F.lit(0.5))), F.lit(0.1)), 6).alias("raised"), F.round(F.avg("confidence"), 6).alias("mean_present"))
+
+
+@query("SELECT sum(correct)::BIGINT AS correct, round(sum(f1), 4) AS f1 FROM {eval_results}")
+def run_totals(t):
+    return evaluate.total(t("eval_results"), ["correct", "f1"]).withColumn("f1", F.round("f1", 4))
+
 
 # Phrases and what they mean at 2026-02-25 12:00:00.
 PHRASES = {
