@@ -30,11 +30,12 @@ def _blocks(side: DataFrame, name: str, by: str | None) -> DataFrame:
     return dealt.groupBy("group", f"{name}_block").agg(F.collect_list(F.struct("id", "embedding")).alias(name))
 
 
-def similar(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None, ordered: bool = False) -> DataFrame:
+def similar(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None, ordered: bool = False, itself: bool = False) -> DataFrame:
     """a, b, score of the pairs of id at a cosine of the threshold or more, within a group where by names one.
 
     Blocks of both sides meet by an equi-join on the group, so a task holds two blocks and returns just the pairs that
-    pass. ordered asks for a < b of one table with itself, and lets each pair of blocks meet once.
+    pass. ordered asks for a < b of one table with itself, and lets each pair of blocks meet once; itself also asks for pairs
+    of equal ids, which two tables may have.
     """
     left, right = _blocks(a, "x", by), _blocks(b, "y", by)
     met = left.join(right, "group")
@@ -55,7 +56,7 @@ def similar(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None,
                 score = x @ y.T
                 i, j = np.nonzero(score >= threshold)
                 p, q, s = xi[i], yi[j], score[i, j]
-                keep = (p < q) | (not same.as_py()) & (p != q) if ordered else p != q
+                keep = (p < q) | (not same.as_py()) & (p != q) if ordered else (p != q) | itself
                 p, q, s = p[keep], q[keep], s[keep]
                 first, second = (np.minimum(p, q), np.maximum(p, q)) if ordered else (p, q)
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(s)], names=["a", "b", "score"])
