@@ -24,7 +24,9 @@ from .common import WORD, running_start
 
 #: Up to so many sources, of some 200 bytes each, the mixture is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
-_PLAN = "__idx int, source string, source_size long, target double, size_blocks long, full long, draws array<long>, cut array<long>, cut_words array<long>, inverse array<long>, shift array<long>, ends array<long>"
+#: Words of a shard, about, and shards at most.
+SHARD_WORDS, SHARDS = 1 << 22, 4096
+_PLAN = "__idx int, source string, source_size long, target double, size_blocks long, full long, draws array<long>, cut array<long>, cut_words array<long>, inverse array<long>, shift array<long>, ends array<long>, coarse array<long>, width int"
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -54,12 +56,14 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate([split(left, half, rng), split(quotas - left, shards - half, rng)])
 
 
-def plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: int, shards: int, seed: int, block_words: int) -> list[tuple]:
+def plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: int, shards: int | None, seed: int, block_words: int) -> list[tuple]:
     """One row a source: its target, the draws of each pass, the permutations and where each shard's positions end."""
     sizes = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     total = sum(n for _, n in sizes)
     want = targets([n for _, n in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share * total, most)
     block = max(block_words, total >> 16)
+    shards = shards or min(SHARDS, 1 + int(sum(want)) // SHARD_WORDS)
+    width = math.isqrt(shards - 1) + 1
     rng = np.random.default_rng(seed)
     rows, quotas = [], []
     for (source, n), target in zip(sizes, want):
@@ -78,15 +82,16 @@ def plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share:
         quotas.append(sum(draws))
         rows.append([source, n, target, block, full, draws, cut, cut_words, inverse, shift])
     ends = np.cumsum(split(np.array(quotas, dtype=np.int64), shards, rng), axis=0) if rows else np.zeros((shards, 0))
-    return [(i, *row, [int(x) for x in ends[:, i]]) for i, row in enumerate(rows)]
+    return [(i, *row, [int(x) for x in ends[:, i]], [int(x) for x in ends[width - 1 :: width, i]], width) for i, row in enumerate(rows)]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int = 64, seed: int = 7, block_words: int = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 7, block_words: int = 256) -> DataFrame:
     """docs with size, source_size, target, taken and pieces: what the mix draws of each document.
 
     Sources, by code point with null last, get the weights in turn, and share ``share`` times all words; no source gets
     over ``most`` times its words. pieces is an array of (shard, turn, block, first, words): in pass ``turn``, that shard
-    gets ``words`` words of the document from word ``first`` on. taken is the sum of their words.
+    gets ``words`` words of the document from word ``first`` on. taken is the sum of their words. Without a number of
+    shards there are as many as make shards of SHARD_WORDS words, up to SHARDS.
 
     Defined results: a null source is a source of its own; a null or empty text has size 0, takes nothing and stays;
     rows that are repeated, or share a doc_id, are drawn each for itself; an empty table gives an empty result; a column
@@ -97,11 +102,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources = [(r[0], int(r[1])) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
     mixture = spark.createDataFrame(plan(sources, weights, share, most, shards, seed, block_words), _PLAN)
     inner = [c for c in mixture.columns if c != "source"]
-    mixture = mixture.select(F.col("source").alias("__source"), *[F.col(c).alias(f"__m_{c}") for c in inner])
-    if len(sources) <= BROADCAST_SOURCES:
-        mixture = F.broadcast(mixture)
-    joined = sized.join(mixture, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = running_start(joined.withColumn("__group", F.col("__m___idx")), "__group", "size", ["doc_id", "size"], "__start").drop("__group")
+    small = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda df: df
+    # only a source's number goes through the shuffle; its plan is joined to the placed rows
+    numbers = small(mixture.select(F.col("source").alias("__source"), F.col("__idx").alias("__group")))
+    joined = sized.join(numbers, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    placed = running_start(joined, "__group", "size", ["doc_id", "size"], "__start")
+    placed = placed.join(small(mixture.select(*[F.col(c).alias(f"__m_{c}") for c in inner])), F.col("__group") == F.col("__m___idx")).drop("__group")
     drawn = F.expr("""
         filter(flatten(transform(sequence(0, size(__m_draws) - 1), t -> transform(
             if(size > 0, sequence(__start div __m_size_blocks, (__start + size - 1) div __m_size_blocks), array()), k -> named_struct(
@@ -113,7 +119,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         """)
     pieces = F.expr("""
         filter(transform(__drawn, p -> named_struct(
-            'shard', size(filter(__m_ends, x -> x <= p.at + if(p.turn > 0, aggregate(slice(__m_draws, 1, p.turn), 0L, (a, x) -> a + x), 0L))),
+            'shard', element_at(transform(array(p.at + if(p.turn > 0, aggregate(slice(__m_draws, 1, p.turn), 0L, (a, x) -> a + x), 0L)),
+                at -> element_at(transform(array(size(filter(__m_coarse, x -> x <= at)) * __m_width),
+                    c -> c + size(filter(slice(__m_ends, c + 1, __m_width), x -> x <= at))), 1)), 1),
             'turn', p.turn, 'block', p.block, 'first', p.from - __start,
             'words', if(p.at = __m_cut[p.turn], least(p.to, p.block * __m_size_blocks + __m_cut_words[p.turn]), p.to) - p.from)),
             p -> p.words > 0)
@@ -123,12 +131,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return out.drop("__drawn", "__start", *[f"__m_{c}" for c in inner])
 
 
-def deal(mixed: DataFrame, shards: int = 64, seed: int = 7) -> DataFrame:
+def deal(mixed: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus: a row for each pass that draws of a document, with the drawn words as its text, in shuffled shards.
 
     A document drawn whole keeps its text as it is. Of one drawn in part, the drawn words stay in order, with the white
     space that follows each; n_chars, where there is one, is that of the new text. Rows go to the shard of their first
-    piece, which is then shuffled by a hash within itself.
+    piece, and a shard, which is whole in one of the session's shuffle partitions, is shuffled by a hash within itself.
     """
     turns = mixed.withColumn("__turn", F.explode(F.expr("array_distinct(transform(pieces, p -> p.turn))"))).withColumn("__own", F.expr("filter(pieces, p -> p.turn = __turn)"))
     words = F.expr(r"split(text, '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')")
@@ -139,4 +147,4 @@ def deal(mixed: DataFrame, shards: int = 64, seed: int = 7) -> DataFrame:
     if "n_chars" in mixed.columns:
         out = out.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.char_length("text")).cast(mixed.schema["n_chars"].dataType))
     out = out.withColumn("__shard", F.expr("__own[0].shard")).withColumn("__order", F.xxhash64(F.lit(seed), "__turn", "doc_id"))
-    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order").drop("__turn", "__own", "__words", "__lead", "__whole", "__shard", "__order", "size", "source_size", "target", "taken", "pieces")
+    return out.repartition("__shard").sortWithinPartitions("__shard", "__order").drop("__turn", "__own", "__words", "__lead", "__whole", "__shard", "__order", "size", "source_size", "target", "taken", "pieces")

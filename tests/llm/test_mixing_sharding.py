@@ -63,13 +63,28 @@ def test_deal_gives_the_drawn_words(spark):
     docs = make(spark, corpus(80)).withColumn("n_chars", F.char_length("text").cast("long"))
     mixed = mixing.mix(docs, shards=3, block_words=16)
     wanted = sum(r.taken for r in mixed.collect())
-    out = mixing.deal(mixed, shards=3)
+    out = mixing.deal(mixed)
     assert out.columns == docs.columns
     got = out.collect()
     assert sum(len(r.text.split()) for r in got) == wanted
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_shards_are_found_in_two_steps(spark):
+    rows = corpus(60)
+    for shards in (1, 2, 17):
+        plans = {p[1]: p for p in mixing.plan([("a", 4000), ("b", 900)], (3, 1, 2), 1.5, 2, shards, 7, 16)}
+        assert all(len(p[11]) == shards and p[11][-1] == sum(p[6]) for p in plans.values())
+        out = mixing.mix(make(spark, rows), shards=shards, block_words=16).collect()
+        used = {p.shard for r in out for p in r.pieces}
+        assert used == set(range(shards))
+        words = Counter()
+        for r in out:
+            for p in r.pieces:
+                words[p.shard] += p.words
+        assert max(words.values()) - min(words.values()) <= 16 * (len({r[1] for r in rows}) + 16)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(make(spark, [])).count() == 0
     only = mixing.mix(make(spark, [(1, None, None)])).collect()
