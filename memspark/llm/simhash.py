@@ -11,6 +11,9 @@ within t_i bits of them. All candidates are verified on all bits.
 Only different fingerprints are compared: copies share one, so a group of copies is a single node. A task that verifies
 candidates returns a spanning forest of the links it found, not all pairs, and keys with many fingerprints are dealt
 into tiles of bounded size, each pair of blocks meeting in one.
+
+``keep_one``, the pipeline's stage, doesn't go by fingerprints, which miss edited copies: it links texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more, all of them, by prefix filtering.
 """
 
 from __future__ import annotations
@@ -23,13 +26,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components, forest
 
 SEED, SHINGLE, BITS = 42, 4, 64
+#: Words of a near copy's shingles, and the Jaccard similarity of near copies as a fraction.
+COPY_SHINGLE, ALIKE, OF = 5, 4, 5
+#: Texts whose shingles tell which are common, and common ones told; they set an order and never what is found.
+COUNTED, COMMON = 10_000, 200_000
+#: Longs of a sketch of a set of shingles.
+SKETCH = 8
 #: Fingerprints that the plan's correlations are estimated on, and those whose pairs estimate candidates.
 SAMPLE, PAIRED = 20_000, 2_000
 #: Fingerprints of a key that are compared in one tile.
@@ -41,7 +50,7 @@ _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 
 
-def shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """XXH64 of the shingles of a text, a part of the text at a time."""
     text, start, kept, any_ = text.lower(), 0, [], False
     while start < len(text):
@@ -50,15 +59,15 @@ def shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
             end = m.start() if (m := _SPACE.search(text, end)) else len(text)
         words = kept + text[start:end].split()
         start = end
-        if len(words) < SHINGLE:
+        if len(words) < shingle:
             kept = words
             continue
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - SHINGLE + 1]
-        parts = map(joined.__getitem__, map(slice, starts.tolist(), ends[SHINGLE - 1 :].tolist()))
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
+        parts = map(joined.__getitem__, map(slice, starts.tolist(), ends[shingle - 1 :].tolist()))
         yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(starts))
-        kept, any_ = words[-(SHINGLE - 1) :], True
+        kept, any_ = words[-(shingle - 1) :], True
     if kept and not any_:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
 
@@ -233,8 +242,131 @@ def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 4) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the least doc_id. Rows without a doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), most)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different hashes of a text's shingles of COPY_SHINGLE words, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((text or "").encode(), COPY_SHINGLE)]))
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Each bit tells whether an odd number of shingles falls on it, so two sets differ in as many shingles at least as their sketches do in bits."""
+    n = 64 * SKETCH
+    odd = np.bincount((_mixed(x) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several of a sample of texts hold, sorted, and how many of them do."""
+    few = docs.select("text").withColumn("__at", F.xxhash64("text")).orderBy("__at").limit(COUNTED)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t.as_py()) for t in batch.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counts = few.select("text").repartition(8).mapInArrow(apply, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
+    shingles, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, at (a hash of the text), node (a hash of the set of shingles), n (its size), sketch and prefix, its rarest shingles.
+
+    Two sets of which each has ALIKE / OF of the other's union in common share a shingle of their prefixes, whatever
+    the order of shingles is, as long as it is the same for all; rare ones first make few texts meet by chance.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            nodes, sizes, sketches, prefixes = [], [], [], []
+            for t in batch.column(2):
+                x = shingle_set(t.as_py())
+                count = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    count = np.where(known[at] == x, often[at], 0)
+                prefixes.append(x[np.argsort(count, kind="stable")[: len(x) + 1 + (-ALIKE * len(x) // OF)]])
+                nodes.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                sizes.append(len(x))
+                sketches.append(sketch(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(sketches), _lists(prefixes)], names=["doc_id", "at", "node", "n", "sketch", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text").mapInArrow(apply, "doc_id long, at long, node long, n int, sketch array<long>, prefix array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of ALIKE / OF or more.
+
+    Sketches rule out most others: such sets differ in at most (OF - ALIKE) / (OF + ALIKE) of the sum of their sizes.
+    """
+    small = nodes.select("node", "n", "sketch")
+    x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
+    pairs = cut(pairs.join(y, "b").join(x, "a").where(differ * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)).select("a", "b"), "pairs")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t.as_py()) for t in batch.column(1)])], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept[i] = OF * both >= ALIKE * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
+
+    asked = nodes.select("node", "at").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    texts = docs.select(F.xxhash64("text").alias("at"), "text").join(asked, "at").dropDuplicates(["node"]).select("node", "text")
+    sets = cut(texts.mapInArrow(read, "node long, shingles array<long>"), "sets")
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return cut(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes (node, n, sketch, prefix, and at of one text): within a component as connected as all pairs of near copies.
+
+    First each node is compared with one other for each shingle of its prefix; then those pairs are that share a shingle and
+    that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
+    """
+    rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    over = Window.partitionBy("key")
+    shared = rows.withColumns({"pivot": F.min(F.struct("node", "n")).over(over), "__last": F.max("node").over(over)})
+    shared = cut(shared.where(F.col("pivot.node") < F.col("__last")).drop("__last"), "shared")
+    fits = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * ALIKE
+    first = shared.where((F.col("node") != F.col("pivot.node")) & fits("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
+    first = cut(first, "pairs")
+
+    found = _alike(first, nodes, docs)
+    roots = components(found)
+    placed = shared.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    placed = cut(placed.join(apart, "key", "left_semi"), "apart")
+    x, y = (placed.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb")).select("a", "b").distinct()
+    rest = cut(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    return found if rest.isEmpty() else found.unionByName(_alike(rest, nodes, docs))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least doc_id. Rows without a doc_id stay.
+
+    Near copies are what links join, each between two texts whose sets of shingles have a Jaccard similarity of ALIKE / OF
+    or more. A shingle is COPY_SHINGLE words, lower-cased as in fingerprints, or the whole text if it has fewer; texts of no words are
+    copies of each other.
+    """
+    sets = cut(shingle_sets(docs.select("doc_id", "text")), "prefixes")
+    nodes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
+    roots = components(copy_links(docs.select("text"), nodes))
+    named = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("__kept"))
+    kept = cut(named.where("__kept is not null").select("__kept").distinct(), "kept")
     return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

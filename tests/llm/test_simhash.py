@@ -105,3 +105,46 @@ def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 12, 20, 30, None]
+
+
+def slow_kept(rows):
+    """Least ids of the components of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [(i, grams(t)) for i, t in rows]
+    root = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    return sorted(min(sets[i][0] for i in range(len(sets)) if root[i] == r) for r in set(root))
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.random()}"
+    return words
+
+
+def test_keep_one_finds_every_edited_copy(spark):
+    rng, rows = random.Random(3), []
+    line = [f"line{i}" for i in range(12)]
+    for g in range(12):
+        base = line + [rng.choice(["a", "b", "c", "d"]) + str(rng.randrange(40)) for _ in range(rng.randrange(20, 260))]
+        rows += [" ".join(base)] + [" ".join(edited(rng, base, rng.randrange(0, 1 + len(base) // 20))) for _ in range(5)]
+    chain = [f"c{i}" for i in range(200)]  # each a near copy of the one before, the ends far apart
+    for _ in range(8):
+        chain = edited(rng, chain, 3)
+        rows.append(" ".join(chain))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == slow_kept(rows)
+    fps = [slow_fingerprint(t) for _, t in rows]
+    assert len(kept) < len(set(slow_components(fps).values()))
