@@ -5,7 +5,7 @@ character prefixes and suffix, counted over training texts; two gated recurrent
 attention pools their states, and the pooled state gives the window's logit. A text's logit is the largest of all its
 windows, and a logistic fit on training texts makes it a probability at the labels' true proportions.
 
-Fitting takes a bounded sample: at most ``POSITIVE`` and ``NEGATIVE`` labelled texts of at most ``FIT_BYTES`` bytes.
+Fitting takes a bounded sample: at most ``POSITIVE`` and ``NEGATIVE`` labelled texts, whole and of whatever length.
 While the network is fitted, each text's inputs come from counts over the other half of the sample, so that a
 word seen in a single text doesn't give that text's label away. Scoring reads every window of every text.
 """
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POSITIVE, NEGATIVE, FIT_BYTES = 2000, 4000, 4_096
+POSITIVE, NEGATIVE = 2500, 5000
 WINDOW, STRIDE = 48, 40
 HIDDEN, STEPS, BATCH, RATE = 8, 240, 192, 0.02
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
@@ -270,7 +270,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
     order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
     picked = [r for y, n in ((1, POSITIVE), (0, NEGATIVE)) for r in known.where((F.col("toxic") == 1) if y else (F.col("toxic") != 1)).orderBy(*order).limit(n).collect()]
     ids = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic == 1)) for r in picked], "__id long, __toxic int")
-    rows = docs.where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic").collect()
+    rows = docs.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic").collect()
     texts: dict[str, tuple[int, int]] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         texts.setdefault(r.text, (r.doc_id, r[2]))

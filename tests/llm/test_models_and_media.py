@@ -235,3 +235,11 @@ def test_labels_of_one_kind_or_none(spark):
     for rows, score in (([], 0.0), ([(1, 0), (2, 0)], 0.0)):
         model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert [r.score for r in toxicity.scored(docs, model).collect()] == [score, score]
+
+
+def test_long_labelled_texts_are_in_the_training_sample(spark):
+    rows = [(i, " ".join(["word"] * (3000 if i % 3 == 0 else 20)) + f" {i}", int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    texts, y, _ = toxicity.training_sample(docs, labels)
+    assert set(zip(texts, y.tolist())) == {(t, v) for i, t, v in rows if zlib.crc32(str(i).encode()) % 5} and len(set(y.tolist())) == 2
