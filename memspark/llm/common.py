@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of these that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for i in range(len(taken) + 1) if (x := f"__{n}{i or ''}") not in taken) for n in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="memspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,18 +52,30 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_start(df: DataFrame, group: str, weight: str, order: list[str], out: str, buckets: int = 1024) -> DataFrame:
-    """Adds out: the sum of weight over the rows before each row, within its group, in an order that a hash of the
-    order columns deals into buckets. group must not be null.
+def running_start(df: DataFrame, group: str, weight: str, order: list[str], out: str, buckets: int) -> DataFrame:
+    """Adds out: the sum of weight over the rows before each row, within its group, in the order of hashes. group must
+    not be null; the order columns must tell all rows of a group apart.
 
-    No group is ever sorted in one task: each (group, bucket) is numbered alone, and is then moved by the total of the
-    buckets before it. Only rows that agree in all order columns are certain to share a bucket, and these are
-    interchangeable.
+    No group is ever sorted in one task: a hash of the order columns deals its rows into buckets, each (group, bucket) is
+    numbered alone, and is then moved by the total of the buckets before it. The caller gives as many buckets as keep one small.
     """
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    totals = dealt.groupBy(group, "__bucket").agg(F.sum(weight).alias("__total"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    moves = totals.select(group, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__move"))
-    inner = Window.partitionBy(group, "__bucket").orderBy(F.xxhash64(*order, F.lit(1)), *order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("__within", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-    return placed.join(moves, [group, "__bucket"]).withColumn(out, F.col("__within") + F.col("__move")).drop("__bucket", "__within", "__move")
+    bucket, total, move, within = unused(df, "bucket", "total", "move", "within")
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    totals = dealt.groupBy(group, bucket).agg(F.sum(weight).alias(total))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    moves = totals.select(group, bucket, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(move))
+    inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn(within, F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return placed.join(moves, [group, bucket]).withColumn(out, F.col(within) + F.col(move)).drop(bucket, within, move)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose values of a string or binary column, nulls counted as empty, make about most bytes; a longer value is a slice alone."""
+    for batch in batches:
+        sizes = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to

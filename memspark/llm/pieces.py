@@ -3,7 +3,8 @@
 The vocabulary's pieces never hold a space mark after another character, so a text falls apart into words, each with the
 space marks before it, and equal words have equal pieces. Words of equal length advance together, a character at a
 time: the substrings that end there are hashed, the hashes probe the sorted keys of the pieces, and the maximum over
-the pieces found gives each word's backpointer.
+the pieces found gives each word's backpointer. A word is first cut between any two characters that no piece holds side
+by side, since no piece can reach over such a place; what is left of a long word is short, and advances like any other.
 
 For a vocabulary of merges the best segmentation is not the one with the largest sum of scores, but the one that
 merging would leave. Merging leaves exactly one piece at the end of each prefix: the one that, with the last piece before it,
@@ -20,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import parts
+
 SPACE = "▁"
-#: Words of a length that advance together at least; fewer are encoded one at a time by the same rule.
-TOGETHER = 6
-#: Words that a Python worker keeps with their pieces, and characters of text that it encodes at a time.
-KEPT, GROUP = 400_000, 1 << 20
+#: Bytes, about, of the words that a Python worker keeps with their pieces, and characters of text that it encodes at a time.
+KEPT, GROUP = 24 << 20, 1 << 18
+#: Bytes that a kept word takes besides its characters, and ends of a word's substrings that are looked up at a time.
+ENTRY, ENDS = 150, 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,14 +60,12 @@ class Codec:
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.out_at = np.concatenate([[0], np.cumsum([len(x) for x in out])])
         ids = {p: i for i, (p, ok) in enumerate(zip(self.pieces, vocabulary["plain"])) if ok}
-        self.ids, self.longest = ids, max(map(len, ids))
         # order of merging: rank 0 first; a single character is never merged, so it comes last
         by_rank = sorted(ids.values(), key=lambda i: (len(self.pieces[i]) == 1, -vocabulary["scores"][i], i))
         self.rank = np.full(n + 1, 1 << 30, np.int64)
         self.rank[by_rank] = np.arange(len(by_rank))
         self.left, self.right = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
         self.merged: dict[tuple[int, int], int] = {}
-        self._cache: dict[tuple[int, int], bool] = {}
         for i in by_rank:
             p = self.pieces[i]
             for cut in range(len(p) - 1, 0, -1):
@@ -73,18 +73,19 @@ class Codec:
                 if a >= 0 and b >= 0 and all(len(self.pieces[x]) == 1 or self.rank[x] < self.rank[i] for x in (a, b)) and self.apart(a, b):
                     self.left[i], self.right[i], self.merged[a, b] = a, b, i
                     break
-        self._cache.clear()
         # a piece that no merges make is never used
         self.whole = self.left >= 0
         self.whole[[i for i in by_rank if len(self.pieces[i]) == 1]] = True
-        self.chars = {p for p in ids if len(p) == 1}
+        kept = [i for i in by_rank if self.whole[i]]
+        self.longest = max(len(self.pieces[i]) for i in kept)
+        self.chars = np.unique([ord(self.pieces[i]) for i in kept if len(self.pieces[i]) == 1]).astype(np.uint64)
+        self.inside = np.unique(np.array([ord(a) << 32 | ord(b) for i in kept for a, b in zip(self.pieces[i], self.pieces[i][1:])], np.uint64))
         pairs = np.array([(a * (n + 1) + b, i) for (a, b), i in self.merged.items()], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0])]
         self.pair_key, self.pair_id, self.width = pairs[:, 0], pairs[:, 1], n + 1
-        kept = [i for i in by_rank if self.whole[i]]
         keys = np.array([self._hash(self.pieces[i]) for i in kept], np.uint64)
         order = np.argsort(keys)
-        self.key, self.key_id = keys[order], np.array(kept, np.int64)[order]
+        self.key, self.key_id = keys[order], np.array(kept, np.int32)[order]
         self.seen_key, self.seen = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.words: dict[str, int] = {}
         self._clear()
@@ -141,115 +142,92 @@ class Codec:
 
     def _clear(self) -> None:
         self.words.clear()
+        self.held = 0
         self.flat: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words of equal length without unknown characters: all ids, word by word, and how many each has."""
-        n, u = len(words[0]), len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(u, n).astype(np.uint64) + np.uint64(1)
-        last, length = np.full((n + 1, u), self.width - 1, np.int64), np.zeros((n + 1, u), np.int64)
-        reach = min(n, self.longest)
-        # the hash of each substring, grown by a character at a time: hashes[s] is of the substring that begins at s
-        hashes = np.zeros((n, u), np.uint64)
-        found = np.full((n, reach + 1, u), -1, np.int32)
-        for l in range(1, reach + 1):
-            h = (hashes[: n - l + 1] + chars[:, l - 1 :].T) * _P
-            h ^= h >> np.uint64(29)
-            hashes = h
-            at = np.minimum(np.searchsorted(self.key, h.ravel()), len(self.key) - 1)
-            found[: n - l + 1, l] = np.where(self.key[at] == h.ravel(), self.key_id[at], -1).reshape(h.shape)
-        for j in range(1, n + 1):
-            starts = range(max(0, j - reach), j)
-            cand = np.stack([found[s, j - s] for s in starts])
-            before = last[list(starts)]
-            l, w = np.nonzero((cand >= 0) & ((before >= 0)))
-            ids, prev = cand[l, w].astype(np.int64), before[l, w]
-            fits = np.ones(len(ids), bool)
-            inner = prev < self.width - 1
-            fits[inner] = self._apart(prev[inner], ids[inner])
-            rank = np.zeros((len(cand), u), np.int8)
-            rank[l, w] = fits
-            best = rank.argmax(0)
-            ok = rank[best, np.arange(u)] > 0
-            last[j] = np.where(ok, cand[best, np.arange(u)], -1)
-            length[j] = np.where(ok, j - (np.array(starts)[best]), 1)
+    def _together(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of equal length (words x characters) that hold known characters only: all ids, word by word, and how many each has."""
+        u, n = chars.shape
+        chars = np.ascontiguousarray(chars.T) + np.uint64(1)
+        last, length = np.full((n + 1, u), self.width - 1, np.int32), np.zeros((n + 1, u), np.int32)
+        reach, every = min(n, self.longest), np.arange(u)
+        for done in range(0, n, ENDS):
+            low, high = max(0, done + 1 - reach), min(n, done + ENDS)
+            # the hash of each substring, grown by a character at a time; found[s - low, l] is the piece of l characters at s
+            hashes = np.zeros((high - low, u), np.uint64)
+            found = np.full((high - low, reach + 1, u), -1, np.int32)
+            for l in range(1, min(reach, high - low) + 1):
+                h = (hashes[: high - low - l + 1] + chars[low + l - 1 : high]) * _P
+                h ^= h >> np.uint64(29)
+                hashes = h
+                at = np.minimum(np.searchsorted(self.key, h.ravel()), len(self.key) - 1)
+                found[: high - low - l + 1, l] = np.where(self.key[at] == h.ravel(), self.key_id[at], -1).reshape(h.shape)
+            for j in range(done + 1, high + 1):
+                starts = np.arange(max(0, j - reach), j)
+                cand, before = found[starts - low, j - starts], last[starts]
+                l, w = np.nonzero((cand >= 0) & (before >= 0))
+                ids, prev = cand[l, w].astype(np.int64), before[l, w].astype(np.int64)
+                fits = np.ones(len(ids), bool)
+                inner = prev < self.width - 1
+                fits[inner] = self._apart(prev[inner], ids[inner])
+                rank = np.zeros((len(cand), u), np.int8)
+                rank[l, w] = fits
+                best = rank.argmax(0)
+                ok = rank[best, every] > 0
+                last[j] = np.where(ok, cand[best, every], -1)
+                length[j] = np.where(ok, j - starts[best], 1)
         if (last[n] < 0).any():
             raise ValueError("a word has no segmentation")
         at, steps = np.full(u, n), []
         while (at > 0).any():
-            steps.append(np.where(at > 0, last[at, np.arange(u)], -1))
-            at = at - np.where(at > 0, length[at, np.arange(u)], 0)
+            steps.append(np.where(at > 0, last[at, every], -1))
+            at = at - np.where(at > 0, length[at, every], 0)
         table = np.stack(steps[::-1], 1)
         return table[table >= 0].astype(np.int32), (table >= 0).sum(1)
 
-    def _alone(self, word: str) -> list[int]:
-        """The same for one word, however long."""
-        last, length = [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        ids, cache = self.ids, self._cache
-        if len(cache) > 1 << 20:
-            cache.clear()
-        for j in range(1, len(word) + 1):
-            for l in range(1, min(j, self.longest) + 1):
-                i = ids.get(word[j - l : j])
-                if i is None or not self.whole[i] or (j > l and last[j - l] < 0):
-                    continue
-                if j > l and (ok := cache.get((last[j - l], i))) is None:
-                    ok = cache[last[j - l], i] = self.apart(last[j - l], i)
-                if j == l or ok:
-                    last[j], length[j] = i, l
-                    break
-        out, j = [], len(word)
-        while j > 0:
-            out.append(last[j])
-            j -= length[j]
-        return out[::-1]
-
     def _learn(self, words: list[str]) -> None:
-        """Adds words to those kept. Characters without a piece cut a word, and stand as bytes between its parts."""
-        known = self.chars.issuperset
-        owner: list[int] = []
-        parts: list[str | bytes] = []
-        for w, word in enumerate(words):
-            if known(word):
-                owner.append(w)
-                parts.append(word)
-                continue
-            start = 0
-            for k, c in enumerate(word):
-                if c not in self.chars:
-                    parts += [word[start:k], c.encode()] if k > start else [c.encode()]
-                    start = k + 1
-            if start < len(word):
-                parts.append(word[start:])
-            owner += [w] * (len(parts) - len(owner))
-        by_length: dict[int, list[int]] = {}
-        for i, part in enumerate(parts):
-            by_length.setdefault(len(part) if isinstance(part, str) else 0, []).append(i)
-        order, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for n, members in by_length.items():
-            step = 1 + (1 << 21) // (max(n, 1) * 16)
-            for some in (members[at : at + step] for at in range(0, len(members), step)):
-                if n and len(some) >= TOGETHER and n <= 512:
-                    ids, size = self._together([parts[i] for i in some])
-                else:
-                    each = [self._alone(parts[i]) if n else self.byte[np.frombuffer(parts[i], np.uint8)] for i in some]
-                    ids, size = np.concatenate(each).astype(np.int32), np.array([len(x) for x in each], np.int64)
-                order.append(np.array(some))
-                sizes.append(size)
+        """Adds words to those kept, cut where no piece can reach over. A character without a piece is such a part of its own, and stands as bytes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pair = chars[:-1] << np.uint64(32) | chars[1:]
+        at = np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)
+        cut = np.concatenate([[True], self.inside[at] != pair])
+        cut[np.cumsum(sizes)[:-1]] = True
+        begin = np.flatnonzero(cut)
+        long = np.diff(np.append(begin, len(chars)))
+        owner = np.searchsorted(np.cumsum(sizes), begin, side="right")
+        first = np.minimum(np.searchsorted(self.chars, chars[begin]), len(self.chars) - 1)
+        raw = np.flatnonzero(self.chars[first] != chars[begin])
+        long[raw] = 0
+        order, counts, flat = [raw], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        if len(raw):
+            each = [chr(c).encode() for c in chars[begin[raw]].tolist()]
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+            flat.append(self.byte[np.frombuffer(b"".join(each), np.uint8)])
+        by_length = np.argsort(long, kind="stable")[len(raw) :]
+        edges = [*np.flatnonzero(np.diff(long[by_length], prepend=0)).tolist(), len(by_length)]
+        for low, high in zip(edges, edges[1:]):
+            n = int(long[by_length[low]])
+            step = 1 + (1 << 16) // n
+            for some in (by_length[i : min(i + step, high)] for i in range(low, high, step)):
+                ids, count = self._together(chars[begin[some][:, None] + np.arange(n)])
+                order.append(some)
+                counts.append(count)
                 flat.append(ids)
-        at, size = np.concatenate(order), np.concatenate(sizes)
-        by_part = np.zeros(len(parts), np.int64)
+        at, size = np.concatenate(order), np.concatenate(counts)
+        by_part = np.zeros(len(begin), np.int64)
         by_part[at] = size
-        begin = np.cumsum(by_part) - by_part
+        begins = np.cumsum(by_part) - by_part
         ids = np.empty(int(by_part.sum()), np.int32)
-        ids[np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = np.concatenate(flat)
+        ids[np.repeat(begins[at] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = np.concatenate(flat)
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.held += len(words) * ENTRY + 4 * len(chars) + 4 * len(ids)
         self.flat.append(ids)
-        self.sizes.append(np.bincount(np.array(owner, np.int64), by_part, len(words)).astype(np.int64))
+        self.sizes.append(np.bincount(owner, by_part, len(words)).astype(np.int64))
 
     def _of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > KEPT:
+        if self.held > KEPT:
             self._clear()
         if fresh := sorted(set(words).difference(self.words)):
             self._learn(fresh)
@@ -331,19 +309,18 @@ def encoded(docs: DataFrame, vocabulary: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     new = ("ids", "n_ids", "decoded_crc32")
     kept = [c for c in docs.columns if c.lower() not in new]
+    text = [c.lower() for c in kept].index("text")
     schema = T.StructType([*docs.select(*kept).schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("decoded_crc32", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids, counts = codec.encode(batch.column(batch.num_columns - 1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-                crcs = pa.array([zlib.crc32(t.encode()) for t in codec.decode(ids, counts)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(counts), crcs], names=[*kept, *new])
-
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(apply, schema)
+        for batch in parts(batches, text, GROUP):
+            ids, counts = codec.encode(batch.column(text).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+            crcs = pa.array([zlib.crc32(t.encode()) for t in codec.decode(ids, counts)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts), crcs], names=[*kept, *new])
+
+    return docs.select(*kept).mapInArrow(apply, schema)
 
 
 _CODECS: list[Codec] = []

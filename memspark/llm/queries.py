@@ -11,7 +11,7 @@ from .common import table
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

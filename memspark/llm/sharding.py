@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_start
+from .common import cut, running_start, unused
+
+#: Equal rows that are numbered together.
+TOGETHER = 1024
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -26,32 +29,31 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at.astype(np.int32)
 
 
-def shard_of(shards: int, *keys: str | Column) -> Column:
-    """The shard of a key of any columns; nulls are keys like others."""
-
-    @F.pandas_udf("int")
-    def apply(key: pd.Series) -> pd.Series:
-        return pd.Series(jump(key.to_numpy(), shards))
-
-    return apply(F.xxhash64(*keys))
-
-
 def shards(docs: DataFrame, n: int = 24, key: str = "doc_id") -> DataFrame:
     """docs with shard and grown_shard: where the key is among n and among n + 1 shards. A null key has a shard too;
     equal keys share theirs; a column of docs with one of these names is replaced."""
-    return docs.withColumns({"shard": shard_of(n, key), "grown_shard": shard_of(n + 1, key)})
+
+    @F.pandas_udf("struct<shard:int,grown:int>")
+    def apply(key: pd.Series) -> pd.DataFrame:
+        keys = key.to_numpy()
+        return pd.DataFrame({"shard": jump(keys, n), "grown": jump(keys, n + 1)})
+
+    (both,) = unused(docs, "both")
+    return docs.withColumn(both, apply(F.xxhash64(key))).withColumns({"shard": F.col(f"{both}.shard"), "grown_shard": F.col(f"{both}.grown")}).drop(both)
 
 
 def slotted(docs: DataFrame, n: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs.
 
     size is the text's UTF-8 bytes and 8, slot a gapless number from 0 in the shard. A null text counts as empty; rows
-    that agree in doc_id and text are counted first and get consecutive slots, so a key that holds many rows is
-    one row until its slots are written; an empty table gives an empty result.
+    that agree in doc_id and text are counted first and numbered by the thousand, so a key that holds many rows is
+    dealt like many keys; other columns aren't looked at; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     each = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keyed = shards(each.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__n")), n)
-    placed = running_start(keyed, "shard", "__n", ["doc_id", "size", "text_crc32"], "__first")
+    counted = shards(each.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__n")), n)
+    keyed = cut(counted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.expr(f"cast((__n - 1) div {TOGETHER} as int)")))), "keys")
+    keyed = keyed.withColumn("__n", F.least(F.lit(TOGETHER), F.col("__n") - F.col("__part") * TOGETHER))
+    placed = running_start(keyed, "shard", "__n", ["doc_id", "size", "text_crc32", "__part"], "__first", max(16, keyed.count() >> 12))
     slot = F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 from .components import components, forest
 
 SEED, SHINGLE, BITS = 42, 4, 64
@@ -339,9 +339,8 @@ def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
     """
     rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    over = Window.partitionBy("key")
-    shared = rows.withColumns({"pivot": F.min(F.struct("node", "n")).over(over), "__last": F.max("node").over(over)})
-    shared = cut(shared.where(F.col("pivot.node") < F.col("__last")).drop("__last"), "shared")
+    pivots = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("__last")).where(F.col("pivot.node") < F.col("__last"))
+    shared = cut(rows.join(pivots.drop("__last"), "key"), "shared")
     fits = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * ALIKE
     first = shared.where((F.col("node") != F.col("pivot.node")) & fits("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(first, "pairs")
@@ -358,15 +357,22 @@ def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies: that of the least doc_id. Rows without a doc_id stay.
+    """docs with one row of each group of near copies: that of the least doc_id, and of the least hashes of its text and of its other columns where several have it.
 
     Near copies are what links join, each between two texts whose sets of shingles have a Jaccard similarity of ALIKE / OF
-    or more. A shingle is COPY_SHINGLE words, lower-cased as in fingerprints, or the whole text if it has fewer; texts of no words are
-    copies of each other.
+    or more. A shingle is COPY_SHINGLE words, lower-cased as in fingerprints, or the whole text if it has fewer. Defined
+    results: null and empty texts and texts of white space have no words and are copies of each other; rows that share a
+    doc_id and aren't near copies all stay; a null doc_id is after all others, and its rows are copies like others;
+    repeated rows are copies; an empty table gives an empty result; other columns stay as they are, whatever their names.
     """
     sets = cut(shingle_sets(docs.select("doc_id", "text")), "prefixes")
-    nodes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("at").alias("at"))
+    nodes = cut(sets.groupBy("node").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.min("at").alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
     roots = components(copy_links(docs.select("text"), nodes))
-    named = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("__kept"))
-    kept = cut(named.where("__kept is not null").select("__kept").distinct(), "kept")
-    return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    least = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    key, first = unused(docs, "kept", "first")
+    name = lambda i, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), t.cast("string")).alias(key)
+    kept = cut(least.select(name(F.col("least.id"), F.col("least.at"))), "kept")
+    own = docs.select("*", name(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(kept, key, "left_semi")
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return own.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(key, first)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from memspark.llm import audio, nearest, pieces, toxicity
+from memspark.llm import audio, common, nearest, pieces, toxicity
 from memspark.llm.queries import VOCABULARY
 
 
@@ -44,11 +44,22 @@ def test_ids_equal_the_librarys_for_any_text(codec, library, texts):
     agree(codec, library, texts)
 
 
-def test_one_word_at_a_time_gives_the_same(codec):
-    words = ["▁overwhelmingly", "▁internationalization", "▁▁x", "banana" * 30]
-    for w in words:
-        flat, sizes = codec._together([w] * 3)
-        assert flat[: sizes[0]].tolist() == codec._alone(w)
+def test_long_words_and_small_bounds_give_the_same(codec, library, monkeypatch):
+    texts = ["ab" * 3000, "banana" * 900 + "☃" + "in" * 400, "e" * 5001, "▁" * 600, "overwhelmingly " * 50]
+    agree(codec, library, texts)
+    monkeypatch.setattr(pieces, "ENDS", 17)
+    monkeypatch.setattr(pieces, "GROUP", 64)
+    monkeypatch.setattr(pieces, "KEPT", 500)
+    codec._clear()
+    agree(codec, library, texts)
+
+
+def test_slices_have_bounded_bytes():
+    texts = ["a" * n if n is not None else None for n in (3, None, 50, 0, 9, 9, 9, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["x", "y", *texts])], names=["i", "t"]).slice(2)
+    got = list(common.parts([batch, batch.slice(0, 0)], 1, 20))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 20 for b in got) and len(got) == 4
 
 
 def test_encoded_frame(spark):

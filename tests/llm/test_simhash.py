@@ -104,7 +104,19 @@ def test_near_duplicates_of_odd_rows(spark):
 def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 12, 20, 30, None]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 12, 20, 30]
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (5, a, 3), (9, b, 4), (None, a, 5), (None, c, 6), (None, c, 6), (7, None, 7), (8, [], 8)]
+    docs = spark.createDataFrame([(i, " ".join(t) if t is not None else None, k) for i, t, k in rows], "doc_id long, text string, __KEPT long").withColumn("__first", F.lit(1)).withColumn("key", F.lit("x"))
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    got = [kept.collect() for _ in range(2)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:2]) for r in got[0]) == [(-1, "c0"), (5, "a0"), (5, "b0"), (7, "")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def slow_kept(rows):
