@@ -1,17 +1,21 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy (operator 10).
 
-A text is read in overlapping windows of words. Each word enters as the log-odds of the word itself and of its
-character prefixes and suffix, counted over training texts; two gated recurrent passes read the window from both ends,
-attention pools their states, and the pooled state gives the window's logit. A text's logit is the largest of all its
-windows, and a logistic fit on training texts makes it a probability at the labels' true proportions.
-
-Fitting takes a bounded sample: at most ``POSITIVE`` and ``NEGATIVE`` labelled texts, whole and of whatever length.
-While the network is fitted, each text's inputs come from counts over the other half of the sample, so that a
-word seen in a single text doesn't give that text's label away. Scoring reads every window of every text.
+A text is read in overlapping windows of words. Each word enters as the log-odds of the word itself and of its prefixes and
+suffix, counted over training texts, and as the mean of vectors of its character trigrams, which are hashed and learned with
+the network. (Vectors of words themselves, learned likewise, told fewer held-out texts right.) Two gated recurrent passes read the window from both ends, attention pools their states, and the pooled state gives the window's
+logit. A text's logit is the largest of all its windows, and a logistic fit on training texts makes it a probability at
+the labels' true proportions. In all that is fitted, each text's log-odds come from counts over the other half of the
+sample, so that a word seen in a single text doesn't give that text's label away.
+
+Fitting takes a bounded sample: at most ``POSITIVE`` and ``NEGATIVE`` labelled texts, whole and of whatever length, which stay
+in a table of their own. The driver trains on at most ``DRAWN`` windows of each, chosen among all of the text: first those of the largest log-odds, then those that the network
+so far finds the most toxic. The logistic is fitted on the
+largest logits of all windows. Scoring reads every window of every text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,76 +23,94 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 POSITIVE, NEGATIVE = 2500, 5000
+#: Windows of a text, by label, that training draws from; the bound on them bounds the driver's memory.
+DRAWN = {1: 4, 0: 3}
 WINDOW, STRIDE = 48, 40
-HIDDEN, STEPS, BATCH, RATE = 8, 240, 192, 0.02
+#: States, rounds of training, and the steps, windows and pace of each.
+HIDDEN, ROUNDS, STEPS, BATCH, RATE = 8, 3, 100, 192, 0.02
+#: Size of trigrams' vectors, their buckets and pace, and the part of words that are trained without them.
+CHARS, BUCKETS, PACE, HIDE = 6, 1 << 14, 0.1, 0.2
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
-#: Pseudo-texts in a word's log-odds; pieces in fewer training texts than LEAST are left out.
+#: Pseudo-texts in log-odds; what fewer texts of the sample than LEAST hold has none.
 SMOOTH, LEAST = 4.0, 2
-INPUTS = 1 + len(PREFIXES) + 1 + 2
+ODDS = 2 + len(PREFIXES)
+INPUTS = ODDS + CHARS + 2
 #: Words whose inputs a Python worker keeps, and words that it scores at a time.
-KEPT, GROUP = 300_000, 200_000
+KEPT, GROUP = 100_000, 100_000
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¡¿·"
 
 
-def pieces(word: str) -> list[tuple[int, str]]:
-    """The word and its character pieces, each with its kind; the kind also begins the piece's key."""
-    out = [(0, f"0{word}")] + [(i + 1, f"{i + 1}{word[:n]}") for i, n in enumerate(PREFIXES) if len(word) >= n]
-    kind = len(PREFIXES) + 1
-    return out + [(kind, f"{kind}{word[-SUFFIX:]}")] if len(word) >= SUFFIX else out
+def plain(raw: str) -> str:
+    return raw.strip(_EDGE).lower()
 
 
-class Vocabulary:
-    """The words of a sample as numbers, their pieces, and how many texts of each half and label hold each piece."""
-
-    def __init__(self, texts: list[str], labels: np.ndarray, half: np.ndarray) -> None:
-        number: dict[str, int] = {}
-        self.texts = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
-        self.names: dict[str, int] = {}
-        self.pieces = np.full((len(number), len(PREFIXES) + 2), -1, np.int32)
-        self.length = np.zeros(len(number), np.float32)
-        for i, raw in enumerate(number):
-            word = raw.strip(_EDGE).lower()
-            self.length[i] = length_input(word)
-            for kind, piece in pieces(word):
-                self.pieces[i, kind] = self.names.setdefault(piece, len(self.names))
-        self.count = np.zeros((2, 2, len(self.names)), np.int32)
-        for ids, y, h in zip(self.texts, labels, half):
-            held = np.unique(self.pieces[np.unique(ids)])
-            self.count[h, y, held[held >= 0]] += 1
-
-    def odds(self, halves: list[int], share: float) -> np.ndarray:
-        """Smoothed log-odds of each piece in the texts of these halves, less those of the labels; 0 for rare ones."""
-        no, yes = self.count[halves].sum(0)
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        x = np.log((yes + SMOOTH * share) / (no + SMOOTH * (1 - share))) - np.log(share / (1 - share))
-        # halved, in steps: so few different inputs that their projections stay in cache
-        return np.where((yes + no >= LEAST) & (np.abs(x) > 0.2), np.round(x * 5) / 10, 0)
-
-    def inputs(self, odds: np.ndarray) -> np.ndarray:
-        """A row of network inputs for each word."""
-        out = np.ones((len(self.pieces), INPUTS), np.float32)
-        out[:, : INPUTS - 2] = np.append(odds, 0)[self.pieces]  # what is missing takes the last, a 0
-        out[:, -2] = self.length
-        return out
+def trigrams(word: str) -> list[int]:
+    """Buckets of the trigrams of a word between two marks; there is one at least."""
+    marked = f"<{word}>"
+    return [zlib.crc32(marked[i : i + 3].encode()) % BUCKETS for i in range(max(1, len(marked) - 2))]
 
 
 def length_input(word: str) -> float:
     return min(len(word), 20) // 4 / 5
 
 
-def inputs(words: list[str], table: dict[str, float]) -> np.ndarray:
-    """A row of network inputs for each word, as it stands in the text."""
-    out = np.zeros((len(words), INPUTS), np.float32)
-    get = table.get
-    for i, raw in enumerate(words):
-        word = raw.strip(_EDGE).lower()
-        for kind, piece in pieces(word):
-            if x := get(piece):
-                out[i, kind] = x
-        out[i, -2] = length_input(word)
-    out[:, -1] = 1
-    return out
+def pieces(word: str) -> list[tuple[int, str]]:
+    """The word, its prefixes and its suffix, each with its kind; the kind also begins the piece's key."""
+    out = [(0, f"0{word}")] + [(i + 1, f"{i + 1}{word[:n]}") for i, n in enumerate(PREFIXES) if len(word) >= n]
+    return out + [(ODDS - 1, f"{ODDS - 1}{word[-SUFFIX:]}")] if len(word) >= SUFFIX else out
+
+
+def half_of(id_: int) -> int:
+    return zlib.crc32(str(id_).encode()) >> 9 & 1
+
+
+def counted(sample: DataFrame) -> pd.DataFrame:
+    """The pieces that LEAST texts or more hold, and how many of each half and label do: piece, n0 to n3 by 2 * half + label."""
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, list[int]] = {}
+        for frame in frames:
+            for i, text, toxic in zip(frame["__id"], frame["text"], frame["__toxic"]):
+                for piece in {k for w in set(map(plain, text.split())) for _, k in pieces(w)}:
+                    found.setdefault(piece, [0, 0, 0, 0])[2 * half_of(i) + toxic] += 1
+        yield pd.DataFrame([(k, *n) for k, n in found.items()], columns=["piece", "n0", "n1", "n2", "n3"])
+
+    sums = sample.mapInPandas(apply, "piece string, n0 long, n1 long, n2 long, n3 long").groupBy("piece").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
+    # bounded as the sample is
+    return sums.where(f"n0 + n1 + n2 + n3 >= {LEAST}").orderBy("piece").toPandas()
+
+
+def odds(counts: pd.DataFrame, halves: list[int], share: float) -> dict[str, float]:
+    """Smoothed log-odds of each piece in the texts of these halves, less those of the labels; none for what says little."""
+    no, yes = (sum(counts[f"n{2 * h + y}"].to_numpy(np.float64) for h in halves) for y in (0, 1))
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    x = np.log((yes + SMOOTH * share) / (no + SMOOTH * (1 - share))) - np.log(share / (1 - share))
+    x = np.where(yes + no >= LEAST, np.round(x * 5) / 10, 0)
+    return {k: float(v) for k, v in zip(counts["piece"], x) if abs(v) > 0.1}
+
+
+class Vocabulary:
+    """The words of training windows as numbers, one for each half of the sample: their log-odds and trigrams."""
+
+    def __init__(self, windows: list[str], owners: list[int], tables: list[dict[str, float]]) -> None:
+        number: dict[tuple[str, int], int] = {}
+        self.at = np.full((len(windows), WINDOW), -1, np.int32)
+        for row, (window, owner) in enumerate(zip(windows, owners)):
+            half = half_of(owner)
+            for k, raw in enumerate(window.split()[:WINDOW]):
+                self.at[row, k] = number.setdefault((plain(raw), half), len(number))
+        self.fixed = np.zeros((len(number), ODDS), np.float32)
+        for i, (word, half) in enumerate(number):
+            for kind, piece in pieces(word):
+                self.fixed[i, kind] = tables[half].get(piece, 0)
+        grams = [trigrams(w) for w, _ in number]
+        self.count = np.fromiter(map(len, grams), np.int64, len(grams))
+        self.begin = np.cumsum(self.count) - self.count
+        self.grams = np.fromiter((g for x in grams for g in x), np.int32, int(self.count.sum()))
+        self.length = np.fromiter((length_input(w) for w, _ in number), np.float32, len(number))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -166,7 +188,7 @@ def logits(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndar
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted cross-entropy of windows x (steps x inputs x windows)."""
+    """Of the weighted cross-entropy of windows x (steps x inputs x windows); that of x itself too."""
     hf, kf = recur(np.matmul(p["Wf"].T, x), p["Uf"], mask, True)
     hb, kb = recur(np.matmul(p["Wb"].T, x[::-1]), p["Ub"], mask[::-1], True)
     h, a, pooled = _pooled(p, hf, hb, mask)
@@ -178,6 +200,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.n
     xf, uf = recur_back(dh[:, :HIDDEN], p["Uf"], mask, kf)
     xb, ub = recur_back(dh[::-1, HIDDEN:], p["Ub"], mask[::-1], kb)
     return {
+        "x": np.matmul(p["Wf"], xf) + np.matmul(p["Wb"], xb)[::-1],
         "Wf": np.einsum("tib,tob->io", x, xf, optimize=True), "Uf": uf, "Wb": np.einsum("tib,tob->io", x[::-1], xb, optimize=True), "Ub": ub,
         "v": np.einsum("tb,thb->h", de, h), "w": pooled @ d, "c": np.array([d.sum()], np.float32),
     }
@@ -207,111 +230,181 @@ def starts(n: int) -> list[int]:
     return list(range(0, max(1, n - (WINDOW - STRIDE)), STRIDE))
 
 
-def _windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of a text's inputs (steps x windows x inputs), and where they have words."""
-    at = np.arange(WINDOW)[:, None] + np.array(starts(len(x)))[None, :]
-    mask = at < len(x)
-    return (x[np.minimum(at, len(x) - 1)] if len(x) else np.zeros((*at.shape, INPUTS), np.float32)), mask
+class Trainer:
+    """Network and vectors in training; windows are rows of numbers of a vocabulary."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.p = parameters(self.rng)
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.chars = (self.rng.standard_normal((BUCKETS, CHARS)) * 0.1).astype(np.float32)
+        self.seen = np.full(self.chars.shape, 1e-4, np.float32)
+        self.step = 0
+
+    def train(self, v: Vocabulary, y: np.ndarray, steps: int) -> None:
+        """Steps of stochastic descent, half of each batch from each label."""
+        rng, p = self.rng, self.p
+        sides = [np.flatnonzero(y == label) for label in (0, 1)]
+        for k in range(steps):
+            pick = np.concatenate([rng.choice(side, BATCH // 2) for side in sides])
+            at = v.at[pick].T
+            mask = at >= 0
+            ids, back = np.unique(np.where(mask, at, 0), return_inverse=True)
+            back = back.ravel()
+            count = v.count[ids]
+            grams = v.grams[np.repeat(v.begin[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            shown = (rng.random(len(ids)) >= HIDE)[:, None]
+            mean = shown * np.add.reduceat(self.chars[grams], np.cumsum(count) - count, axis=0) / count[:, None]
+            each = np.concatenate([v.fixed[ids], mean, v.length[ids][:, None], np.ones((len(ids), 1), np.float32)], axis=1).astype(np.float32)
+            x = np.ascontiguousarray(each[back].reshape(*at.shape, INPUTS).transpose(0, 2, 1))
+            found = gradients(p, x, mask, y[pick].astype(np.float32), np.ones(len(pick), np.float32))
+            dx = (found.pop("x") * mask[:, None, :]).transpose(0, 2, 1).reshape(-1, INPUTS)[:, ODDS : ODDS + CHARS]
+            dx = shown * np.stack([np.bincount(back, dx[:, c], len(ids)) for c in range(CHARS)], 1)
+            # each step of a bucket is shorter the more it has moved
+            own, inner = np.unique(grams, return_inverse=True)
+            share = np.repeat(dx / count[:, None], count, axis=0)
+            grad = np.stack([np.bincount(inner, share[:, c], len(own)) for c in range(CHARS)], 1).astype(np.float32)
+            self.seen[own] += grad * grad
+            self.chars[own] -= PACE * (1 - k / steps) * grad / np.sqrt(self.seen[own])
+            self.step += 1
+            for name, grad in found.items():
+                grad = np.clip(grad, -1, 1)
+                self.first[name] = 0.9 * self.first[name] + 0.1 * grad
+                self.second[name] = 0.99 * self.second[name] + 0.01 * grad * grad
+                move = (self.first[name] / (1 - 0.9**self.step)) / (np.sqrt(self.second[name] / (1 - 0.99**self.step)) + 1e-7)
+                p[name] = (p[name] - RATE * (1 - k / steps) * move).astype(np.float32)
+
+    def model(self, table: dict[str, float]) -> dict:
+        return {"p": self.p, "table": table, "chars": self.chars, "a": 1.0, "b": 0.0}
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[DataFrame, float]:
+    """Texts of labelled rows outside the held-out fold (__id, text, __toxic), and the part of labels that are 1.
+
+    The first ids by hash of each label; their texts follow by a join with at most POSITIVE + NEGATIVE broadcast ids, and stay
+    in a table in the shared folder. A doc_id with several labels is toxic if one of them says so; equal texts of a label are one.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
+    counts = dict(known.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect())
+    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
+    picked = [r for y, n in ((1, POSITIVE), (0, NEGATIVE)) for r in known.where((F.col("toxic") == 1) if y else (F.col("toxic") != 1)).orderBy(*order).limit(n).collect()]
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic == 1)) for r in picked], "__id long, __toxic int")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy(F.xxhash64("text").alias("__hash"), "__toxic").agg(F.min("__id").alias("__id"), F.min("text").alias("text"))
+    return cut(rows.select("__id", "text", "__toxic"), "sample"), counts.get(True, 0) / max(1, sum(counts.values()))
+
+
+def _drawn(sample: DataFrame, models: list[dict]) -> pd.DataFrame:
+    """__id, __toxic, place and window: DRAWN windows of each text, those of the largest logits by the model of the text's half."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [Scorer(m) for m in shared.value]
+        for frame in frames:
+            rows, half = [], np.array([half_of(i) for i in frame["__id"]], np.int64)
+            for h in (0, 1):
+                for at in range(0, int((half == h).sum()), 100):
+                    some = frame[half == h].iloc[at : at + 100]
+                    texts = [t.split() for t in some["text"]]
+                    for i, toxic, words, found in zip(some["__id"], some["__toxic"], texts, own[h].windows(texts)):
+                        best = np.argsort(-found, kind="stable")[: DRAWN[toxic]] * STRIDE
+                        rows += [(i, toxic, place, " ".join(words[k : k + WINDOW])) for place, k in enumerate(best)]
+            yield pd.DataFrame(rows, columns=["__id", "__toxic", "place", "window"])
+
+    # at most so many windows of WINDOW words each
+    found = sample.mapInPandas(apply, "__id long, __toxic int, place int, window string").toPandas()
+    return found.sort_values(["__id", "__toxic", "place", "window"], ignore_index=True)
+
 
+def _logits(sample: DataFrame, models: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit of each text, by the model of its half, and the labels."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
 
-def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> dict:
-    """The model: network, log-odds table, and the logistic that turns a text's largest logit into a score.
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [Scorer(m) for m in shared.value]
+        for frame in frames:
+            half = np.array([half_of(i) for i in frame["__id"]], np.int64)
+            for h in (0, 1):
+                some = frame[half == h]
+                yield pd.DataFrame({"toxic": some["__toxic"], "logit": own[h].largest(some["text"].tolist())})
+
+    found = sample.mapInPandas(apply, "toxic int, logit double").toPandas().sort_values(["toxic", "logit"])
+    return found["logit"].to_numpy(), found["toxic"].to_numpy()
+
+
+def fit(sample: DataFrame, share: float, seed: int = 5) -> dict:
+    """The model: network, log-odds, vectors, and the logistic that turns a text's largest logit into a score.
 
     share is the part of all labels that are 1. With labels of one kind only, or none, every score is that part.
     """
-    rng = np.random.default_rng(seed)
-    model = {"share": share, "p": None, "table": {}}
-    if len(set(labels.tolist())) < 2:
-        return model
-    half = rng.integers(0, 2, len(texts))
-    words = Vocabulary(texts, labels, half)
-    part = float(labels.mean())
-    at_half = [words.inputs(words.odds([1 - h], part)) for h in (0, 1)]
-    rows = [at_half[h][ids] for ids, h in zip(words.texts, half)]
-    xs, masks, ys = [], [], []
-    for x, y in zip(rows, labels):
-        w, m = _windows(x)
-        strength = np.where(m, w[:, :, : INPUTS - 2].max(2), 0).max(0)
-        top = int(strength.argmax())
-        for i in [top] if y else sorted({top, int(rng.integers(0, w.shape[1]))}):
-            xs.append(w[:, i])
-            masks.append(m[:, i])
-            ys.append(y)
-    x, mask, y = np.stack(xs, 2), np.stack(masks, 1), np.array(ys, np.float32)
-    weight = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum()))).astype(np.float32)
-    p = parameters(rng)
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-STEPS * BATCH // len(y)))])
-    for step in range(1, STEPS + 1):
-        pick, rate = order[(step - 1) * BATCH : step * BATCH], RATE * (1 - (step - 1) / STEPS)
-        for k, g in gradients(p, np.ascontiguousarray(x[:, :, pick]), mask[:, pick], y[pick], weight[pick]).items():
-            g = np.clip(g, -1, 1)
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            p[k] = (p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    own = Scorer({"p": p})
-    best = np.concatenate([own.largest(rows[at : at + 200]) for at in range(0, len(rows), 200)])
+    sizes = dict(sample.groupBy("__toxic").count().collect())
+    if len(sizes) < 2:
+        return {"p": None, "share": share}
+    counts, part = counted(sample), sizes[1] / (sizes[0] + sizes[1])
+    crossed = [odds(counts, [1 - h], part) for h in (0, 1)]
+    trainer, clean = Trainer(seed), []
+    for turn in range(ROUNDS):
+        drawn = _drawn(sample, [trainer.model(t) for t in crossed] if turn else [{**trainer.model(t), "p": None} for t in crossed])
+        clean.append(drawn[drawn["__toxic"] == 0])
+        # only the most toxic window of a toxic text stands for it
+        rows = pd.concat([drawn[(drawn["__toxic"] == 1) & (drawn["place"] == 0)], *clean], ignore_index=True)
+        trainer.train(Vocabulary(rows["window"].tolist(), rows["__id"].tolist(), crossed), rows["__toxic"].to_numpy(), STEPS)
+    best, labels = _logits(sample, [trainer.model(t) for t in crossed])
     # each class has its true part of the labels
     weight = np.where(labels > 0, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
     a, b = logistic(best, labels, weight)
-    odds = words.odds([0, 1], part)
-    return model | {"p": p, "table": {k: float(odds[i]) for k, i in words.names.items() if odds[i]}, "a": a, "b": b}
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray, float]:
-    """Texts, labels and the part of labels that are 1, from rows outside the held-out fold.
-
-    The first ids by hash of each label; their texts follow by a join with at most POSITIVE + NEGATIVE broadcast ids.
-    A doc_id with several labels is toxic if one of them says so.
-    """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
-    counts = dict(known.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect())
-    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
-    picked = [r for y, n in ((1, POSITIVE), (0, NEGATIVE)) for r in known.where((F.col("toxic") == 1) if y else (F.col("toxic") != 1)).orderBy(*order).limit(n).collect()]
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic == 1)) for r in picked], "__id long, __toxic int")
-    rows = docs.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic").collect()
-    texts: dict[str, tuple[int, int]] = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        texts.setdefault(r.text, (r.doc_id, r[2]))
-    return list(texts), np.array([y for _, y in texts.values()], np.int64), counts.get(True, 0) / max(1, sum(counts.values()))
+    return trainer.model(odds(counts, [0, 1], part)) | {"share": share, "a": a, "b": b}
 
 
 class Scorer:
     """A model at work in a Python worker: keeps the projected inputs of words that it has met."""
 
     def __init__(self, model: dict) -> None:
-        self.model, self.ids, self.rows = model, {}, {}
-        if model["p"]:
+        self.model, self.ids = model, {}
+        if model["p"] is not None:
             self.weights = np.concatenate([model["p"]["Wf"], model["p"]["Wb"]], axis=1)
-            self.table = np.zeros((0, self.weights.shape[1]), np.float32)
+            self.table = np.zeros((KEPT + GROUP, self.weights.shape[1]), np.float32)
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """A row of network inputs for each word, as it stands in the text."""
+        named, out, get = [plain(w) for w in words], np.ones((len(words), INPUTS), np.float32), self.model["table"].get
+        out[:, :ODDS] = 0
+        for i, word in enumerate(named):
+            for kind, piece in pieces(word):
+                if x := get(piece):
+                    out[i, kind] = x
+        grams = list(map(trigrams, named))
+        count = np.fromiter(map(len, grams), np.int64, len(grams))
+        flat = self.model["chars"][np.fromiter((g for x in grams for g in x), np.int64, int(count.sum()))]
+        out[:, ODDS : ODDS + CHARS] = np.add.reduceat(flat, np.cumsum(count) - count, axis=0) / count[:, None]
+        out[:, -2] = np.fromiter(map(length_input, named), np.float32, len(named))
+        return out
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        """The row of the table that holds each word's projected inputs; words with the same inputs share one."""
+        """The row of the table that holds each word's projected inputs."""
         ids = self.ids
         if len(ids) > KEPT:
             ids.clear()
         if fresh := sorted(set(words).difference(ids)):
-            x = inputs(fresh, self.model["table"])
-            size, new = len(self.rows), []
-            for word, key, row in zip(fresh, map(bytes, x), x):
-                if (at := self.rows.get(key)) is None:
-                    self.rows[key] = at = size + len(new)
-                    new.append(row)
-                ids[word] = at
-            if new:
-                self.table = np.concatenate([self.table, np.stack(new) @ self.weights])
+            size = len(ids)
+            if size + len(fresh) > len(self.table):  # a batch of more words than GROUP
+                self.table = np.concatenate([self.table, np.zeros((size + len(fresh) - len(self.table), self.table.shape[1]), np.float32)])
+            self.table[size : size + len(fresh)] = self.inputs(fresh) @ self.weights
+            ids.update(zip(fresh, range(size, size + len(fresh))))
         return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
-    def largest(self, rows: list[np.ndarray]) -> np.ndarray:
-        """The largest logit of the windows of each text, given the inputs of its words."""
-        begin = np.concatenate([np.array(starts(len(r))) + a for r, a in zip(rows, np.cumsum([0, *map(len, rows)]))])
-        n = [len(starts(len(r))) for r in rows]
-        ends = np.repeat(np.cumsum([*map(len, rows)]), n)
-        self.table = np.concatenate([*rows, np.zeros((1, INPUTS), np.float32)]) @ self.weights
-        out = np.full(len(rows), -np.inf)
-        np.maximum.at(out, np.repeat(np.arange(len(rows)), n), self._window_logits(np.arange(len(self.table)), begin, ends))
-        return out
+    def windows(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The logits of all windows of each of these texts' words; before training, the largest log-odds of a word."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        words, first, begins = [w for t in texts for w in t], np.cumsum(n) - n, [np.array(starts(x)) for x in n.tolist()]
+        if self.model["p"] is None:
+            each = self.inputs(words)[:, :ODDS].max(1) if words else np.zeros(0)
+            return [np.array([each[f + a : f + min(a + WINDOW, k)].max(initial=0) for a in b]) for f, k, b in zip(first, n, begins)]
+        count = np.fromiter(map(len, begins), np.int64, len(begins))
+        ends = np.repeat(first + n, count)
+        out = self._window_logits(np.append(self._rows(words), 0), np.concatenate(begins) + np.repeat(first, count), ends)
+        return np.split(out, np.cumsum(count)[:-1])
 
     def _window_logits(self, at: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.empty(len(begin), np.float32)
@@ -323,8 +416,12 @@ class Scorer:
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if not self.model["p"]:
+        if self.model["p"] is None:
             return np.full(len(texts), self.model["share"])
+        return _sigmoid(self.model["a"] * self.largest(texts) + self.model["b"])
+
+    def largest(self, texts: list[str | None]) -> np.ndarray:
+        """The largest logit of the windows of each text."""
         best, words, spans = np.full(len(texts), -np.inf), [], []
 
         def flush() -> None:
@@ -350,7 +447,7 @@ class Scorer:
                 if len(words) >= GROUP:
                     flush()
         flush()
-        return _sigmoid(self.model["a"] * best + self.model["b"])
+        return best
 
 
 def scorer(spark: SparkSession, model: dict) -> Column:
@@ -361,7 +458,8 @@ def scorer(spark: SparkSession, model: dict) -> Column:
     def apply(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(shared.value)
         for batch in texts:
-            yield pd.Series(own.score(batch.tolist()), dtype="float64")
+            made = [own.score(some) for at in range(0, len(batch), 500) if (some := batch.iloc[at : at + 500].tolist())]
+            yield pd.Series(np.concatenate([np.zeros(0), *made]), dtype="float64")
 
     return apply
 

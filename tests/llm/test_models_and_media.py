@@ -196,7 +196,7 @@ def test_gradients_equal_differences():
         return float((weight * (np.logaddexp(0, s) - y * s)).mean())
 
     for name, g in toxicity.gradients(p, x, mask, y, weight).items():
-        flat = p[name].reshape(-1)
+        flat = x.reshape(-1) if name == "x" else p[name].reshape(-1)
         for i in rng.choice(flat.size, min(4, flat.size), replace=False):
             old = flat[i]
             flat[i] = old + 1e-2
@@ -252,5 +252,55 @@ def test_long_labelled_texts_are_in_the_training_sample(spark):
     rows = [(i, " ".join(["word"] * (3000 if i % 3 == 0 else 20)) + f" {i}", int(i % 3 == 0)) for i in range(60)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    texts, y, _ = toxicity.training_sample(docs, labels)
-    assert set(zip(texts, y.tolist())) == {(t, v) for i, t, v in rows if zlib.crc32(str(i).encode()) % 5} and len(set(y.tolist())) == 2
+    sample, share = toxicity.training_sample(docs, labels)
+    got = sample.collect()
+    assert {(r.text, r[2]) for r in got} == {(t, v) for i, t, v in rows if zlib.crc32(str(i).encode()) % 5} and 0.2 < share < 0.5
+    drawn = toxicity._drawn(sample, [{"p": None, "table": {}, "chars": np.zeros((toxicity.BUCKETS, toxicity.CHARS))}] * 2)
+    assert drawn.groupby(["__id", "__toxic"]).size().max() <= max(toxicity.DRAWN.values()) and drawn["window"].str.split().str.len().max() <= toxicity.WINDOW
+
+
+def slow_logit(model, text):
+    """The largest logit of a text's windows, a word at a time."""
+    p, h = model["p"], toxicity.HIDDEN
+    words = (text or "").split()
+
+    def vector(raw):
+        w = toxicity.plain(raw)
+        grams = [model["chars"][g] for g in toxicity.trigrams(w)]
+        odds = np.zeros(toxicity.ODDS)
+        for kind, piece in toxicity.pieces(w):
+            odds[kind] = model["table"].get(piece, 0)
+        return np.concatenate([odds, np.mean(grams, axis=0), [toxicity.length_input(w), 1]])
+
+    def run(xs, W, U):
+        state, out = np.zeros(h), []
+        for x in xs:
+            u, v = state @ U, x @ W
+            z, r = 1 / (1 + np.exp(-(u + v)[:h])), 1 / (1 + np.exp(-(u + v)[h : 2 * h]))
+            c = np.tanh(r * u[2 * h :] + v[2 * h :])
+            state = z * state + (1 - z) * c
+            out.append(state)
+        return np.array(out)
+
+    best = -np.inf
+    for at in toxicity.starts(len(words)):
+        xs = [vector(w) for w in words[at : at + toxicity.WINDOW]]
+        if not xs:
+            return float(p["c"][0])
+        states = np.concatenate([run(xs, p["Wf"], p["Uf"]), run(xs[::-1], p["Wb"], p["Ub"])[::-1]], axis=1)
+        a = np.exp(states @ p["v"])
+        best = max(best, float((a / a.sum()) @ states @ p["w"] + p["c"][0]))
+    return best
+
+
+def test_scores_equal_a_plain_pass_over_all_windows(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = toxicity.Trainer(3).model({k: float(rng.normal()) for _, t, _ in toxic_corpus(30) for w in t.split() for _, k in toxicity.pieces(toxicity.plain(w))}) | {"share": 0.1}
+    model["chars"] = model["chars"] * 10
+    texts = [None, "", " \n", "one", "x" * 500] + [" ".join(rng.choice([w for _, t, _ in toxic_corpus(30) for w in t.split()], n)) for n in (47, 48, 49, 88, 89, 400)]
+    want = [slow_logit(model, t) for t in texts]
+    assert toxicity.Scorer(model).largest(texts) == pytest.approx(want, abs=1e-4)
+    assert [max(x) for x in toxicity.Scorer(model).windows([(t or "").split() for t in texts])] == pytest.approx(want, abs=1e-4)
+    monkeypatch.setattr(toxicity, "KEPT", 20)
+    monkeypatch.setattr(toxicity, "GROUP", 50)
+    assert toxicity.Scorer(model).largest(texts) == pytest.approx(want, abs=1e-4)
