@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: What counts as a word in every size and shingle: a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -45,11 +46,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    What was shuffled for it is of no more use once it is written, so the session is asked to let go of that at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/memspark-{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_LET_GO, None)
+    spark.conf.set(_LET_GO, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_LET_GO)
+        else:
+            spark.conf.set(_LET_GO, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what cut has written for these; for tables that only other written tables were made of."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def running_start(df: DataFrame, group: str, weight: str, order: list[str], out: str, buckets: int) -> DataFrame:

@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import cut, discard, unused
 from .components import components, forest
 
 SEED, SHINGLE, BITS = 42, 4, 64
 #: Words of a near copy's shingles, and the Jaccard similarity of near copies as a fraction.
 COPY_SHINGLE, ALIKE, OF = 5, 4, 5
-#: Texts whose shingles tell which are common, and common ones told; they set an order and never what is found.
+#: Texts, about, whose shingles tell which are common, and common ones told; they set an order and never what is found.
 COUNTED, COMMON = 10_000, 200_000
 #: Longs of a sketch of a set of shingles.
 SKETCH = 8
@@ -261,14 +261,15 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that several of a sample of texts hold, sorted, and how many of them do."""
-    few = docs.select("text").withColumn("__at", F.xxhash64("text")).orderBy("__at").limit(COUNTED)
+    share = COUNTED / max(1, docs.count())
+    few = docs.select("text").where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 32)) < int(share * (1 << 32)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t.as_py()) for t in batch.column(0))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    counts = few.select("text").repartition(8).mapInArrow(apply, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = few.mapInArrow(apply, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
     shingles, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(shingles)
@@ -329,21 +330,24 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("at"), "text").join(asked, "at").dropDuplicates(["node"]).select("node", "text")
     sets = cut(texts.mapInArrow(read, "node long, shingles array<long>"), "sets")
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return cut(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    found = cut(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    discard(sets, pairs)
+    return found
 
 
 def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (node, n, sketch, prefix, and at of one text): within a component as connected as all pairs of near copies.
 
-    First each node is compared with one other for each shingle of its prefix; then those pairs are that share a shingle and
-    that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
+    First each node is compared with one other: of the least nodes for each shingle of its prefix, that with the most such
+    shingles. Then those pairs are that share a shingle of theirs and that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
     """
     rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    pivots = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("__last")).where(F.col("pivot.node") < F.col("__last"))
-    shared = cut(rows.join(pivots.drop("__last"), "key"), "shared")
+    over = Window.partitionBy("key")
+    shared = rows.withColumns({"pivot": F.min(F.struct("node", "n")).over(over), "__last": F.max("node").over(over)})
+    shared = cut(shared.where(F.col("pivot.node") < F.col("__last")).drop("__last"), "shared")
     fits = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * ALIKE
-    first = shared.where((F.col("node") != F.col("pivot.node")) & fits("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(first, "pairs")
+    first = shared.where((F.col("node") != F.col("pivot.node")) & fits("n", "pivot.n")).groupBy(F.col("pivot.node").alias("a"), F.col("node").alias("b")).count()
+    first = cut(first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"), "pairs")
 
     found = _alike(first, nodes, docs)
     roots = components(found)
@@ -365,7 +369,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc_id and aren't near copies all stay; a null doc_id is after all others, and its rows are copies like others;
     repeated rows are copies; an empty table gives an empty result; other columns stay as they are, whatever their names.
     """
-    sets = cut(shingle_sets(docs.select("doc_id", "text")), "prefixes")
+    sets = shingle_sets(docs.select("doc_id", "text"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("at").alias("at"))
     nodes = cut(sets.groupBy("node").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.min("at").alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
     roots = components(copy_links(docs.select("text"), nodes))

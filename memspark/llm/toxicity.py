@@ -39,7 +39,7 @@ SMOOTH, LEAST = 4.0, 2
 ODDS = 2 + len(PREFIXES)
 INPUTS = ODDS + CHARS + 2
 #: Words whose inputs a Python worker keeps, and words that it scores at a time.
-KEPT, GROUP = 100_000, 100_000
+KEPT, GROUP = 250_000, 50_000
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¡¿·"
 
 
@@ -47,10 +47,15 @@ def plain(raw: str) -> str:
     return raw.strip(_EDGE).lower()
 
 
-def trigrams(word: str) -> list[int]:
-    """Buckets of the trigrams of a word between two marks; there is one at least."""
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + 3].encode()) % BUCKETS for i in range(max(1, len(marked) - 2))]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of each word between two marks, word by word, and how many each word has; an empty word has one of marks alone."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    chars = np.frombuffer("".join([f"<{w}>" for w in words] + [">"]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    at = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - 2, 1)
+    where = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    h = (chars[where] * np.uint64(1_000_003) + chars[where + 1]) * np.uint64(1_000_003) + np.where(np.repeat(sizes, count) > 2, chars[where + 2], 0)
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % BUCKETS, count
 
 
 def length_input(word: str) -> float:
@@ -106,10 +111,8 @@ class Vocabulary:
         for i, (word, half) in enumerate(number):
             for kind, piece in pieces(word):
                 self.fixed[i, kind] = tables[half].get(piece, 0)
-        grams = [trigrams(w) for w, _ in number]
-        self.count = np.fromiter(map(len, grams), np.int64, len(grams))
+        self.grams, self.count = trigrams([w for w, _ in number])
         self.begin = np.cumsum(self.count) - self.count
-        self.grams = np.fromiter((g for x in grams for g in x), np.int32, int(self.count.sum()))
         self.length = np.fromiter((length_input(w) for w, _ in number), np.float32, len(number))
 
 
@@ -374,10 +377,8 @@ class Scorer:
             for kind, piece in pieces(word):
                 if x := get(piece):
                     out[i, kind] = x
-        grams = list(map(trigrams, named))
-        count = np.fromiter(map(len, grams), np.int64, len(grams))
-        flat = self.model["chars"][np.fromiter((g for x in grams for g in x), np.int64, int(count.sum()))]
-        out[:, ODDS : ODDS + CHARS] = np.add.reduceat(flat, np.cumsum(count) - count, axis=0) / count[:, None]
+        grams, count = trigrams(named)
+        out[:, ODDS : ODDS + CHARS] = np.add.reduceat(self.model["chars"][grams], np.cumsum(count) - count, axis=0) / count[:, None]
         out[:, -2] = np.fromiter(map(length_input, named), np.float32, len(named))
         return out
 

@@ -266,7 +266,7 @@ def slow_logit(model, text):
 
     def vector(raw):
         w = toxicity.plain(raw)
-        grams = [model["chars"][g] for g in toxicity.trigrams(w)]
+        grams = [model["chars"][g] for g in toxicity.trigrams([w])[0]]
         odds = np.zeros(toxicity.ODDS)
         for kind, piece in toxicity.pieces(w):
             odds[kind] = model["table"].get(piece, 0)
