@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, unused
@@ -37,7 +37,7 @@ SEED, SHINGLE, BITS = 42, 4, 64
 COPY_SHINGLE, ALIKE, OF = 5, 4, 5
 #: Texts, about, whose shingles tell which are common, and common ones told; they set an order and never what is found.
 COUNTED, COMMON = 10_000, 200_000
-#: Longs of a sketch of a set of shingles.
+#: Longs of a sketch of a set of shingles at least.
 SKETCH = 8
 #: Fingerprints that the plan's correlations are estimated on, and those whose pairs estimate candidates.
 SAMPLE, PAIRED = 20_000, 2_000
@@ -248,12 +248,21 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
-    """Each bit tells whether an odd number of shingles falls on it, so two sets differ in as many shingles at least as their sketches do in bits."""
-    n = 64 * SKETCH
+    """Each bit tells whether an odd number of shingles falls on it, so two sets differ in as many shingles at least as their
+    sketches do in bits. There are about as many bits as shingles, a power of two; half of them, folded, are the shorter sketch."""
+    n = 64 * max(SKETCH, 1 << max(0, -(-len(x) // 64) - 1).bit_length())
     odd = np.bincount((_mixed(x) % np.uint64(n)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """In how many bits the sketches in two columns differ, at the length of the shorter one."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    fold = lambda x, n: F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), xor)).otherwise(x)
+    bits = F.zip_with(fold(a, F.size(b)), fold(b, F.size(a)), lambda p, q: F.bit_count(xor(p, q)))
+    return F.aggregate(bits, F.lit(0), lambda total, c: total + c)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
@@ -310,8 +319,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     small = nodes.select("node", "n", "sketch")
     x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
-    pairs = cut(pairs.join(y, "b").join(x, "a").where(differ * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)).select("a", "b"), "pairs")
+    pairs = cut(pairs.join(y, "b").join(x, "a").where(_differ(F.col("ka"), F.col("kb")) * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)).select("a", "b"), "pairs")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,7 +39,7 @@ SMOOTH, LEAST = 4.0, 2
 ODDS = 2 + len(PREFIXES)
 INPUTS = ODDS + CHARS + 2
 #: Words whose inputs a Python worker keeps, and words that it scores at a time.
-KEPT, GROUP = 250_000, 50_000
+KEPT, GROUP = 150_000, 50_000
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¡¿·"
 
 
