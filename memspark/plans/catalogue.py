@@ -56,18 +56,17 @@ def _semantic_sql(k: int, where: str = "true", source: str = "semantic") -> str:
 
 
 def _now_queries(t: Callable) -> DataFrame:
-    """The queries with a now and a text of their first two words, as the keyword channel reads them."""
-    two = F.array_join(F.slice(text.words(F.col("full_text")), 1, 2), " ")
-    return t("queries").withColumns({"text": two, "now": F.lit(NOW).cast("timestamp_ntz"), "anchor_start": F.lit("2024-01-01").cast("timestamp_ntz"), "anchor_end": F.lit("2024-01-15").cast("timestamp_ntz")})
+    """The queries with a now and an anchor."""
+    return t("queries").withColumns({"now": F.lit(NOW).cast("timestamp_ntz"), "anchor_start": F.lit("2024-01-01").cast("timestamp_ntz"), "anchor_end": F.lit("2024-01-15").cast("timestamp_ntz")})
 
 
 _KEYWORD_SQL = """SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'keyword' AS source FROM (
     SELECT q.query_id, x.fact_id, CAST(sum(x.tf) AS DOUBLE) AS score FROM
-      (SELECT DISTINCT query_id, bank_id, unnest(list_slice(regexp_extract_all(lower(full_text), '[a-z]+'), 1, 2)) AS term FROM {queries}) q
+      (SELECT DISTINCT query_id, bank_id, unnest(regexp_extract_all(lower(full_text), '[a-z]+')) AS term FROM {queries}) q
       JOIN (SELECT bank_id, fact_id, term, count(*) AS tf FROM (SELECT bank_id, fact_id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS term FROM {facts}) GROUP BY 1, 2, 3) x
       ON x.bank_id = q.bank_id AND x.term = q.term
     GROUP BY q.query_id, x.fact_id
-    HAVING count(*) = (SELECT len(list_distinct(list_slice(regexp_extract_all(lower(full_text), '[a-z]+'), 1, 2))) FROM {queries} z WHERE z.query_id = q.query_id))
+    HAVING count(*) = (SELECT len(list_distinct(regexp_extract_all(lower(full_text), '[a-z]+'))) FROM {queries} z WHERE z.query_id = q.query_id))
   QUALIFY rank < 40"""
 _MIDDLE = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN epoch_us({a}) - epoch_us(n) + trunc((epoch_us({b}) - epoch_us({a})) / 2.0) ELSE coalesce(epoch_us({a}), epoch_us({b})) - epoch_us(n) END"
 _TEMPORAL_SQL = f"""SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'temporal' AS source FROM (
@@ -112,9 +111,9 @@ def semantic_topk_batch(t):
     return recall.vector_topk(t("queries"), t("facts"), 40)
 
 
-@query("SELECT fact_id, score FROM (" + _semantic_sql(10) + ") WHERE query_id = 0")
+@query("SELECT query_id, fact_id, score FROM (" + _semantic_sql(10) + ")")
 def semantic_topk(t):
-    return recall.vector_topk(t("queries").where("query_id = 0"), t("facts"), 10).select("fact_id", "score")
+    return recall.vector_topk(t("queries"), t("facts"), 10).select("query_id", "fact_id", "score")
 
 
 @query(_semantic_sql(10, "f.network IN ('world', 'observation')"))
@@ -188,9 +187,9 @@ def filter_facts(t):
     return t("facts").join(arrays, "fact_id").where(where).select("fact_id")
 
 
-@query("SELECT fact_id, entity_id, bank_id FROM {fact_entities} WHERE entity_id IN (SELECT entity_id FROM {entities} WHERE entity_id % 4 = 1)")
+@query("SELECT fact_id, entity_id, bank_id FROM {fact_entities} WHERE entity_id IN (SELECT entity_id FROM {entities})")
 def entity_facts(t):
-    return filters.entity_facts(t("fact_entities"), t("entities").where("entity_id % 4 = 1").select("entity_id")).select("fact_id", "entity_id", "bank_id")
+    return filters.entity_facts(t("fact_entities"), t("entities").select("entity_id")).select("fact_id", "entity_id", "bank_id")
 
 
 @query("SELECT m.mention, min(e.entity_id) AS entity_id FROM (SELECT name AS mention FROM {entities} WHERE entity_id % 2 = 0 UNION SELECT alias FROM {entities} WHERE entity_id % 3 = 0 UNION SELECT 'nowhere') m JOIN {entities} e ON e.name = m.mention OR e.alias = m.mention GROUP BY 1")
@@ -200,28 +199,24 @@ def entity_exact_match(t):
     return filters.exact_entities(mentions, e)
 
 
-def _new(t) -> DataFrame:
-    return t("facts").where("fact_id % 10 = 3")
-
-
 @query("""SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'temporal' AS link_type,
     round(CASE WHEN a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL THEN greatest(0.1::DOUBLE, 1 - (abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000) / 172800.0::DOUBLE) ELSE 0.5 END, 4) AS weight
   FROM {facts} a JOIN {facts} b ON a.bank_id = b.bank_id AND a.fact_id <> b.fact_id
-  WHERE a.fact_id % 10 = 3 AND b.network <> 'opinion' AND a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL AND abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000 <= 172800""")
+  WHERE b.network <> 'opinion' AND a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL AND abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000 <= 172800""")
 def links_temporal(t):
-    return links.temporal_links(_new(t), t("facts"), 2)
+    return links.temporal_links(t("facts"), t("facts"), 2)
 
 
 _ENTITY_LINKS = """SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'entity' AS link_type, round(s.shared::DOUBLE / (na.n + nb.n - s.shared), 4) AS weight FROM
     (SELECT x.fact_id AS a, y.fact_id AS b, count(*) AS shared FROM {fact_entities} x JOIN {fact_entities} y ON x.entity_id = y.entity_id AND x.bank_id = y.bank_id AND x.fact_id <> y.fact_id GROUP BY 1, 2) s
     JOIN {facts} a ON a.fact_id = s.a JOIN {facts} b ON b.fact_id = s.b
     JOIN (SELECT fact_id, count(*) AS n FROM {fact_entities} GROUP BY 1) na ON na.fact_id = s.a JOIN (SELECT fact_id, count(*) AS n FROM {fact_entities} GROUP BY 1) nb ON nb.fact_id = s.b
-  WHERE a.fact_id % 10 = 3 AND b.network <> 'opinion'"""
+  WHERE b.network <> 'opinion'"""
 
 
 @query(_ENTITY_LINKS)
 def links_entity(t):
-    return links.entity_links(_new(t), t("facts"), t("fact_entities"))
+    return links.entity_links(t("facts"), t("facts"), t("fact_entities"))
 
 
 @query(f"SELECT source_id, target_id, 'semantic' AS link_type, round(c, 4) AS weight FROM (SELECT a.fact_id AS source_id, b.fact_id AS target_id, {_cos('a.embedding', 'b.embedding')} AS c FROM {{facts}} a JOIN {{facts}} b ON a.bank_id = b.bank_id AND a.fact_id <> b.fact_id WHERE b.network <> 'opinion') WHERE c >= {SEMANTIC}")
@@ -238,15 +233,15 @@ def links_upsert(t):
     return links.upsert(old, first.unionByName(second))
 
 
-@query(f"SELECT node, nbr AS neighbor, link_type, weight FROM ({_EDGES}) WHERE node < 50 AND link_type = 'causal'")
+@query(f"SELECT node, nbr AS neighbor, link_type, weight FROM ({_EDGES}) WHERE link_type = 'causal'")
 def neighbors(t):
-    return recall.undirected(t("graph_links"), "causal").where("node < 50")
+    return recall.undirected(t("graph_links"), "causal")
 
 
 @query(f"SELECT source_id, target_id, source_id % 5 AS chunk, row_number() OVER (PARTITION BY source_id % 5 ORDER BY source_id, target_id) AS rank FROM ({_ENTITY_LINKS}) QUALIFY rank <= 10")
 def causal_candidates(t):
-    made = links.entity_links(_new(t), t("facts"), t("fact_entities"))
-    return links.causal_candidates(made, 10, _new(t).select(F.col("fact_id").alias("source_id"), (F.col("fact_id") % 5).alias("chunk"))).select("source_id", "target_id", "chunk", "rank")
+    made = links.entity_links(t("facts"), t("facts"), t("fact_entities"))
+    return links.causal_candidates(made, 10, t("facts").select(F.col("fact_id").alias("source_id"), (F.col("fact_id") % 5).alias("chunk"))).select("source_id", "target_id", "chunk", "rank")
 
 
 @query(f"SELECT fact_id FROM {{dedup_new}} n WHERE NOT EXISTS (SELECT 1 FROM {{facts}} f WHERE f.fact_id % 2 = 0 AND f.bank_id = n.bank_id AND {_cos('n.embedding', 'f.embedding')} >= 0.95)")
@@ -255,11 +250,11 @@ def dedup_facts(t):
 
 
 @query(f"""SELECT bank_id, mention, entity_id, round(score, 4) AS score, CASE WHEN score >= {NEAR_NAME[1]} THEN 'accept' WHEN score >= {NEAR_NAME[0]} THEN 'ask' ELSE 'create' END AS tier FROM (
-    SELECT q.bank_id, q.text AS mention, f.fact_id AS entity_id, {_cos('q.embedding', 'f.embedding')} AS score FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id WHERE f.fact_id % 10 = 7)
+    SELECT q.bank_id, q.text AS mention, f.fact_id AS entity_id, {_cos('q.embedding', 'f.embedding')} AS score FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id)
   QUALIFY row_number() OVER (PARTITION BY bank_id, mention ORDER BY score DESC, entity_id) = 1""")
 def entity_nearest(t):
     mentions = t("queries").select("bank_id", F.col("text").alias("mention"), "embedding")
-    known = t("facts").where("fact_id % 10 = 7").select("bank_id", F.col("fact_id").alias("entity_id"), "embedding")
+    known = t("facts").select("bank_id", F.col("fact_id").alias("entity_id"), "embedding")
     return resolve.nearest(mentions, known).withColumn("tier", resolve.tier(F.col("score"), *NEAR_NAME)).withColumn("score", F.round("score", 4))
 
 

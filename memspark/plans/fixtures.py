@@ -35,8 +35,8 @@ SQL: dict[str, str] = {
         SELECT f.fact_id, c.conv_id * 1000 + c.turn AS source_id FROM {facts} f CROSS JOIN {conv_count} k
         JOIN {conversations} c ON c.conv_id = f.fact_id % k.n WHERE c.turn <= 4""",
     "queries": """
-        SELECT b.item_id AS query_id, b.item_id % 4 AS bank_id, lower(substring(b.text, 1, 24)) AS text, b.text AS full_text, e.embedding AS embedding
-        FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id WHERE b.item_id < 10""",
+        SELECT b.item_id AS query_id, b.item_id % 4 AS bank_id, lower(b.text) AS text, b.text AS full_text, e.embedding AS embedding
+        FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id""",
     "dedup_new": """
         SELECT fact_id, bank_id, embedding FROM {facts} WHERE fact_id % 2 = 1
         UNION ALL SELECT fact_id + 1000000 AS fact_id, bank_id, embedding FROM {facts} WHERE fact_id % 10 = 0""",
