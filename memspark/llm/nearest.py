@@ -31,7 +31,13 @@ COLUMNS, CONFIDENCE = 16, 2.1
 VECTORS, QUERIES = 4096, 1024
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near one: the same cosines to the last bit, without overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -153,6 +159,7 @@ def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", v
         for batch in batches:
             for s, a in zip(batch.column(0), batch.column(1)):
                 (ids, x), (qids, q) = read(s), read(a)
+                q, x = _scaled(q), _scaled(x)
                 i, j = scan(_unit(q) @ rotation, _unit(x) @ rotation, qids[:, None] == ids[None, :], k)
                 score = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", q[i[t : t + 65536]], x[j[t : t + 65536]]) for t in range(0, len(i), 65536)])
                 score /= np.sqrt(np.einsum("ij,ij->i", q, q))[i] * np.sqrt(np.einsum("ij,ij->i", x, x))[j]

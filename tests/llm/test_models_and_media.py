@@ -116,6 +116,14 @@ def test_recall_and_ties(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
 
 
+def test_very_large_and_very_small_vectors_have_cosines(spark):
+    rows = [(0, [1e200, 1e200, 1.0]), (50, [1e-200, 0.0, 0.0]), (1, [3.0, 3.0, 0.0]), (2, [0.0, 0.0, 2e-310])]
+    out = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {(r.query_id, r.vec_id): r.score for r in out}
+    assert got[0, 1] == pytest.approx(1) and got[50, 1] == pytest.approx(2**-0.5) and got[0, 50] == pytest.approx(2**-0.5) and got[50, 2] == 0
+    assert len(out) == 6
+
+
 def test_scan_drops_no_near_pair():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 64))
