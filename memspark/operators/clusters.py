@@ -13,7 +13,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None) -
     return similar(vectors, vectors, threshold, by, ordered=True).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and cluster_id, the least id that edges (a, b) lead to, of each node.
 
     Each round a node takes the least label around it and then that label's own label; edges are few beside nodes, and
@@ -21,7 +21,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     """
     both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct())
     label = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so it ends
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("near"))
         low = label.join(near, label.id == near.a).select("id", F.least("label", "near").alias("low"), "label")
         jump = low.select(F.col("id").alias("low"), F.col("low").alias("far"))

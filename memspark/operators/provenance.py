@@ -23,11 +23,11 @@ def grouped_sources(ranked: DataFrame) -> DataFrame:
     return lists.select("fact_id", F.expr("transform(x, s -> s.source_id)").alias("source_ids"))
 
 
-def evidence_closure(evidence: DataFrame, rounds: int = 20) -> DataFrame:
+def evidence_closure(evidence: DataFrame) -> DataFrame:
     """fact_id and every fact that its evidence leads to; rounds double the reach, so few are needed."""
     reach = cut(evidence.select("fact_id", "evidence_id").distinct())
     n = reach.count()
-    for _ in range(rounds):
+    while True:  # reach only grows, and not beyond all pairs of facts
         step = reach.select(F.col("fact_id").alias("evidence_id"), F.col("evidence_id").alias("next"))
         reach = cut(reach.unionAll(reach.join(step, "evidence_id").select("fact_id", F.col("next").alias("evidence_id"))).distinct())
         if (more := reach.count()) == n:
