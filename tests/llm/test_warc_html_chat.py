@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -118,11 +119,55 @@ def test_windows_read_back_to_what_they_hold(spark, budget, history):
     assert len(many) > 1 or budget == 2048
 
 
+def span_rule(rows, budget, history):
+    """For each conversation its windows as (places repeated, places new, tokens), turn by turn."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2], r[3]))
+        tokens = [-(-(len(r[3].encode()) + len(r[2].encode())) // 4) + 8 for r in mine]
+        system = mine[0][2] == "system"
+        head, own = (tokens[0] if system else 0), ([0] if system else []) + tokens[system:]
+        room = max(budget - history - head, 2)
+        stride = max(room - max(own), room - room // 2)
+        starts, found, cells = [sum(own[:i]) for i in range(len(own))], [], {}
+        for i in range(system, len(own)):
+            cells.setdefault((starts[i] // stride, own[i] > room - stride), []).append(i)
+        for n, (_, new) in enumerate(sorted(cells.items())):
+            spare, old = min(history, budget - head - sum(own[i] for i in new)), []
+            while new[0] - len(old) - 1 >= system and starts[new[0]] - starts[new[0] - len(old) - 1] <= spare:
+                old.insert(0, new[0] - len(old) - 1)
+            found.append((([0] if system and n else []) + old, ([0] if system and not n else []) + new, head + sum(own[i] for i in old + new)))
+        out[c] = found or [([], [0], head)]
+    return out
+
+
+@pytest.mark.parametrize("budget, history", [(160, 32), (90, 0), (120, 60)])
+def test_windows_keep_their_budget_and_are_those_of_the_rule(spark, budget, history):
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for c in range(12):
+        for i in range(1 if c == 11 else 30):
+            role = "system" if i == 0 and (c % 2 or c == 11) else "user" if i % 2 else "assistant"
+            rows.append((c, i, role, f"{c}.{i} " + "w" * draw.choice([0, 3, 40, 90, 300 if c % 3 == 0 else 20, 700 if c % 4 == 0 else 60])))
+    made = chat.windows(turns(spark, rows), budget, history).collect()
+    want, alone = span_rule(rows, budget, history), 0
+    for c, spans in want.items():
+        mine = sorted((r for r in made if r.conv_id == c), key=lambda r: r.window)
+        assert len(mine) == len(spans)
+        for r, (old, new, tokens) in zip(mine, spans):
+            assert [int(x.split(".")[1].split(" ")[0]) for x in re.findall(r": (\d+\.\d+ )", r.formatted)] == old + new
+            assert r.repeated == len(old) and r.tokens == tokens
+            assert len(r.mask) == sum(rows_role == "assistant" for rows_role in [q[2] for q in sorted(q for q in rows if q[0] == c)][new[0] : new[-1] + 1])
+            assert tokens <= budget or len([i for i in new if i or c % 2 == 0 and c != 11]) <= 1
+            alone += tokens > budget
+    assert alone < len(made) / 2 and any(r.repeated > 1 for r in made) or history == 0
+
+
 @given(st.text(alphabet="\\#</turn>a\n", max_size=60))
 @settings(max_examples=30, deadline=None)
 def test_escape_round_trip_by_rule(text):
-    import re
-
     escaped = re.sub("#(?=#)", r"#\\", text.replace("\\", "\\\\")).replace("</turn>", "<\\/turn>")
     assert "</turn>" not in escaped and "##" not in escaped
     assert re.sub(r"\\(.)", r"\1", escaped) == text
