@@ -263,6 +263,11 @@ def _differ(a: Column, b: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda total, c: total + c)
 
 
+def _near() -> Column:
+    """Whether the sketches ka and kb allow the sets of na and nb shingles to be near copies."""
+    return _differ(F.col("ka"), F.col("kb")) * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
@@ -319,7 +324,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     small = nodes.select("node", "n", "sketch")
     x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
-    pairs = cut(pairs.join(y, "b").join(x, "a").where(_differ(F.col("ka"), F.col("kb")) * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)).select("a", "b"), "pairs")
+    pairs = cut(pairs.join(y, "b").join(x, "a").where(_near()).select("a", "b"), "pairs")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +354,7 @@ def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     First each node is compared with one other: of the least nodes for each shingle of its prefix, that with the most such
     shingles. Then those pairs are that share a shingle of theirs and that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
     """
-    rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "key"))
     over = Window.partitionBy("key")
     shared = rows.withColumns({"pivot": F.min(F.struct("node", "n")).over(over), "__last": F.max("node").over(over)})
     shared = cut(shared.where(F.col("pivot.node") < F.col("__last")).drop("__last"), "shared")
@@ -360,10 +365,12 @@ def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = _alike(first, nodes, docs)
     roots = components(found)
     placed = shared.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # at the first shingle that two sets have in common, what comes from there on must hold all that they need to have in common
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (OF + ALIKE) >= (F.col("na") + F.col("nb")) * ALIKE
     apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = cut(placed.join(apart, "key", "left_semi"), "apart")
-    x, y = (placed.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb")).select("a", "b").distinct()
+    placed = cut(placed.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"), "apart")
+    x, y = (placed.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb") & enough & _near()).select("a", "b").distinct()
     rest = cut(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     return found if rest.isEmpty() else found.unionByName(_alike(rest, nodes, docs))
 
