@@ -18,6 +18,7 @@ five-word shingles have a Jaccard similarity of 0.8 or more, all of them, by pre
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -369,8 +370,15 @@ def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (OF + ALIKE) >= (F.col("na") + F.col("nb")) * ALIKE
     apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     placed = cut(placed.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"), "apart")
-    x, y = (placed.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb") & enough & _near()).select("a", "b").distinct()
+    # the lesser set of a pair has the shared shingle in the first part of its prefix, and the greater one is in its band of sizes or the next
+    band = F.floor(F.log("n") / math.log(1.0001 * OF / ALIKE))
+    early = placed.where(F.col("place") * (OF + ALIKE) <= F.col("n") * (OF - ALIKE)).withColumn("band", F.explode(F.array(band, band + 1)))
+    x, y = (
+        t.select("key", "band", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("sketch").alias(f"k{c}"))
+        for t, c in ((early, "a"), (placed.withColumn("band", band), "b"))
+    )
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    rest = x.join(y, ["key", "band"]).where(ordered & (F.col("ra") != F.col("rb")) & fits("na", "nb") & enough & _near()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     return found if rest.isEmpty() else found.unionByName(_alike(rest, nodes, docs))
 
