@@ -19,6 +19,9 @@ from memspark.schemas import RecallConfig
 from .filters import top
 from .pairs import cut
 
+#: Decimals that scores keep before they are ranked: near ties are told apart, and the last bits of a sum, which depend on its order, are not.
+DIGITS = 10
+
 
 def _ranked(scored: DataFrame, source: str, k: int | None) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
@@ -33,7 +36,7 @@ def vector_topk(queries: DataFrame, facts: DataFrame, k: int = 40, networks: lis
         f = f.where(F.col("network").isin(*networks))
     f = f.select("bank_id", "fact_id", F.col("embedding").alias("fv"), norm(F.col("embedding")).alias("fn"))
     q = queries.select("query_id", "bank_id", F.col("embedding").alias("qv"), norm(F.col("embedding")).alias("qn"))
-    scored = q.join(f, "bank_id").select("query_id", "fact_id", F.round(cosine(F.col("qv"), F.col("fv"), F.col("qn"), F.col("fn")), 4).alias("score"))
+    scored = q.join(f, "bank_id").select("query_id", "fact_id", F.round(cosine(F.col("qv"), F.col("fv"), F.col("qn"), F.col("fn")), DIGITS).alias("score"))
     return _ranked(scored, source, k)
 
 
@@ -58,7 +61,7 @@ def temporal_channel(queries: DataFrame, facts: DataFrame) -> DataFrame:
     q = queries.where(F.col("from_").isNotNull() | F.col("to").isNotNull()).select("query_id", "bank_id", "from_", "to", "now")
     f = facts.select("bank_id", "fact_id", "temporal_start", "temporal_end")
     hit = q.join(f, "bank_id").where(overlaps(F.col("temporal_start"), F.col("temporal_end"), F.col("from_"), F.col("to")))
-    score = F.round(proximity(F.col("temporal_start"), F.col("temporal_end"), F.col("from_"), F.col("to"), F.col("now")), 4)
+    score = F.round(proximity(F.col("temporal_start"), F.col("temporal_end"), F.col("from_"), F.col("to"), F.col("now")), DIGITS)
     return _ranked(hit.select("query_id", "fact_id", score.alias("score")), "temporal", None)
 
 
@@ -106,14 +109,14 @@ def graph_channel(queries: DataFrame, facts: DataFrame, links: DataFrame, config
     """Activation from the nearest facts; the network filter holds for seeds only."""
     seeds = vector_topk(queries, facts, config.seeds, networks)
     scored = activation(seeds, links, config).join(facts.select("fact_id"), "fact_id", "left_semi")
-    return _ranked(scored.withColumn("score", F.round("score", 4)), "graph", config.graph_limit)
+    return _ranked(scored.withColumn("score", F.round("score", DIGITS)), "graph", config.graph_limit)
 
 
 def fuse(ranked: DataFrame, k: float = 60.0) -> DataFrame:
     """query_id, fact_id, score, rank, sources: the sum of 1 / (k + rank) over channels, ties by id; sources in channel order."""
     order = F.expr("array_position(array('semantic', 'keyword', 'graph', 'temporal'), source)")
     sums = ranked.groupBy("query_id", "fact_id").agg(
-        F.round(F.sum(1 / (k + F.col("rank"))), 6).alias("score"), F.array_sort(F.collect_set(F.struct(order.alias("o"), "source"))).alias("found")
+        F.round(F.sum(1 / (k + F.col("rank"))), DIGITS).alias("score"), F.array_sort(F.collect_set(F.struct(order.alias("o"), "source"))).alias("found")
     )
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
     return sums.select("query_id", "fact_id", "score", (F.row_number().over(over) - 1).cast("long").alias("rank"), F.expr("transform(found, x -> x.source)").alias("sources"))

@@ -51,7 +51,7 @@ def _cos(a: str, b: str) -> str:
 def _semantic_sql(k: int, where: str = "true", source: str = "semantic") -> str:
     return f"""SELECT query_id, fact_id, score, rank - 1 AS rank, '{source}' AS source FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM (
-          SELECT q.query_id, f.fact_id, round({_cos('q.embedding', 'f.embedding')}, 4) AS score
+          SELECT q.query_id, f.fact_id, round({_cos('q.embedding', 'f.embedding')}, {recall.DIGITS}) AS score
           FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id WHERE {where})) WHERE rank <= {k}"""
 
 
@@ -71,7 +71,7 @@ _KEYWORD_SQL = """SELECT query_id, fact_id, score, row_number() OVER (PARTITION
 _MIDDLE = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN epoch_us({a}) - epoch_us(n) + trunc((epoch_us({b}) - epoch_us({a})) / 2.0) ELSE coalesce(epoch_us({a}), epoch_us({b})) - epoch_us(n) END"
 _TEMPORAL_SQL = f"""SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'temporal' AS source FROM (
     SELECT query_id, fact_id, round(1 / (1 + 0.01::DOUBLE * floor(abs(coalesce({_MIDDLE.replace('{a}', 'temporal_start').replace('{b}', 'temporal_end')}, 0)
-      - ({_MIDDLE.replace('{a}', 'f0').replace('{b}', 't0')})) / 86400000000)), 4) AS score
+      - ({_MIDDLE.replace('{a}', 'f0').replace('{b}', 't0')})) / 86400000000)), {recall.DIGITS}) AS score
     FROM (SELECT *, TIMESTAMP '{NOW}' AS n, TIMESTAMP '2024-01-01' AS f0, TIMESTAMP '2024-01-15' AS t0 FROM {{queries}}) q JOIN {{facts}} f ON f.bank_id = q.bank_id
     WHERE (temporal_start IS NULL OR temporal_start <= t0) AND (temporal_end IS NULL OR temporal_end >= f0))"""
 
@@ -93,14 +93,14 @@ def _activation_sql(decay: float = 0.7, boost: float = 1.5, threshold: float = 0
             )
             parts.append(f"s{h + 1} AS (SELECT * FROM s{h} UNION ALL SELECT query_id, node FROM f{h + 1})")
     union = " UNION ALL ".join(f"SELECT query_id, node, act FROM {x} WHERE act >= {threshold}" if x != "f0" else "SELECT query_id, node, act FROM f0" for x in ("f0", "r0", "r1", "r2"))
-    parts.append(f"g AS (SELECT query_id, node AS fact_id, round(max(act), 4) AS score FROM ({union}) GROUP BY 1, 2)")
+    parts.append(f"g AS (SELECT query_id, node AS fact_id, round(max(act), {recall.DIGITS}) AS score FROM ({union}) GROUP BY 1, 2)")
     return "WITH " + ",\n".join(parts)
 
 
 _GRAPH = "SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'graph' AS source FROM g QUALIFY rank < 50"
 _CHANNELS = f"{_activation_sql()}, ch AS (SELECT * FROM ({_semantic_sql(40)}) UNION ALL SELECT * FROM ({_KEYWORD_SQL}) UNION ALL SELECT * FROM ({_GRAPH}) UNION ALL SELECT * FROM ({_TEMPORAL_SQL}))"
 _FUSED = (
-    _CHANNELS + ", fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank FROM (SELECT query_id, fact_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score, "
+    _CHANNELS + ", fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank FROM (SELECT query_id, fact_id, round(sum(1 / (60.0::DOUBLE + rank)), " + str(recall.DIGITS) + ") AS score, "
     "string_agg(source, ',' ORDER BY CASE source WHEN 'semantic' THEN 1 WHEN 'keyword' THEN 2 WHEN 'graph' THEN 3 ELSE 4 END) AS sources FROM ch GROUP BY 1, 2))"
 )
 _WORDS = lambda c: text.words(c)

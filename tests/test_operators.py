@@ -201,3 +201,10 @@ def test_dialogue_readers(spark, tmp_path):
 def test_config_defaults():
     c = RecallConfig()
     assert (c.channel_limit, c.max_facts, c.token_budget, c.rrf_k, c.hops, c.seeds, c.graph_limit) == (40, 50, 4096, 60.0, 3, 10, 50)
+
+
+def test_near_ties_are_ranked_by_their_full_scores(spark):
+    facts = spark.createDataFrame([(1, 0, "world", [1.0, 0.00400]), (2, 0, "world", [1.0, 0.00399]), (3, 0, "world", [1.0, 0.00401])], "fact_id long, bank_id long, network string, embedding array<double>")
+    queries = spark.createDataFrame([(7, 0, [1.0, 0.0])], "query_id long, bank_id long, embedding array<double>")
+    found = recall.vector_topk(queries, facts, 2).orderBy("rank").collect()
+    assert [r.fact_id for r in found] == [2, 1] and round(found[0].score, 4) == round(found[1].score, 4)
