@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -84,6 +85,32 @@ def test_any_markup_is_read(source):
     assert all(isinstance(t, str) and t == t.strip() and t for _, _, t in style_tree.blocks(source))
 
 
+@pytest.mark.parametrize("unit", ['<a b="x ', "<ul>", "<a ", "</q>x", "<p><button><ul>", "<table><tr><td>", "<b>x<p>", '<div class="x" ', "<a b='\">", "<!--", "<p>x<ul>"])
+def test_hostile_markup_takes_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        style_tree.blocks(unit * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 1 + 40 * seconds(4_000)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<p>a<a title="x > y">b</a>c', "abc"), ("<p class=it's>a<b>c", "ac"), ('<p>a<a title="x>b</a>c<i title=\'>\'>d', "ab c'>d".replace(" ", "")), ("<p>a<br/>b<p/>c", "a b|c"),
+        ("<div><p>a<div>b</div></p>c</div>d", "a|b|c|d"), ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a|b|c|d"), ("<p>1 < 2 </3> a<", "1 < 2 </3> a<"), ("a<!-- x", "a"), ("a</p>b", "ab"),
+    ],
+)
+def test_markup_is_read_as_it_says(source, text):
+    assert "|".join(t for _, _, t in style_tree.blocks(source)) == text
+
+
+@pytest.mark.parametrize("mark, kept", [("content has-sidebar", True), ("page has-sidebar", True), ("post share", True), ("sidebar", False), ("sidebar-content", False), ("comment body", False), ("post-comments", False), ("no-ads main", True)])
+def test_an_element_goes_for_what_it_is_and_not_for_how_it_is_laid_out(mark, kept):
+    assert bool(style_tree.blocks(f"<div class='{mark}'><article><p>x</article></div>")) == kept
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"window": F.lit("clash"), "tokens": F.lit(0)})
 
