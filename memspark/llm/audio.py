@@ -3,7 +3,8 @@
 A clip is a mono WAV file of 8-bit samples. Its features come in four steps: a polyphase filter resamples it, overlapped
 frames go through a bank of mel filters on a log scale, frame energies make segments by hysteresis (a segment opens
 above one level and lasts until the energy falls below a lower one), and the frames of the log-mel bank are cut into
-tensors of one fixed shape, each with the time span that it covers.
+tensors of one fixed shape, each with the time span that it covers. What is found is stored as Arrow streams, the tensors as
+an array of Arrow's fixed-shape tensor type beside their spans, in binary columns, since Spark has no such type.
 
 Every step works on blocks of bounded size that start at fixed places of the clip, so a clip's features depend on nothing but
 its samples, and no clip, however long, is held as more than its samples and one block of frames.
@@ -22,20 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts
 
 #: Samples a second of a clip, and of its features: resampled by UP / DOWN.
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 5, 8
 #: Taps of the resampling filter on each side of its centre, at the raised rate.
 REACH = 16
 #: Samples of a frame, from one frame to the next, and of its transform, at the features' rate.
-FRAME, HOP, FFT = 200, 80, 256
+FRAME, HOP, FFT = 250, 100, 256
 #: Mel filters, and frames in a tensor.
 MELS, TENSOR = 20, 100
 #: Energies, in bels over the clip's mean, at which a segment opens and closes, and frames that it lasts at least.
 OPEN, CLOSE, LEAST = 0.02, -0.02, 3
-#: Frames worked on at a time.
-BLOCK = 4096
+#: Frames worked on at a time, and bytes of clips of which the features are stored together.
+BLOCK, SLICE = 4096, 1 << 20
 PAD, UNIT = 255, 576
 
 
@@ -168,45 +169,99 @@ def store(docs: DataFrame) -> DataFrame:
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, tensor number, start and end in seconds, and the log-mel tensor as TENSOR * MELS floats, row by row, of each clip."""
+_CLIPS = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+        ("frames", pa.int64()), ("tensors", pa.int64()), ("segments", pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))),
+    ]
+)
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(stream: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(stream.as_buffer()).read_next_batch()
+
+
+def analysed(media: DataFrame) -> DataFrame:
+    """What features finds in stored clips, written to the shared folder and read again. Each row holds about SLICE bytes of clips.
+
+    clips is an Arrow stream of a row a clip: its digests, frames, number of tensors, and segments; tensors is one of a row a tensor, in the
+    order of the clips: tensor, of fixed shape (TENSOR, MELS), and the start and end of its span in seconds. Defined
+    results: a null id stays one; a longer clip is a row alone; no clips make no rows; other columns aren't looked at.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, clip in zip(batch.column(0), batch.column(1)):
-                values, spans, _ = features(samples_of(clip.as_py())[0])
-                flat = pa.array(values.ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1) * TENSOR * MELS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*spans)), lists], names=["doc_id", "number", "start", "end", "tensor"]
-                )
+        for part in parts(batches, 2, SLICE):
+            rows, values, spans = [], [], []
+            for doc_id, n_bytes, clip in zip(*part.columns):
+                raw = clip.as_py()
+                payload, _ = samples_of(raw)
+                made, times, found = features(payload)
+                voiced = [{"start": a, "end": b} for a, b in found]
+                rows.append((doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), frames_of(len(payload)), len(made), voiced))
+                values.append(made)
+                spans += times
+            clips = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CLIPS.types)], schema=_CLIPS)
+            tensor = pa.RecordBatch.from_arrays([fixed_shape(np.concatenate(values)), *(pa.array(c, pa.float64()) for c in zip(*spans))], names=["tensor", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array([_stream(x)], pa.binary()) for x in (clips, tensor)], names=["clips", "tensors"])
+
+    return cut(media.select("doc_id", "n_bytes", "media").mapInArrow(apply, "clips binary, tensors binary"), "features", compression="uncompressed")
+
+
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, pa.RecordBatch]]:
+    """Each clip's stored row, its tensors, and the rows that those are in."""
+    for batch in batches:
+        for clips, tensors in zip(*batch.columns):
+            found, at = _read(tensors), 0
+            values = found.column(0).to_numpy_ndarray()
+            for row in _read(clips).to_pylist():
+                to = at + row["tensors"]
+                yield row, values[at:to], found.slice(at, to - at)
+                at = to
+
+
+def tensors(stored: DataFrame) -> DataFrame:
+    """doc_id, tensor number, start and end in seconds, and the log-mel tensor as TENSOR * MELS floats, row by row, of each clip that analysed has stored.
+
+    Defined results are those of analysed; each clip has one tensor at least, the last filled up with zeros.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, values, found in _clips(batches):
+            n = len(values)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * TENSOR * MELS, pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]] * n, pa.int64()), pa.array(range(n), pa.int32()), found.column(1), found.column(2), lists], names=["doc_id", "number", "start", "end", "tensor"])
 
-    return media.select("doc_id", "media").mapInArrow(apply, "doc_id long, number int, start double, end double, tensor array<float>")
+    return stored.select("clips", "tensors").mapInArrow(apply, "doc_id long, number int, start double, end double, tensor array<float>")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each clip, from its stored bytes.
+def digests(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each clip that analysed has stored.
 
-    feature has the numbers of frames, tensors and segments, the seconds in segments, and the mean log-mel value of each
-    filter to one decimal. Defined results: a null or empty text is one unit of padding; equal texts
-    have equal values; repeated rows, ties and null ids are rows like others; an empty table gives an empty result.
+    feature is made of the stored tensors and spans: the numbers of frames, tensors and segments, the seconds that tensors span and
+    those in segments, and the mean log-mel value of each filter to one decimal. Defined results: a null or empty text is one
+    unit of padding; equal texts have equal values; repeated rows, ties and null ids are rows like others; an empty table gives an empty result.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [*_CLIPS.types[:7], pa.string()]
+    names = [*_CLIPS.names[:7], "feature"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n_bytes, clip in zip(*batch.columns):
-                media = clip.as_py()
-                payload, _ = samples_of(media)
-                values, _, parts = features(payload)
-                n = frames_of(len(payload))
-                mean = values.reshape(-1, MELS).sum(0, dtype=np.float64) / n
-                feature = f"frames={n};tensors={len(values)};segments={len(parts)};voiced={sum(b - a for a, b in parts):.3f};mel=" + ",".join(f"{v:.1f}" for v in mean)
-                rows.append((doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            for row, values, found in _clips([batch]):
+                n, voiced = row["frames"], row["segments"]
+                mean = values.reshape(-1, MELS)[:n].sum(0, dtype=np.float64) / n
+                spanned, heard = found.column(2)[-1].as_py() - found.column(1)[0].as_py(), sum(x["end"] - x["start"] for x in voiced)
+                feature = f"frames={n};tensors={len(values)};seconds={spanned:.3f};segments={len(voiced)};voiced={heard:.3f};mel=" + ",".join(f"{v:.1f}" for v in mean)
+                rows.append((*(row[x] for x in names[:7]), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(apply, schema)
+    return stored.select("clips", "tensors").mapInArrow(apply, schema)

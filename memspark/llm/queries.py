@@ -35,7 +35,7 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return audio.digests(audio.analysed(audio.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

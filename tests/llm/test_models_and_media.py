@@ -146,7 +146,7 @@ def test_wav_round_trip_and_padding():
         audio.samples_of(b"RIFFxxxxJUNK")
 
 
-@pytest.mark.parametrize("up, down", [(1, 2), (2, 3), (3, 2), (1, 1)])
+@pytest.mark.parametrize("up, down", [(1, 2), (2, 3), (3, 2), (1, 1), (5, 8)])
 def test_polyphase_equals_filtering_the_raised_signal(up, down):
     x = np.random.default_rng(0).standard_normal(300).astype(np.float32)
     phases = audio._phases(up, down)
@@ -175,19 +175,82 @@ def test_features_have_fixed_shapes_and_spans(monkeypatch):
     assert np.allclose(again[0], tensors, atol=1e-4) and again[2] == parts
 
 
-def test_digests_are_of_the_stored_bytes(spark):
+def test_digests_are_of_the_stored_bytes(spark, monkeypatch):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "abc"), (None, "é" * 3000), (1, "abc")]
     media = audio.store(spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash")))
-    out = audio.digests(media).collect()
-    assert len(out) == 6 and audio.digests(media.limit(0)).count() == 0
+    monkeypatch.setattr(audio, "SLICE", 1000)
+    stored = audio.analysed(media)
+    out = audio.digests(stored).collect()
+    assert len(out) == 6 and audio.digests(audio.analysed(media.limit(0))).count() == 0
     for r in out:
         text = dict(rows)[r.doc_id]
         payload, n = audio.payload_of(text)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(audio.wav(payload)), hashlib.sha256(audio.wav(payload)).hexdigest())
+        want, spans, voiced = audio.features(payload)
+        assert r.feature == plain_feature(len(payload), want, spans, voiced)
+        mine = sorted((x.number, x.start, x.end, x.tensor) for x in audio_rows(stored) if x.doc_id == r.doc_id)
+        assert [x[1:3] for x in mine][: len(spans)] == spans if r.doc_id != 1 else len(mine) == 2 * len(spans)
+        assert all(np.array_equal(np.array(x[3], np.float32).reshape(audio.TENSOR, audio.MELS), want[x[0]]) for x in mine)
     assert len({r.feature for r in out if r.n_bytes == 3}) == 1
-    rows = audio.tensors(media.where("n_bytes > 100")).collect()
-    assert all(len(r.tensor) == audio.TENSOR * audio.MELS for r in rows)
+    for r in stored.collect():
+        kept = pa.ipc.open_stream(r.tensors).read_all()
+        assert kept.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [audio.TENSOR, audio.MELS]) and kept.column_names == ["tensor", "start", "end"]
+    assert stored.count() > 1
+
+
+def audio_rows(stored, memo={}):
+    return memo.setdefault(id(stored), audio.tensors(stored).collect())
+
+
+def plain_feature(n_bytes, tensors, spans, voiced):
+    n = audio.frames_of(n_bytes)
+    mean = tensors.reshape(-1, audio.MELS)[:n].astype(np.float64).mean(0)
+    return f"frames={n};tensors={len(tensors)};seconds={spans[-1][1]:.3f};segments={len(voiced)};voiced={sum(b - a for a, b in voiced):.3f};mel=" + ",".join(f"{v:.1f}" for v in mean)
+
+
+def test_features_equal_those_worked_out_one_by_one():
+    rng = np.random.default_rng(3)
+    clip = np.concatenate([rng.integers(0, 256, 3000), 128 + rng.integers(-3, 4, 2500), rng.integers(60, 200, 2000)]).astype(np.uint8)
+    x, step = (clip.astype(np.float64) - 128) / 128, audio.HOP * audio.DOWN / audio.UP / audio.RATE
+    reach, raised = audio.REACH * audio.UP, max(audio.UP, audio.DOWN)
+
+    def sample(k):
+        """The k-th resampled value: a windowed sinc around its place at the raised rate, over the input's places."""
+        middle, total, weight = k * audio.DOWN, 0.0, 0.0
+        for i in range(-(-(middle - reach) // audio.UP), (middle + reach) // audio.UP + 1):
+            d = middle - i * audio.UP
+            tap = np.sinc(d / raised) * (0.5 + 0.5 * np.cos(np.pi * d / (reach + 1)))
+            weight += tap
+            total += tap * (x[i] if 0 <= i < len(x) else 0.0)
+        return total / weight
+
+    n = audio.frames_of(len(x))
+    y = np.array([sample(k) for k in range((n - 1) * audio.HOP + audio.FRAME)])
+    rate, mel = audio.RATE * audio.UP / audio.DOWN, lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio.MELS + 1) / 2595) - 1) for i in range(audio.MELS + 2)]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FFT // 2 + 1), np.arange(audio.FRAME)) / audio.FFT)
+    tensors, spans, found = audio.features(clip.tobytes())
+    got, energy = tensors.reshape(-1, audio.MELS)[:n], []
+    for i in range(n):
+        frame = y[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        energy.append(np.log10((frame**2).mean() + 1e-6))
+        power = np.abs(wave @ (frame * window)) ** 2
+        for m in range(audio.MELS):
+            low, top, high = edges[m : m + 3]
+            f = np.arange(audio.FFT // 2 + 1) * rate / audio.FFT
+            rise = np.clip(np.minimum((f - low) / (top - low), (high - f) / (high - top)), 0, None)
+            assert got[i, m] == pytest.approx(np.log10((power * rise).sum() + 1e-6), abs=2e-3)
+    level, on, want = np.array(energy) - np.mean(energy), None, []
+    for i, v in enumerate([*level, -9]):
+        if on is None and v > audio.OPEN:
+            on = i
+        elif on is not None and v < audio.CLOSE:
+            if i - on >= audio.LEAST:
+                want.append((on * step, min(len(x) / audio.RATE, i * step)))
+            on = None
+    assert len(found) == len(want) and np.allclose(found, want) and len(spans) == -(-n // audio.TENSOR)
 
 
 def test_gradients_equal_differences():
