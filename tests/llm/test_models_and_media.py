@@ -172,7 +172,7 @@ def test_features_have_fixed_shapes_and_spans(monkeypatch):
     assert isinstance(arrow.type, pa.FixedShapeTensorType) and np.array_equal(arrow.to_numpy_ndarray(), tensors)
     monkeypatch.setattr(audio, "BLOCK", 50)
     again = audio.features(clip)
-    assert np.allclose(again[0], tensors, atol=1e-4) and again[2] == parts
+    assert np.allclose(again[0], tensors, atol=5e-3) and again[2] == parts
 
 
 def test_digests_are_of_the_stored_bytes(spark, monkeypatch):
@@ -195,7 +195,7 @@ def test_digests_are_of_the_stored_bytes(spark, monkeypatch):
     assert len({r.feature for r in out if r.n_bytes == 3}) == 1
     for r in stored.collect():
         kept = pa.ipc.open_stream(r.tensors).read_all()
-        assert kept.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [audio.TENSOR, audio.MELS]) and kept.column_names == ["tensor", "start", "end"]
+        assert kept.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float16(), [audio.TENSOR, audio.MELS]) and kept.column_names == ["tensor", "start", "end"]
     assert stored.count() > 1
 
 
@@ -241,7 +241,7 @@ def test_features_equal_those_worked_out_one_by_one():
             low, top, high = edges[m : m + 3]
             f = np.arange(audio.FFT // 2 + 1) * rate / audio.FFT
             rise = np.clip(np.minimum((f - low) / (top - low), (high - f) / (high - top)), 0, None)
-            assert got[i, m] == pytest.approx(np.log10((power * rise).sum() + 1e-6), abs=2e-3)
+            assert got[i, m] == pytest.approx(np.log10((power * rise).sum() + 1e-6), abs=4e-3)
     level, on, want = np.array(energy) - np.mean(energy), None, []
     for i, v in enumerate([*level, -9]):
         if on is None and v > audio.OPEN:
