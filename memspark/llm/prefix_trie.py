@@ -181,9 +181,10 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     rows = prefixes(turns)
     grouped = cut(rows.groupBy("depth", "fp").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.first("prev").alias("prev"), F.first("chars").alias("chars")), "nodes")
     every = conversations.select("conv_id").distinct()
-    root = cut(every.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0"), "root")
+    top = every.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).first()
+    root = every.sparkSession.createDataFrame([(top.conv_id, top.n_convs)] if top.n_convs else [], "conv_id long, n_convs long")
     above = grouped.select((F.col("depth") + 1).alias("depth"), F.col("fp").alias("prev"), F.col("conv_id").alias("parent_conv_id"))
-    below = grouped.join(above, ["depth", "prev"], "left").join(root.select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("__root")), "depth", "left")
+    below = grouped.join(above, ["depth", "prev"], "left").withColumn("__root", F.lit(top.conv_id).cast("long"))
     saved = ((F.col("n_convs") - 1) * F.col("chars")).alias("saved")
     nodes = below.select("conv_id", "depth", F.coalesce("parent_conv_id", "__root").alias("parent_conv_id"), "n_convs", saved)
     nodes = nodes.unionByName(root.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.lit(0).cast("long").alias("saved")))
@@ -191,8 +192,8 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     nodes = cut(nodes.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
     last = rows.groupBy("conv_id").agg(F.max(F.struct("depth", "fp")).alias("end")).select(F.col("conv_id").alias("member"), "end.*")
     ends = last.join(grouped.select("depth", "fp", "conv_id", "n_convs"), ["depth", "fp"]).select("conv_id", "depth", "member", "n_convs")
-    turnless = every.withColumnRenamed("conv_id", "member").join(last.select("member"), "member", "left_anti").join(root)
-    ends = cut(ends.unionByName(turnless.select("conv_id", F.lit(0).cast("long").alias("depth"), "member", "n_convs")), "ends")
+    turnless = every.withColumnRenamed("conv_id", "member").join(last.select("member"), "member", "left_anti")
+    ends = cut(ends.unionByName(turnless.select(F.lit(top.conv_id).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), "member", F.lit(top.n_convs).cast("long").alias("n_convs"))), "ends")
     several = _digests(ends.where("n_convs > 1").select("conv_id", "depth", "member"))
     hashes = several.unionAll(ends.where("n_convs = 1").select("conv_id", "depth", F.sha2(F.col("member").cast("string"), 256)))
     out = nodes.join(_subtrees(nodes), ["conv_id", "depth"], "left").join(hashes, ["conv_id", "depth"], "left")

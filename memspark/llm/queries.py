@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, audit, chat, mixing, nearest, pieces, prefix_trie, sharding, simhash, style_tree, toxicity, warc
+from . import audio, audit, chat, mixing, nearest, odd_sketch, pieces, prefix_trie, sharding, simhash, style_tree, toxicity, warc
 from .common import table
 
 
@@ -67,12 +67,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+def op12_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_warc, op5_sharding, op6_nearest, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity, op11_prefix_trie, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_warc, op5_sharding, op6_nearest, op7_audio, op8_chat, op9_sentencepiece, op10_toxicity, op11_prefix_trie, op12_odd_sketch, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
