@@ -88,6 +88,18 @@ def clamped(confidence: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
 
 
+def formed(opinions: DataFrame) -> DataFrame:
+    """Facts of new opinions (fact_id, bank_id, content, evidence_ids, confidence): experience, of the opinion network, with confidence held between 0 and 1."""
+    return opinions.select("fact_id", "bank_id", "content", F.lit("experience").alias("fact_type"), F.lit("opinion").alias("network"), F.coalesce("evidence_ids", F.array().cast("array<bigint>")).alias("evidence_ids"), clamped(F.col("confidence")).alias("confidence"))
+
+
+def moved(opinions: DataFrame, steps: DataFrame) -> DataFrame:
+    """fact_id, confidence and evidence_ids of opinions after steps (fact_id, delta, evidence_ids): a positive delta reinforces, a negative one weakens; the evidence of either is added at the end."""
+    both = opinions.select("fact_id", "confidence", F.col("evidence_ids").alias("__own")).join(steps, "fact_id")
+    level = F.when(F.col("delta") >= 0, reinforced(F.col("confidence"), F.col("delta"))).otherwise(weakened(F.col("confidence"), -F.col("delta")))
+    return both.select("fact_id", level.alias("confidence"), F.concat(F.coalesce("__own", F.array().cast("array<bigint>")), "evidence_ids").alias("evidence_ids"))
+
+
 def opinions_for(queries: DataFrame, facts: DataFrame, k: int = 20) -> DataFrame:
     """The opinions among the k nearest facts of any network: ranked first, filtered after."""
     from .recall import vector_topk

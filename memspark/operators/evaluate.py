@@ -7,11 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
+
 
 def report(results: DataFrame) -> DataFrame:
-    """Count, correct, accuracy and mean F1: overall, by category and by conversation, in one aggregation over grouping sets."""
+    """Count, correct, accuracy and mean F1, and mean evidence recall where results have it: overall, by category and by conversation, in one aggregation over grouping sets."""
     grouped = results.groupingSets([[], [F.col("category")], [F.col("conversation")]], F.col("category"), F.col("conversation"))
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("mean_f1"))
+    means = [F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("mean_f1")]
+    if "evidence_recall" in results.columns:
+        means.append(F.round(F.avg(F.coalesce("evidence_recall", F.lit(0.0))), 6).alias("mean_evidence_recall"))
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"), *means)
+
+
+def ordered(results: DataFrame) -> DataFrame:
+    """results with place, from 0, in the order of reports: conversation, category, question."""
+    return numbered(results, [], [F.col("conversation"), F.col("category"), F.col("question_id")], "place")
 
 
 def scorable(category: Column, answer: Column) -> Column:
@@ -30,12 +40,20 @@ def bank_stats(facts: DataFrame, fact_entities: DataFrame) -> DataFrame:
 
 
 def usage(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("tokens"), 2).alias("tokens"), F.sum("error").alias("errors"))
+    """Calls, tokens and errors of each stage, and the time that its calls took where calls have it."""
+    sums = [F.count(F.lit(1)).alias("calls"), F.round(F.sum("tokens"), 2).alias("tokens"), F.sum("error").alias("errors")]
+    return calls.groupBy("stage").agg(*sums, *([F.sum("latency_ms").alias("latency_ms")] if "latency_ms" in calls.columns else []))
+
+
+def merged_usage(usages: list[DataFrame]) -> DataFrame:
+    """The usage of several runs as that of one: sums of what usage gives, by stage."""
+    both = reduce(DataFrame.unionByName, usages)
+    return both.groupBy("stage").agg(*[F.sum(c).alias(c) if c != "tokens" else F.round(F.sum(c), 2).alias(c) for c in both.columns if c != "stage"])
 
 
-def total(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """The field-wise sum of breakdowns or phase times."""
-    return rows.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields])
+def total(rows: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
+    """The field-wise sum of breakdowns or phase times, of all rows or of each group."""
+    return rows.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields])
 
 
 def compare_matched(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,7 +73,7 @@ def compare_all(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """Disjoint runs as one, in order; raises if two runs share a question or differ in columns."""
+    """Disjoint runs as one; raises if two runs share a question or differ in columns."""
     if len({tuple(r.columns) for r in runs}) > 1:
         raise ValueError("runs have different columns")
     both = reduce(DataFrame.unionByName, runs)

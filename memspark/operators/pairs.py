@@ -1,62 +1,183 @@
-"""Pairs of similar vectors by block products, and plans cut between rounds."""
+"""Pairs of similar vectors by pivot partitions, and plans cut between rounds.
+
+The angle between vectors is a metric, so it obeys the triangle inequality. Some vectors are pivots, and each vector of the left
+side belongs to the cell of the pivot nearest to it. A vector of the right side is copied to just those cells that can hold a
+vector within the threshold's angle t: it is no farther from a cell's pivot than from its own by more than 2 t (else the border
+between the two is too far away), and its distance to the pivot is within t of the cell's ring, the least and the
+largest distance of what is in the cell. All that passes these bounds is compared, so the join is exact; how much passes depends on the data: groups
+of vectors that are near each other are told apart by pivots, while vectors without any structure and wide angles leave little to rule out.
+"""
 
 from __future__ import annotations
 
+import math
+import os
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Vectors in a block, about.
 BLOCK = 1024
+#: Vectors that pivots are chosen from, and pivots at most; there are as many as the square root of half the vectors.
+SAMPLE, PIVOTS = 8192, 2048
+#: What angles may be off by rounding.
+SLACK = 1e-6
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="memspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed in the folder that the session names, or in one of our own where it names none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-"))
-    return df.checkpoint()
+    """df written to the shared folder and read again, so that it is computed once and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/memspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
-def _blocks(side: DataFrame, name: str, by: str | None) -> DataFrame:
-    """group, name_block and the vectors of each block; a group's blocks are as many as its size asks for."""
-    rows = side.where("embedding is not null").select("id", "embedding", (F.col(by) if by else F.lit(0)).alias("group"))
-    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(sizes, "group").withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), "n").cast("int"))
-    return dealt.groupBy("group", f"{name}_block").agg(F.collect_list(F.struct("id", "embedding")).alias(name))
+def discard(*tables: DataFrame) -> None:
+    """Deletes what cut has written for these."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def similar(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None, ordered: bool = False, itself: bool = False) -> DataFrame:
-    """a, b, score of the pairs of id at a cosine of the threshold or more, within a group where by names one.
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
+def _rows(side: DataFrame, by: str | None) -> DataFrame:
+    """id, group, dims and embedding of the vectors that have a direction; only vectors of one group and length are compared."""
+    own = side.where("embedding is not null and size(embedding) > 0 and exists(embedding, x -> x <> 0)")
+    return own.select(F.col("id").cast("long").alias("id"), (F.col(by).cast("string") if by else F.lit("")).alias("group"), F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _unit(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)  # else squares of very large or small ones are lost
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def chosen(sample: np.ndarray, k: int) -> np.ndarray:
+    """k of the unit vectors, each the farthest from those before, so that every group of near vectors has one."""
+    at, nearest = [0], sample @ sample[0]
+    while len(at) < min(k, len(sample)):
+        at.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[at[-1]])
+    return sample[at]
+
+
+def pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots for each length of vectors, from a sample of bounded size."""
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").select("dims", "embedding").limit(SAMPLE).toPandas()
+    k = max(1, min(PIVOTS, math.isqrt(n // 2)))
+    return {int(d): chosen(_unit(pa.array(list(g["embedding"])), int(d)), k) for d, g in some.groupby("dims")}
+
+
+def _angles(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ to.T, -1, 1))
+
 
-    Blocks of both sides meet by an equi-join on the group, so a task holds two blocks and returns just the pairs that
-    pass. ordered asks for a < b of one table with itself, and lets each pair of blocks meet once; itself also asks for pairs
-    of equal ids, which two tables may have.
+_CELLS = "id long, group string, dims int, embedding array<double>, cell int, home int, angle double"
+
+
+def _cells(rows: DataFrame, found: dict[int, np.ndarray], rings: dict | None = None, angle: float = 0.0) -> DataFrame:
+    """rows with their own cell, or with a row for each cell that may hold what is near, where rings has the least and largest angle in each cell."""
+    shared = rows.sparkSession.sparkContext.broadcast((found, rings))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rings = shared.value
+        for batch in batches:
+            lengths = batch.column(2).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == d))
+                if d not in found:  # too few of this length for the sample: one cell
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.zeros(part.num_rows, t)) for t in (np.int32, np.int32, np.float64))], names=[*part.schema.names, "cell", "home", "angle"])
+                    continue
+                for lo in range(0, part.num_rows, 1024):
+                    piece = part.slice(lo, 1024)
+                    a = _angles(_unit(piece.column(3), d), found[d])
+                    home = a.argmin(1)
+                    row, cell = np.arange(len(a)), home
+                    if rings is not None:
+                        low, high = rings[d]
+                        own = a[np.arange(len(a)), home][:, None]
+                        row, cell = np.nonzero((a <= np.minimum(own + 2 * angle, high + angle) + SLACK) & (a >= low - angle - SLACK))
+                    out = piece.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array(a[row, cell])], names=[*out.schema.names, "cell", "home", "angle"])
+
+    return rows.mapInArrow(apply, _CELLS)
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """group, dims, cell, name_block and the vectors of each block; a cell's blocks are as many as its size asks for."""
+    key = ["group", "dims", "cell"]
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = rows.join(sizes, key).withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    return dealt.groupBy(*key, f"{name}_block").agg(F.collect_list(F.struct("id", "embedding", "home")).alias(name))
+
+
+def meetings(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None, ordered: bool = False) -> DataFrame:
+    """dims, x and y: the blocks of both sides that are to be compared. They meet by an equi-join on group, length and cell.
+
+    ordered is for one table with itself: a vector is then copied to cells up to its own only, and pairs of blocks of one cell meet once.
     """
-    left, right = _blocks(a, "x", by), _blocks(b, "y", by)
-    met = left.join(right, "group")
+    if threshold <= 0:
+        raise ValueError("a threshold must be above 0")
+    _importable(a.sparkSession)
+    left, right, angle = _rows(a, by), _rows(b, by), math.acos(min(1.0, threshold))
+    found = pivots(left)
+    own = cut(_cells(left, found))
+    rings = {d: (np.full(len(p), np.inf), np.full(len(p), -np.inf)) for d, p in found.items()}
+    for r in own.groupBy("dims", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row for each pivot
+        if r.dims in rings:
+            rings[r.dims][0][r.cell], rings[r.dims][1][r.cell] = r.low, r.high
+    copies = _cells(right, found, rings, angle)
     if ordered:
-        met = met.where("x_block <= y_block")
-    met = met.select("x", "y", (F.col("x_block") == F.col("y_block")).alias("same"))
+        copies = copies.where("cell <= home")
+    met = _blocks(own, "x").join(_blocks(copies, "y"), ["group", "dims", "cell"])
+    return met.select("dims", "x", "y")
+
 
-    def read(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-        ids, vectors = cell.values.field(0).to_numpy(), cell.values.field(1)
-        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        n = np.sqrt((x * x).sum(1, keepdims=True))
-        return ids, np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+def similar(a: DataFrame, b: DataFrame, threshold: float, by: str | None = None, ordered: bool = False, itself: bool = False) -> DataFrame:
+    """a, b, score of the pairs of id at a cosine of the threshold (above 0) or more, within a group where by names one.
+
+    A task holds two blocks and returns just the pairs that pass. ordered asks for a < b of one table with itself; itself
+    also asks for pairs of equal ids, which two tables may have. Vectors that are null, empty or zero, and those of other lengths, are near
+    nothing; a null group is a group.
+    """
+    met = meetings(a, b, threshold, by, ordered).select("dims", "x", "y")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cx, cy, same in zip(batch.column(0), batch.column(1), batch.column(2)):
-                (xi, x), (yi, y) = read(cx), read(cy)
+            for dims, cx, cy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                (xi, x, _), (yi, y, home) = ((c.values.field(0).to_numpy(), _unit(c.values.field(1), dims), c.values.field(2).to_numpy()) for c in (cx, cy))
+                cell = cx.values.field(2).to_numpy()[0]
                 score = x @ y.T
                 i, j = np.nonzero(score >= threshold)
                 p, q, s = xi[i], yi[j], score[i, j]
-                keep = (p < q) | (not same.as_py()) & (p != q) if ordered else (p != q) | itself
+                # two vectors of one cell meet both ways, those of two cells in the lower one only
+                keep = np.where(home[j] == cell, p < q, p != q) if ordered else (p != q) | itself
                 p, q, s = p[keep], q[keep], s[keep]
                 first, second = (np.minimum(p, q), np.maximum(p, q)) if ordered else (p, q)
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(s)], names=["a", "b", "score"])

@@ -36,11 +36,39 @@ def evidence_closure(evidence: DataFrame) -> DataFrame:
     return reach
 
 
-def support(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """fact_id and turns: the sorted source turns of each fact and of all its evidence. facts: fact_id, source_turn_id."""
-    closure = evidence_closure(evidence).unionAll(facts.select("fact_id", F.col("fact_id").alias("evidence_id")))
+def closure_from(asked: DataFrame, evidence: DataFrame) -> DataFrame:
+    """fact_id and evidence_id of all that the evidence of the facts asked for leads to. A round follows only what the one before reached
+    first, so work and rounds are those of the facts asked for, whatever the table of evidence holds; cycles end."""
+    links = evidence.select("fact_id", "evidence_id").where("fact_id is not null and evidence_id is not null").distinct()
+    frontier = cut(asked.select("fact_id").distinct().join(links, "fact_id"))
+    reach = [frontier]
+    while not frontier.isEmpty():
+        step = frontier.select(F.col("fact_id").alias("asked"), F.col("evidence_id").alias("fact_id")).join(links, "fact_id").select(F.col("asked").alias("fact_id"), "evidence_id").distinct()
+        frontier = cut(step.join(reduce(DataFrame.unionAll, reach), ["fact_id", "evidence_id"], "left_anti"))
+        reach.append(frontier)
+    return reduce(DataFrame.unionAll, reach)
+
+
+def support(asked: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """fact_id and turns: the sorted source turns of each fact asked for and of all its evidence. facts: fact_id, source_turn_id."""
+    asked = asked.select("fact_id").distinct()
+    closure = closure_from(asked, evidence).unionAll(asked.select("fact_id", F.col("fact_id").alias("evidence_id")))
     turns = closure.join(facts.select(F.col("fact_id").alias("evidence_id"), "source_turn_id"), "evidence_id").where("source_turn_id is not null")
-    return turns.groupBy("fact_id").agg(F.array_sort(F.collect_set("source_turn_id")).alias("turns"))
+    found = turns.groupBy("fact_id").agg(F.array_sort(F.collect_set("source_turn_id")).alias("turns"))
+    return asked.join(found, "fact_id", "left").withColumn("turns", F.coalesce("turns", F.array().cast(found.schema["turns"].dataType)))
+
+
+#: What an answer's confidence is said to be.
+CONFIDENCE = 0.85
+
+
+def finalized(done: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """query_id, response, sources, confidence and new_opinions of each call of done (query_id, response, source_ids): the ids that it cites, in its
+    order, without those that no call retrieved (query_id, fact_id)."""
+    cited = done.select("query_id", F.posexplode("source_ids").alias("at", "fact_id")).join(retrieved.select("query_id", "fact_id").distinct(), ["query_id", "fact_id"], "left_semi")
+    kept = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "fact_id"))).alias("x")).select("query_id", F.expr("transform(x, c -> c.fact_id)").alias("sources"))
+    none = F.array().cast(done.schema["source_ids"].dataType)
+    return done.select("query_id", "response").join(kept, "query_id", "left").select("query_id", "response", F.coalesce("sources", none).alias("sources"), F.lit(CONFIDENCE).alias("confidence"), F.array().cast("array<string>").alias("new_opinions"))
 
 
 def valid_citations(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -75,6 +103,12 @@ def rounds(turns: DataFrame) -> DataFrame:
     return marked.withColumn("round", F.coalesce(F.sum("__ends").over(before), F.lit(0)).cast("long")).drop("__ends")
 
 
+def conversation_totals(turns: DataFrame) -> DataFrame:
+    """conv_id, n_sessions (the largest number of a session), n_rounds, n_turns and the latest minute of each conversation (conv_id, session, turn, role, minute)."""
+    per = rounds(turns).groupBy("conv_id").agg(F.max("session").alias("n_sessions"), (F.max("round") + 1).alias("n_rounds"), F.count(F.lit(1)).alias("n_turns"), F.max("minute").alias("latest"))
+    return per.select("conv_id", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), "n_rounds", "n_turns", "latest")
+
+
 def unique_across(results: list[DataFrame]) -> DataFrame:
     """Facts of several tool calls, each with the first call that returned it."""
     calls = [r.select("fact_id", F.lit(i).alias("call")) for i, r in enumerate(results)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.temporal import overlaps, parse_phrase, proximity
@@ -17,6 +17,7 @@ from memspark.functions.vector import cosine, norm
 from memspark.schemas import RecallConfig
 
 from .filters import top
+from .ordinals import numbered
 from .pairs import cut
 
 #: Decimals that scores keep before they are ranked: near ties are told apart, and the last bits of a sum, which depend on its order, are not.
@@ -53,16 +54,67 @@ def keyword_topk(queries: DataFrame, index: DataFrame, lexemes: Callable[[Column
     return _ranked(hits.where(F.col("n") == F.col("wanted")), "keyword", k)
 
 
+# Fixed values of the text search that ranks are taken from: the weight of a plain word, positions kept of a lexeme and the last one told
+# apart, the distance from which words don't add, the rank of what has no pair of positions, and the sum of 1 / n^2.
+WEIGHT, POSITIONS, LAST, FAR, NO_PAIR, SUM = 0.1, 255, 16383, 100, 1e-20, 1.64493406685
+
+
+def positional_index(facts: DataFrame, lexemes: Callable[[Column], Column]) -> DataFrame:
+    """bank_id, term, fact_id and positions of every lexeme of every fact; lexemes gives terms in order, and an empty one for a place that counts but isn't found."""
+    rows = facts.select("bank_id", "fact_id", F.posexplode(lexemes(F.col("content"))).alias("at", "term")).where("term <> ''")
+    found = rows.groupBy("bank_id", "term", "fact_id").agg(F.array_sort(F.collect_set(F.least(F.col("at") + 1, F.lit(LAST)))).alias("positions"))
+    return found.withColumn("positions", F.slice("positions", 1, POSITIONS))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Stores an index with a folder a bank, sorted by term, so that a query reads its banks and skips other terms; banks that are there already are replaced, others left alone."""
+    index.repartition("bank_id").sortWithinPartitions("bank_id", "term", "fact_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bank_id").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, fact_id long, positions array<int>, bank_id long").parquet(path).select("bank_id", "term", "fact_id", "positions")
+
+
+def _nearness(found: Column) -> Column:
+    """The rank of a fact's positions of all the lexemes asked for (an array for each): of one by how often it is there, of several by how near pairs of them are."""
+    one = F.aggregate(F.transform(found[0], lambda _, i: WEIGHT / ((i + 1) * (i + 1)).cast("double")), F.lit(0.0), lambda s, x: s + x) / SUM
+    apart = lambda p, q: F.when(F.abs(p - q) > FAR, F.lit(1e-30)).otherwise(1 / (1.005 + 0.05 * F.exp(F.abs(p - q) / 1.5 - 2)))
+    missed = lambda p, q: F.when(p == q, F.lit(1.0)).otherwise(1 - WEIGHT * F.sqrt(apart(p, q)))
+    both = lambda miss, a, b: F.aggregate(a, miss, lambda m, p: F.aggregate(b, m, lambda n, q: n * missed(p, q)))
+    # each lexeme with all before it: what none of their pairs of positions adds
+    none = F.aggregate(
+        F.sequence(F.lit(2), F.size(found)), F.lit(1.0),
+        lambda miss, i: F.aggregate(F.slice(found, F.lit(1), i - 1), miss, lambda m, before: both(m, F.element_at(found, i), before)),
+    )
+    pairs = F.size(F.array_distinct(F.flatten(found))) > 1
+    return F.when(F.size(found) == 1, one).when(pairs, 1 - none).otherwise(F.lit(NO_PAIR))
+
+
+def keyword_ranked(queries: DataFrame, index: DataFrame, lexemes: Callable[[Column], Column], k: int | None = 40) -> DataFrame:
+    """Facts that hold every lexeme of the query (query_id, bank_id, text), ranked as an English text search ranks them: by the
+    positions of its lexemes. index is a positional index. A query without lexemes matches nothing.
+
+    Queries meet the index by an equi-join on (bank, term), and only facts that hold all terms keep their positions for the rank.
+    """
+    terms = queries.select("query_id", "bank_id", F.array_sort(F.array_distinct(F.filter(lexemes(F.col("text")), lambda w: w != ""))).alias("terms"))
+    terms = terms.select("query_id", "bank_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+    hits = terms.join(index, ["bank_id", "term"]).groupBy("query_id", "fact_id").agg(F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("found"), F.first("wanted").alias("wanted"))
+    whole = hits.where(F.size("found") == F.col("wanted")).withColumn("found", F.expr("transform(found, x -> x.positions)"))
+    return _ranked(whole.withColumn("score", F.round(_nearness(F.col("found")), DIGITS)), "keyword", k)
+
+
 def temporal_channel(queries: DataFrame, facts: DataFrame) -> DataFrame:
     """All facts of the bank that overlap a query's range (from_, to), by proximity of middles; queries have a now of their own.
 
-    Facts without a range overlap anything. Queries whose range is null on both sides ask for nothing.
+    Facts without a range overlap anything. Queries whose range is null on both sides ask for nothing. A query's facts may be a whole bank,
+    so they are numbered by ranges of scores, never in one task.
     """
     q = queries.where(F.col("from_").isNotNull() | F.col("to").isNotNull()).select("query_id", "bank_id", "from_", "to", "now")
     f = facts.select("bank_id", "fact_id", "temporal_start", "temporal_end")
     hit = q.join(f, "bank_id").where(overlaps(F.col("temporal_start"), F.col("temporal_end"), F.col("from_"), F.col("to")))
     score = F.round(proximity(F.col("temporal_start"), F.col("temporal_end"), F.col("from_"), F.col("to"), F.col("now")), DIGITS)
-    return _ranked(hit.select("query_id", "fact_id", score.alias("score")), "temporal", None)
+    placed = numbered(hit.select("query_id", "fact_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("fact_id")], "rank")
+    return placed.select("query_id", "fact_id", "score", "rank", F.lit("temporal").alias("source"))
 
 
 def with_ranges(queries: DataFrame) -> DataFrame:
@@ -74,6 +126,15 @@ def with_ranges(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"from_": start, "to": end})
 
 
+def with_inherited_ranges(searches: DataFrame, questions: DataFrame) -> DataFrame:
+    """searches (query_id, text, now) of questions (query_id, text, now) with anchor_start and anchor_end: the time that a search speaks of, else
+    the one that its question speaks of, else none."""
+    own, asked = parse_phrase(F.col("text"), F.col("now")), questions.select("query_id", F.struct(*[c.alias(n) for c, n in zip(parse_phrase(F.col("text"), F.col("now")), ("start", "end"))]).alias("__asked"))
+    speaks = own[0].isNotNull() | own[1].isNotNull()
+    both = searches.join(asked, "query_id", "left")
+    return both.withColumns({"anchor_start": F.when(speaks, own[0]).otherwise(F.col("__asked.start")), "anchor_end": F.when(speaks, own[1]).otherwise(F.col("__asked.end"))}).drop("__asked")
+
+
 def undirected(links: DataFrame, link_type: str | None = None) -> DataFrame:
     """node, neighbor, link_type, weight in both directions."""
     own = links if link_type is None else links.where(F.col("link_type") == link_type)
@@ -166,7 +227,7 @@ def recall(
     """
     scoped = facts if networks is None else facts.where(F.col("network").isin(*networks))
     hits = vector_topk(queries, scoped, config.channel_limit)
-    words = keyword_topk(queries, index, lexemes, config.channel_limit)
+    words = (keyword_ranked if "positions" in index.columns else keyword_topk)(queries, index, lexemes, config.channel_limit)
     if networks is not None:
         words = words.join(scoped.select("fact_id"), "fact_id", "left_semi").select(*hits.columns)
         words = _ranked(words, "keyword", None)

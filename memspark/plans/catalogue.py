@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memspark.functions import temporal, text, vector
-from memspark.operators import clusters, evaluate, filters, links, provenance, recall, resolve
+from memspark.functions import english, temporal, text, vector
+from memspark.operators import clusters, consolidate, evaluate, filters, links, provenance, recall, resolve, views
 from memspark.schemas import RecallConfig
 
 from . import fixtures
@@ -126,6 +126,26 @@ def keyword_match_all(t):
     return recall.keyword_topk(_now_queries(t), recall.inverted_index(t("facts"), _WORDS), _WORDS)
 
 
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_RANKED_SQL = f"""WITH p AS (SELECT bank_id, fact_id, w[i] AS term, least(i, {recall.LAST}) AS seat FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM
+    (SELECT bank_id, fact_id, regexp_extract_all(lower(content), '[a-z]+') AS w FROM {{facts}})) WHERE w[i] NOT IN ({_STOP})),
+  x AS (SELECT bank_id, fact_id, term, list_sort(list(DISTINCT seat))[1:{recall.POSITIONS}] AS seats FROM p GROUP BY 1, 2, 3),
+  q AS (SELECT DISTINCT query_id, bank_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {{keyword_queries}}),
+  w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS wanted FROM q WHERE term NOT IN ({_STOP})),
+  h AS (SELECT query_id, fact_id, term, seats, wanted, count(*) OVER (PARTITION BY query_id, fact_id) AS n FROM w JOIN x USING (bank_id, term)),
+  m AS (SELECT * FROM h WHERE n = wanted),
+  o AS (SELECT query_id, fact_id, 0.1::DOUBLE * list_sum(list_transform(range(1, len(seats) + 1), lambda i: 1 / (i * i)::DOUBLE)) / {recall.SUM} AS score FROM m WHERE wanted = 1),
+  d AS (SELECT query_id, fact_id, abs(p - c) AS d FROM (SELECT a.query_id, a.fact_id, unnest(a.seats) AS p, b.seats AS bs FROM m a JOIN m b ON a.query_id = b.query_id AND a.fact_id = b.fact_id AND b.term < a.term), unnest(bs) u(c)),
+  s AS (SELECT query_id, fact_id, CASE WHEN max(d) = 0 THEN {recall.NO_PAIR} ELSE 1 - product(CASE WHEN d = 0 THEN 1 ELSE 1 - 0.1::DOUBLE * sqrt(CASE WHEN d > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(d / 1.5::DOUBLE - 2)) END) END) END AS score FROM d GROUP BY 1, 2),
+  r AS (SELECT query_id, fact_id, round(score, {recall.DIGITS}) AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM s))
+  SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, 'keyword' AS source FROM r QUALIFY rank < 40"""
+
+
+@query(_RANKED_SQL)
+def keyword_ranked(t):
+    return recall.keyword_ranked(t("keyword_queries"), recall.positional_index(t("facts"), english.unstemmed), english.unstemmed)
+
+
 @query(_TEMPORAL_SQL)
 def temporal_channel(t):
     return recall.temporal_channel(recall.with_ranges(_now_queries(t)), t("facts"))
@@ -202,7 +222,9 @@ def entity_exact_match(t):
 @query("""SELECT a.fact_id AS source_id, b.fact_id AS target_id, 'temporal' AS link_type,
     round(CASE WHEN a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL THEN greatest(0.1::DOUBLE, 1 - (abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000) / 172800.0::DOUBLE) ELSE 0.5 END, 4) AS weight
   FROM {facts} a JOIN {facts} b ON a.bank_id = b.bank_id AND a.fact_id <> b.fact_id
-  WHERE b.network <> 'opinion' AND a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL AND abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000 <= 172800""")
+  WHERE b.network <> 'opinion' AND CASE WHEN a.temporal_start IS NOT NULL AND b.temporal_start IS NOT NULL THEN abs(epoch_us(a.temporal_start) - epoch_us(b.temporal_start)) // 1000000 <= 172800
+    ELSE (a.temporal_start IS NOT NULL OR a.temporal_end IS NOT NULL) AND (b.temporal_start IS NOT NULL OR b.temporal_end IS NOT NULL)
+      AND (a.temporal_start IS NULL OR b.temporal_end IS NULL OR a.temporal_start <= b.temporal_end) AND (b.temporal_start IS NULL OR a.temporal_end IS NULL OR b.temporal_start <= a.temporal_end) END""")
 def links_temporal(t):
     return links.temporal_links(t("facts"), t("facts"), 2)
 
@@ -249,6 +271,24 @@ def dedup_facts(t):
     return resolve.dedup(t("dedup_new"), t("facts").where("fact_id % 2 = 0")).select("fact_id")
 
 
+def _in_order_sql(chunks: int) -> str:
+    """Chunks one after another: a chunk's facts stay if nothing near to them stays of those before."""
+    parts = [
+        f"c AS (SELECT fact_id, bank_id, embedding, (fact_id // 4) % {chunks} AS chunk FROM {{facts}})",
+        f"e AS MATERIALIZED (SELECT a.fact_id AS a, b.fact_id AS b FROM c a JOIN c b ON a.bank_id = b.bank_id AND a.chunk < b.chunk WHERE {_cos('a.embedding', 'b.embedding')} >= {SEMANTIC})",
+        "k0 AS (SELECT fact_id FROM c WHERE chunk = 0)",
+    ]
+    for i in range(1, chunks):
+        parts.append(f"k{i} AS MATERIALIZED (SELECT fact_id FROM k{i - 1} UNION ALL SELECT fact_id FROM c WHERE chunk = {i} AND NOT EXISTS (SELECT 1 FROM e WHERE e.b = c.fact_id AND e.a IN (SELECT fact_id FROM k{i - 1})))")
+    return "WITH " + ",\n".join(parts) + f" SELECT fact_id FROM k{chunks - 1}"
+
+
+@query(_in_order_sql(8))
+def dedup_in_order(t):
+    chunks = t("facts").select("bank_id", "fact_id", (F.floor(F.col("fact_id") / 4) % 8).alias("chunk"), "embedding")
+    return resolve.dedup_in_order(chunks, SEMANTIC).select("fact_id")
+
+
 @query(f"""SELECT bank_id, mention, entity_id, round(score, 4) AS score, CASE WHEN score >= {NEAR_NAME[1]} THEN 'accept' WHEN score >= {NEAR_NAME[0]} THEN 'ask' ELSE 'create' END AS tier FROM (
     SELECT q.bank_id, q.text AS mention, f.fact_id AS entity_id, {_cos('q.embedding', 'f.embedding')} AS score FROM {{queries}} q JOIN {{facts}} f ON f.bank_id = q.bank_id)
   QUALIFY row_number() OVER (PARTITION BY bank_id, mention ORDER BY score DESC, entity_id) = 1""")
@@ -258,6 +298,28 @@ def entity_nearest(t):
     return resolve.nearest(mentions, known).withColumn("tier", resolve.tier(F.col("score"), *NEAR_NAME)).withColumn("score", F.round("score", 4))
 
 
+NAMES = (0.25, 0.35)
+_LAYERS_SQL = f"""WITH RECURSIVE f AS (SELECT bank_id, lower(trim(mention)) AS key, arg_min(mention, place) AS mention, arg_min(embedding, place) AS v, min(place) AS place FROM {{near_mentions}} GROUP BY 1, 2),
+  x AS (SELECT f.bank_id, key, min(name) AS name FROM f JOIN {{near_entities}} e ON e.bank_id = f.bank_id AND e.name = f.mention GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY place) AS pos FROM f WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.bank_id = f.bank_id AND x.key = f.key)),
+  k AS (SELECT bank_id, pos, list({{'far': -c, 'name': name, 'pos': 0::BIGINT}}) AS known FROM (SELECT r.bank_id, r.pos, e.name, {_cos('r.v', 'e.embedding')} AS c FROM r JOIN {{near_entities}} e ON e.bank_id = r.bank_id) WHERE c >= {NAMES[0]} GROUP BY 1, 2),
+  n AS (SELECT bank_id, pos, list({{'far': -c, 'name': name, 'pos': before}}) AS near FROM (SELECT b.bank_id, b.pos, a.mention AS name, a.pos AS before, {_cos('a.v', 'b.v')} AS c FROM r a JOIN r b ON b.bank_id = a.bank_id AND a.pos < b.pos) WHERE c >= {NAMES[0]} GROUP BY 1, 2),
+  s AS MATERIALIZED (SELECT r.bank_id, r.pos, r.key, r.mention, coalesce(known, []) AS known, coalesce(near, []) AS near FROM r LEFT JOIN k USING (bank_id, pos) LEFT JOIN n USING (bank_id, pos)),
+  z AS (SELECT DISTINCT bank_id, 0::BIGINT AS pos, []::BIGINT[] AS made, ''::VARCHAR AS key, ''::VARCHAR AS name, ''::VARCHAR AS tier, 0::DOUBLE AS score FROM r
+    UNION ALL SELECT bank_id, pos, CASE WHEN tier = 'create' THEN list_append(made, pos) ELSE made END, key, CASE WHEN tier = 'create' THEN mention ELSE best.name END, tier, CASE WHEN tier = 'create' THEN 1 ELSE -best.far END FROM
+      (SELECT *, CASE WHEN -best.far >= {NAMES[1]} THEN 'accept' WHEN -best.far >= {NAMES[0]} AND (length(mention) + length(best.name)) % 2 = 0 THEN 'ask' ELSE 'create' END AS tier FROM
+        (SELECT s.bank_id, s.pos, z.made, s.key, s.mention, list_sort(s.known || list_filter(s.near, lambda x: list_contains(z.made, x.pos)))[1] AS best FROM z JOIN s ON s.bank_id = z.bank_id AND s.pos = z.pos + 1))),
+  y AS (SELECT bank_id, key, name, tier, score FROM z WHERE pos > 0 UNION ALL SELECT bank_id, key, name, 'exact', 1 FROM x)
+  SELECT m.bank_id, m.mention, m.place, y.name, y.tier, round(y.score, 6) AS score FROM {{near_mentions}} m JOIN y ON y.bank_id = m.bank_id AND y.key = lower(trim(m.mention))"""
+
+
+@query(_LAYERS_SQL)
+def resolve_layers(t):
+    entities = t("near_entities").withColumn("aliases", F.array().cast("array<string>"))
+    confirm = lambda mention, name: (F.length(mention) + F.length(name)) % 2 == 0
+    return resolve.resolve_in_order(t("near_mentions"), entities, confirm, candidate=NAMES[0], accept=NAMES[1]).select("bank_id", "mention", "place", "name", "tier", F.round("score", 6).alias("score"))
+
+
 @query("SELECT fact_id, source_id, row_number() OVER (PARTITION BY fact_id ORDER BY minute, source_id) AS rank FROM {fact_sources} JOIN {sources} USING (source_id) QUALIFY rank <= 3")
 def lookup_sources(t):
     return provenance.sources_of(t("facts"), t("fact_sources"), t("sources"), 3, ["minute", "source_id"])
@@ -285,6 +347,79 @@ def unconsolidated_batches(t):
     return resolve.consecutive_batches(t("facts")).select("bank_id", "fact_id", "batch")
 
 
+def _observed(sql: str) -> str:
+    """A channel's SQL for the facts of batches as queries, over observations."""
+    return sql.replace("{queries}", "{batch_queries}").replace("ON f.bank_id = q.bank_id WHERE true", "ON f.bank_id = q.bank_id WHERE f.network = 'observation'")
+
+
+_RELATED_TEMPORAL = (
+    _TEMPORAL_SQL.replace("TIMESTAMP '2024-01-01' AS f0, TIMESTAMP '2024-01-15' AS t0 FROM {queries}", "temporal_start AS f0, temporal_end AS t0 FROM (SELECT query_id, bank_id, temporal_start, temporal_end FROM {batch_queries})")
+    .replace("SELECT *, TIMESTAMP", "SELECT query_id, bank_id, TIMESTAMP").replace("(temporal_start IS NULL OR temporal_start <= t0) AND (temporal_end IS NULL OR temporal_end >= f0)",
+    "f.network = 'observation' AND NOT (f0 IS NULL AND t0 IS NULL) AND (f.temporal_start IS NULL OR t0 IS NULL OR f.temporal_start <= t0) AND (f.temporal_end IS NULL OR f0 IS NULL OR f.temporal_end >= f0)")
+)
+_RELATED_WORDS = f"SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, source FROM ({_observed(_KEYWORD_SQL)}) WHERE fact_id IN (SELECT fact_id FROM {{facts}} WHERE network = 'observation')"
+_RELATED_SQL = (
+    _observed(_activation_sql()) + f", ch AS (SELECT * FROM ({_observed(_semantic_sql(40))}) UNION ALL SELECT * FROM ({_RELATED_WORDS}) UNION ALL SELECT * FROM ({_GRAPH}) UNION ALL SELECT * FROM ({_RELATED_TEMPORAL}))"
+    + _FUSED[len(_CHANNELS) :] + f", u AS ({_BUDGETED.replace('<= 4096', '<= 512')}), "
+    "w AS (SELECT bank_id, batch, u.fact_id, min(place * 1000 + rank) AS seat FROM u JOIN {batch_queries} b ON b.query_id = u.query_id GROUP BY 1, 2, 3) "
+    "SELECT bank_id, batch, CAST(row_number() OVER (PARTITION BY bank_id, batch ORDER BY seat, fact_id) - 1 AS INTEGER) AS observation_index, fact_id FROM w"
+)
+
+
+@query(_RELATED_SQL)
+def related_observations(t):
+    batches = consolidate.placed_batches(t("facts")).withColumn("now", F.lit(NOW).cast("timestamp_ntz"))
+    return consolidate.related_observations(batches, t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Consolidation unrolled: a round's batches, the observation that each sees, and all observations after it."""
+    parts = [
+        "en AS (SELECT fact_id, list(entity_id ORDER BY entity_id) AS entity_ids FROM {fact_entities} GROUP BY 1)",
+        "ba AS (SELECT b.*, e.entity_ids, CASE WHEN length(content) > 40 THEN substring(content, 1, 40) || '...' ELSE content END AS said FROM {batch_queries} b JOIN en e USING (fact_id))",
+        "ev AS (SELECT fact_id, list(evidence_id) AS evidence_ids FROM {fact_evidence} GROUP BY 1)",
+        "o0 AS (SELECT f.fact_id, f.bank_id, f.content, en.entity_ids, coalesce(ev.evidence_ids, []) AS evidence_ids, f.temporal_start, f.temporal_end, -1 AS made, -1 AS changed FROM {facts} f JOIN en USING (fact_id) LEFT JOIN ev USING (fact_id) WHERE f.network = 'observation')",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"g{r} AS MATERIALIZED (SELECT bank_id, string_agg(said, '; ' ORDER BY place) AS content, list_distinct(flatten(list(entity_ids))) AS entity_ids, list(fact_id) AS evidence_ids, min(temporal_start) AS low, max(temporal_end) AS high, count(*) AS n FROM ba WHERE batch = {r} GROUP BY 1)",
+            f"t{r} AS MATERIALIZED (SELECT g.*, (SELECT min(o.fact_id) FROM o{r} o WHERE o.bank_id = g.bank_id AND list_has_any(o.entity_ids, g.entity_ids)) AS target FROM g{r} g)",
+            f"o{r + 1} AS MATERIALIZED (SELECT o.fact_id, o.bank_id, coalesce(t.content, o.content) AS content, list_distinct(o.entity_ids || coalesce(t.entity_ids, [])) AS entity_ids, list_distinct(o.evidence_ids || coalesce(t.evidence_ids, [])) AS evidence_ids, "
+            f"least(o.temporal_start, t.low) AS temporal_start, greatest(o.temporal_end, t.high) AS temporal_end, o.made, CASE WHEN t.target IS NULL THEN o.changed ELSE {r} END AS changed FROM o{r} o LEFT JOIN t{r} t ON t.target = o.fact_id "
+            f"UNION ALL SELECT {(r + 1) * 1_000_000} + bank_id, bank_id, content, entity_ids, evidence_ids, low, high, {r}, {r} FROM t{r} WHERE target IS NULL)",
+        ]
+    return "WITH " + ",\n".join(parts)
+
+
+#: Rounds that the SQL goes through; the banks of sf0.01 have fewer batches.
+_ROUNDS = 14
+_DAY = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _consolidated(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entities = t("fact_entities").groupBy("fact_id").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
+    evidence = t("fact_evidence").groupBy("fact_id").agg(F.collect_list("evidence_id").alias("evidence_ids"))
+    facts = t("facts").where("network <> 'observation' or fact_id % 2 = 0").join(entities, "fact_id", "left").join(evidence, "fact_id", "left")
+    return consolidate.consolidate(facts, consolidate.by_shared_entity, consolidate.one_action, new_id=lambda r: F.lit((r + 1) * 1_000_000) + F.col("bank_id"))
+
+
+_HALF = "WHERE f.network = 'observation' AND f.fact_id % 2 = 0)"
+
+
+@query(_rounds_sql(_ROUNDS).replace("WHERE f.network = 'observation')", _HALF) + f""" SELECT fact_id, bank_id, content, array_to_string(list_sort(entity_ids), ',') AS entities, array_to_string(list_sort(evidence_ids), ',') AS evidence,
+  {_DAY.replace('{c}', 'temporal_start')} AS first, {_DAY.replace('{c}', 'temporal_end')} AS last, made, changed FROM o{_ROUNDS}""")
+def consolidate_apply(t):
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    ids = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x.cast("string")), ",")
+    found, _, _ = _consolidated(t)
+    return found.select("fact_id", "bank_id", "content", ids("entity_ids").alias("entities"), ids("evidence_ids").alias("evidence"), shown("temporal_start").alias("first"), shown("temporal_end").alias("last"), "made", "changed")
+
+
+@query(_rounds_sql(_ROUNDS).replace("WHERE f.network = 'observation')", _HALF) + " " + " UNION ALL ".join(f"SELECT bank_id, {r}::BIGINT AS batch, n AS facts, CASE WHEN target IS NULL THEN 1 ELSE 0 END::BIGINT AS created, CASE WHEN target IS NULL THEN 0 ELSE 1 END::BIGINT AS updated FROM t{r}" for r in range(_ROUNDS)))
+def consolidate_progress(t):
+    return _consolidated(t)[2]
+
+
 @query("""SELECT f.bank_id, f.fact_id % 6 AS topic, strftime(min(temporal_start), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(temporal_end), '%Y-%m-%d %H:%M:%S') AS last,
   string_agg(DISTINCT e.entity_id::VARCHAR, ',' ORDER BY e.entity_id::VARCHAR) AS entities FROM {facts} f JOIN {fact_entities} e ON e.fact_id = f.fact_id GROUP BY 1, 2""")
 def interval_envelope(t):
@@ -450,9 +585,81 @@ def stage_usage(t):
     return evaluate.usage(t("stage_usage"))
 
 
+@query("SELECT category, conversation, count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy, round(avg(f1), 6) AS mean_f1, round(avg(evidence_recall), 6) AS mean_evidence_recall FROM {recalled_results} GROUP BY GROUPING SETS ((), (category), (conversation))")
+def eval_report_recall(t):
+    return evaluate.report(t("recalled_results"))
+
+
+@query("SELECT question_id, conversation, category, row_number() OVER (ORDER BY conversation, category, question_id) - 1 AS place FROM {eval_results}")
+def results_order(t):
+    return evaluate.ordered(t("eval_results").select("question_id", "conversation", "category"))
+
+
+_USAGE = "SELECT stage, count(*) AS calls, round(sum(tokens), 2) AS tokens, sum(error)::BIGINT AS errors, sum(latency_ms)::BIGINT AS latency_ms FROM {stage_calls} GROUP BY 1"
+
+
+@query(_USAGE)
+def stage_latency(t):
+    return evaluate.usage(t("stage_calls"))
+
+
+@query(_USAGE.replace("round(sum(tokens), 2) AS tokens", "round(sum(tokens), 0) AS tokens"))
+def merged_usage(t):
+    return evaluate.merged_usage([evaluate.usage(t("stage_calls").where(f"run = {i}")) for i in (0, 1)]).withColumn("tokens", F.round("tokens", 0))
+
+
+@query("""SELECT conv_id, max(session) AS n_sessions, (max(before) + 1)::BIGINT AS n_rounds, count(*) AS n_turns, max(minute) AS latest FROM (
+    SELECT *, coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+      SELECT *, CASE WHEN role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> 'assistant' THEN 1 ELSE 0 END AS e FROM {session_turns})) GROUP BY 1""")
+def conversation_totals(t):
+    return provenance.conversation_totals(t("session_turns"))
+
+
+@query("""SELECT fact_id AS id, content, least(1.0, greatest(0.0, fact_id % 13 / 8.0::DOUBLE - 0.25::DOUBLE))::DOUBLE AS confidence, coalesce(evidence, '') AS evidence FROM {facts}
+  LEFT JOIN (SELECT fact_id, string_agg(evidence_id::VARCHAR, ',' ORDER BY evidence_id DESC) AS evidence FROM {fact_evidence} GROUP BY 1) USING (fact_id) WHERE network IN ('opinion', 'observation')""")
+def opinion_form(t):
+    evidence = t("fact_evidence").groupBy("fact_id").agg(F.sort_array(F.collect_list("evidence_id"), asc=False).alias("evidence_ids"))
+    rows = t("facts").where("network in ('opinion', 'observation')").join(evidence, "fact_id", "left").withColumn("confidence", F.col("fact_id") % 13 / 8 - 0.25)
+    shown = views.opinion_view(clusters.formed(rows))
+    return shown.select("id", "content", "confidence", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
+@query("""SELECT fact_id, round(CASE WHEN fact_id % 2 = 0 THEN least(1.0, coalesce(confidence, 0.5) + 0.3::DOUBLE) ELSE greatest(0.0, coalesce(confidence, 0.5) - 0.3::DOUBLE) END, 6)::DOUBLE AS confidence,
+  CASE WHEN fact_id >= 4 THEN (fact_id - 4)::VARCHAR || ',' ELSE '' END || fact_id::VARCHAR AS evidence FROM {facts} WHERE network = 'opinion'""")
+def opinion_steps(t):
+    none = F.array().cast("array<bigint>")
+    own = t("facts").where(F.col("network") == "opinion").withColumn("evidence_ids", F.when(F.col("fact_id") >= 4, F.array(F.col("fact_id") - 4)).otherwise(none))
+    steps = own.select("fact_id", F.when(F.col("fact_id") % 2 == 0, 0.3).otherwise(-0.3).alias("delta"), F.array("fact_id").alias("evidence_ids"))
+    return clusters.moved(own, steps).select("fact_id", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
+@query(f"""SELECT query_id, rank AS place, fact_id AS id, content, score, network, {_DAY.replace('{c}', 'temporal_start')} AS first, {_DAY.replace('{c}', 'temporal_end')} AS last, fact_id * 10 AS source_turn_id, source AS sources,
+  (sum(ceil(octet_length(encode(content)) / 4.0)) OVER (PARTITION BY query_id))::BIGINT AS total_tokens FROM ({_semantic_sql(10)}) JOIN {{facts}} USING (fact_id)""")
+def recall_view(t):
+    facts = t("facts").withColumn("source_turn_id", F.col("fact_id") * 10)
+    found = recall.vector_topk(t("queries"), facts, 10).join(facts.select("fact_id", text.token_estimate(F.col("content")).alias("tokens")), "fact_id").withColumn("sources", F.array("source"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return views.recall_view(found, facts).select("query_id", "place", "id", "content", "score", "network", shown("temporal_start").alias("first"), shown("temporal_end").alias("last"), "source_turn_id", F.array_join("retrieval_sources", ",").alias("sources"), "total_tokens")
+
+
+_SUFFIX = "CASE WHEN temporal_start IS NOT NULL AND temporal_end IS NOT NULL AND temporal_start::DATE <> temporal_end::DATE THEN ' | occurred: ' || strftime(temporal_start, '%Y-%m-%d') || ' to ' || strftime(temporal_end, '%Y-%m-%d') WHEN temporal_start IS NOT NULL THEN ' | occurred: ' || strftime(temporal_start, '%Y-%m-%d') WHEN temporal_end IS NOT NULL THEN ' | occurred: until ' || strftime(temporal_end, '%Y-%m-%d') ELSE '' END"
+_SEEN = "(SELECT bank_id, batch, fact_id, content, temporal_start, temporal_end, row_number() OVER (PARTITION BY bank_id, batch ORDER BY fact_id) - 1 AS i FROM (SELECT bank_id, fact_id, content, temporal_start, temporal_end, fact_id % 5 AS batch FROM {facts} WHERE network = 'observation') WHERE batch < 3)"
+
+
+@query(f"""SELECT bank_id, batch, 'Facts:' || chr(10) || f || chr(10) || 'Observations:' || chr(10) || coalesce(o, '(none)') AS prompt FROM
+    (SELECT bank_id, batch, string_agg('[' || place || '] ' || content || {_SUFFIX}, chr(10) ORDER BY place) AS f FROM {{batch_queries}} GROUP BY 1, 2)
+    LEFT JOIN (SELECT bank_id, batch, string_agg('[' || i || '] ' || content || {_SUFFIX}, chr(10) ORDER BY i) AS o FROM {_SEEN} GROUP BY 1, 2) USING (bank_id, batch)""")
+def consolidation_prompts(t):
+    seen = t("facts").where("network = 'observation'").withColumn("batch", F.col("fact_id") % 5).where("batch < 3")
+    order = Window.partitionBy("bank_id", "batch").orderBy("fact_id")
+    related = seen.select("bank_id", "batch", "fact_id", (F.row_number().over(order) - 1).cast("int").alias("observation_index"))
+    return consolidate.prompts(consolidate.placed_batches(t("facts")), related, t("facts"), "Facts:\n{facts}\nObservations:\n{observations}")
+
+
 @query("SELECT user_id % 100 AS shard, sum(error)::BIGINT AS error FROM {stage_usage} GROUP BY 1")
 def breakdown_totals(t):
-    return t("stage_usage").groupBy((F.col("user_id") % 100).alias("shard")).agg(F.sum("error").alias("error"))
+    return evaluate.total(t("stage_usage").withColumn("shard", F.col("user_id") % 100), ["error"], ["shard"])
+
 
 @query("SELECT fact_id, network, CASE WHEN fact_id % 7 = 0 THEN 'changed ' || fact_id ELSE content END AS content, CASE WHEN fact_id % 7 = 0 THEN NULL ELSE confidence END AS confidence FROM {facts}")
 def update_facts(t):
@@ -491,7 +698,26 @@ def fact_source_links(t):
   SELECT fact_id, string_agg((evidence_id * 10)::VARCHAR, ',' ORDER BY evidence_id) AS turns FROM c GROUP BY 1""")
 def support_turns(t):
     own = t("facts").select("fact_id", (F.col("fact_id") * 10).alias("source_turn_id"))
-    return provenance.support(own, t("fact_evidence")).select("fact_id", F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"))
+    return provenance.support(own, own, t("fact_evidence")).select("fact_id", F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"))
+
+
+_CITED = f"SELECT query_id, fact_id, rank FROM ({_semantic_sql(3)})"
+
+
+@query(f"""WITH RECURSIVE t AS ({_CITED}), c AS (SELECT DISTINCT fact_id, fact_id AS evidence_id FROM t UNION SELECT c.fact_id, e.evidence_id FROM c JOIN {{fact_evidence}} e ON e.fact_id = c.evidence_id),
+  s AS (SELECT fact_id, string_agg((evidence_id * 10)::VARCHAR, ',' ORDER BY evidence_id) AS turns FROM c GROUP BY 1)
+  SELECT query_id, fact_id, rank AS place, turns, CASE WHEN query_id % 3 = 0 THEN '2024-01-31 00:00:00' WHEN query_id % 3 = 1 THEN '2024-01-20 00:00:00' END AS anchor FROM t JOIN s USING (fact_id)""")
+def reflect_support(t):
+    questions = t("queries").withColumns({"now": F.lit(NOW).cast("timestamp_ntz"), "text": F.when(F.col("query_id") % 3 == 2, "no time at all").otherwise("what happened on 2024-01-20?")})
+    searches = recall.with_inherited_ranges(questions.withColumn("text", F.when(F.col("query_id") % 3 == 0, "what did I do yesterday").otherwise("anything")), questions)
+    retrieved = recall.vector_topk(t("queries"), t("facts"), 3)
+    calls = retrieved.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "fact_id"))).alias("x"))
+    done = calls.select("query_id", F.lit("so").alias("response"), F.concat(F.array(F.lit(-5).cast("long")), F.expr("transform(x, r -> r.fact_id)"), F.array(F.lit(10**12))).alias("source_ids"))
+    sources = provenance.finalized(done, retrieved).select("query_id", F.posexplode("sources").alias("place", "fact_id"))
+    turns = provenance.support(sources, t("facts").select("fact_id", (F.col("fact_id") * 10).alias("source_turn_id")), t("fact_evidence"))
+    anchors = searches.select("query_id", F.date_format("anchor_start", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
+    found = sources.join(turns, "fact_id").join(anchors, "query_id")
+    return found.select("query_id", "fact_id", F.col("place").cast("long").alias("place"), F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"), "anchor")
 
 
 @query(f"SELECT fact_id, min(call) AS call FROM (SELECT fact_id, 0 AS call FROM ({_semantic_sql(10, "f.network = 'observation'")}) UNION ALL SELECT fact_id, 1 FROM ({_semantic_sql(10)})) GROUP BY 1")
@@ -606,14 +832,14 @@ def retain_end_to_end(t):
 def reflect_trace(t):
     from memspark.plans.engine import reflect
 
-    return reflect(_now_queries(t), t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS, t("fact_evidence"))
+    return reflect(_now_queries(t), t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS)
 
 
 @query()
 def consolidation_actions(t):
-    from memspark.plans.engine import consolidate
+    from memspark.plans.engine import consolidate as plan
 
-    return consolidate(t("facts"), t("fact_entities"))
+    return plan(t("facts"), t("fact_entities"))
 
 
 def stream_consolidation_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:

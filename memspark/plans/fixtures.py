@@ -13,7 +13,7 @@ SQL: dict[str, str] = {
           CASE WHEN e.label % 2 = 0 THEN 'world' ELSE 'experience' END AS fact_type,
           CASE e.label % 5 WHEN 0 THEN 'observation' WHEN 1 THEN 'opinion' WHEN 2 THEN 'experience' ELSE 'world' END AS network,
           CASE WHEN e.vec_id % 5 = 0 THEN NULL ELSE v.ts END AS temporal_start,
-          CASE WHEN e.vec_id % 5 = 0 OR e.vec_id % 7 = 0 THEN NULL ELSE v.ts + (e.vec_id % 10) * INTERVAL '1' DAY END AS temporal_end,
+          CASE WHEN e.vec_id % 7 = 0 THEN NULL ELSE v.ts + (e.vec_id % 10) * INTERVAL '1' DAY END AS temporal_end,
           e.embedding AS embedding, CASE WHEN e.label % 5 = 1 THEN CAST(e.vec_id % 10 AS DOUBLE) / 10 END AS confidence,
           v.ts AS created_at, CASE WHEN e.vec_id % 3 = 0 THEN v.ts END AS consolidated_at
         FROM {embeddings} e JOIN {documents} d ON d.doc_id = e.vec_id JOIN {events} v ON v.event_id = e.vec_id""",
@@ -33,10 +33,23 @@ SQL: dict[str, str] = {
     "conv_count": "SELECT max(conv_id) + 1 AS n FROM {conversations}",
     "fact_sources": """
         SELECT f.fact_id, c.conv_id * 1000 + c.turn AS source_id FROM {facts} f CROSS JOIN {conv_count} k
-        JOIN {conversations} c ON c.conv_id = f.fact_id % k.n WHERE c.turn <= 4""",
+        JOIN {conversations} c ON c.conv_id = f.fact_id % k.n""",
     "queries": """
         SELECT b.item_id AS query_id, b.item_id % 4 AS bank_id, lower(b.text) AS text, b.text AS full_text, e.embedding AS embedding
         FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id""",
+    "keyword_queries": """
+        SELECT fact_id AS query_id, bank_id, CASE fact_id % 4 WHEN 0 THEN split_part(content, ' ', 3) WHEN 1 THEN split_part(content, ' ', 2) || ' the ' || split_part(content, ' ', 9)
+          WHEN 2 THEN split_part(content, ' ', 12) || ' ' || split_part(content, ' ', 4) || ' ' || split_part(content, ' ', 6) ELSE 'the ' || split_part(content, ' ', 5) END AS text FROM {facts}""",
+    "near_mentions": """
+        SELECT bank_id, fact_id AS place, embedding, CASE WHEN fact_id % 9 = 0 THEN 'E' || CAST(fact_id * 5 AS VARCHAR(20))
+          ELSE CASE WHEN fact_id % 3 = 0 THEN ' M' ELSE 'm' END || CAST(CAST(floor(fact_id / 8) AS BIGINT) AS VARCHAR(20)) END AS mention FROM {facts} WHERE fact_id % 5 <> 0""",
+    "near_entities": """
+        SELECT bank_id, fact_id AS entity_id, 'E' || CAST(fact_id AS VARCHAR(20)) AS name, embedding FROM {facts} WHERE fact_id % 5 = 0""",
+    "batch_queries": """
+        SELECT *, batch_at - 8 * batch AS place FROM (SELECT fact_id AS query_id, fact_id, bank_id, lower(content) AS text, content AS full_text, content, embedding, temporal_start, temporal_end,
+          CAST(floor((row_number() OVER (PARTITION BY bank_id ORDER BY created_at DESC, fact_id DESC) - 1) / 8) AS BIGINT) AS batch,
+          row_number() OVER (PARTITION BY bank_id ORDER BY created_at DESC, fact_id DESC) - 1 AS batch_at
+        FROM {facts} WHERE network IN ('world', 'experience') AND consolidated_at IS NULL) x""",
     "dedup_new": """
         SELECT fact_id, bank_id, embedding FROM {facts} WHERE fact_id % 2 = 1
         UNION ALL SELECT fact_id + 1000000 AS fact_id, bank_id, embedding FROM {facts} WHERE fact_id % 10 = 0""",
@@ -44,6 +57,9 @@ SQL: dict[str, str] = {
         SELECT d.doc_id AS question_id, d.lang AS category, d.source AS conversation, l.quality AS correct, CAST(d.doc_id % 11 AS DOUBLE) / 10 AS f1
         FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
     "stage_usage": "SELECT event_type AS stage, user_id, value AS tokens, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error FROM {events}",
+    "stage_calls": "SELECT event_type AS stage, event_id % 2 AS run, value AS tokens, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error, user_id % 500 AS latency_ms FROM {events}",
+    "recalled_results": "SELECT question_id, category, conversation, correct, f1, CAST(question_id % 5 AS DOUBLE) / 4 AS evidence_recall FROM {eval_results}",
+    "session_turns": "SELECT conv_id, CAST(floor(turn / 3) AS BIGINT) AS session, turn, role, conv_id * 1440 + turn AS minute FROM {conversations}",
 }
 _NAME = re.compile(r"{(\w+)}")
 

@@ -1,17 +1,23 @@
-"""The store: Parquet tables under one folder, written in whole commits."""
+"""The store: Parquet tables with a folder for each bank. Writes touch the folders of their banks only.
 
-from __future__ import annotations
+Inserting adds files; updating and deleting rewrite or remove the folders of the banks concerned, by Spark's dynamic partition overwrite, which
+replaces them at the job's commit. Ids follow from contents, and rows that are there already aren't inserted again, so an
+operation that failed half-way is made whole by running it again. Writers of one bank must take turns.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark import schemas
 
-TABLES = {"facts": schemas.FACTS, "entities": schemas.ENTITIES, "graph_links": schemas.LINKS, "sources": schemas.SOURCES, "fact_sources": schemas.FACT_SOURCES, "banks": schemas.BANKS}
-#: Tables with rows of a bank, and those whose rows hang on facts.
-OF_BANK, OF_FACTS = ("facts", "entities", "sources"), {"graph_links": ("source_id", "target_id"), "fact_sources": ("fact_id",)}
+TABLES = {
+    "facts": schemas.FACTS, "entities": schemas.ENTITIES, "graph_links": schemas.LINKS + ", bank_id bigint", "sources": schemas.SOURCES, "fact_sources": schemas.FACT_SOURCES + ", bank_id bigint",
+    "terms": "term string, fact_id bigint, positions array<int>, bank_id bigint", "banks": schemas.BANKS,
+}
+#: What tells the rows of a bank's table apart.
+KEYS = {"facts": ["fact_id"], "entities": ["name"], "graph_links": ["source_id", "target_id", "link_type"], "sources": ["source_id"], "fact_sources": ["fact_id", "source_id"], "terms": ["fact_id", "term"], "banks": []}
 #: What an update may change in a fact; its network and type stay.
 MUTABLE = ("content", "entity_ids", "temporal_start", "temporal_end", "embedding", "confidence", "evidence_ids", "updated_at", "consolidated_at")
 
@@ -57,52 +63,83 @@ def without_orphans(links: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 class MemoryStore:
-    """Tables of a folder. A commit writes all its tables to new folders and then one small manifest, which makes them
-    count together; readers see the manifest's tables, so a commit that fails leaves everything as it was."""
+    """The tables of a folder."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _manifest(self) -> dict[str, str]:
-        from py4j.protocol import Py4JJavaError
-        from pyspark.errors import AnalysisException
-
-        try:
-            rows = self.spark.read.schema("seq long, name string, folder string").json(f"{self.path}/manifest").collect()
-        except (AnalysisException, Py4JJavaError):
-            return {}
-        return {r.name: r.folder for r in sorted(rows, key=lambda r: r.seq)}
+    def _folder(self, name: str):  # noqa: ANN202
+        """(file system, path) of a table's folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def read(self, name: str) -> DataFrame:
-        folder = self._manifest().get(name)
-        if folder is None:
+        """A table; empty if nothing was ever written to it, and an error if it can't be read."""
+        files, folder = self._folder(name)
+        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        if not files.exists(folder) or not files.listStatus(folder):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        import time
-
-        version, seq = uuid.uuid4().hex, time.time_ns()
-        for name, df in tables.items():
-            columns = self.spark.createDataFrame([], TABLES[name]).schema
-            df.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.parquet(f"{self.path}/{version}/{name}")
-        rows = [(seq, name, f"{version}/{name}") for name in tables]
-        self.spark.createDataFrame(rows, "seq long, name string, folder string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self.commit({name: self.read(name).unionByName(rows, allowMissingColumns=True)})
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}").select(*columns)
+
+    def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
+        shape = self.spark.createDataFrame([], TABLES[name]).schema
+        have = set(rows.columns)
+        # large banks are split over tasks, small ones share a task
+        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]).hint("rebalance", "bank_id")
+
+    def insert(self, name: str, rows: DataFrame) -> None:
+        """Adds the rows that aren't there yet; no file that is there changes."""
+        key = ["bank_id", *KEYS[name]]
+        new = rows.dropDuplicates(key).join(self.read(name).select(*key), key, "left_anti")
+        self._shaped(name, new).write.mode("append").partitionBy("bank_id").parquet(f"{self.path}/{name}")
+
+    def replace(self, name: str, banks: DataFrame, rows: DataFrame) -> None:
+        """rows in place of all rows that the banks (bank_id) have; other banks' files stay. rows may be made of the table itself."""
+        kept = rows.select("bank_id").distinct()
+        empty = [r.bank_id for r in banks.select("bank_id").distinct().join(kept, "bank_id", "left_anti").collect()]  # banks that lose all their rows
+        self._shaped(name, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bank_id").parquet(f"{self.path}/{name}")
+        self._drop(name, empty)
+
+    def _drop(self, name: str, banks: list[int]) -> None:
+        files, folder = self._folder(name)
+        for bank in banks:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"bank_id={bank}"), True)
+
+    def of_banks(self, name: str, banks: DataFrame) -> DataFrame:
+        """The rows of some banks."""
+        return self.read(name).join(banks.select("bank_id").distinct(), "bank_id", "left_semi")
+
+    def update_facts(self, changes: DataFrame) -> None:
+        """Changes facts by id (see update_facts); changes has bank_id too, and only its banks are rewritten."""
+        self.replace("facts", changes, update_facts(self.of_banks("facts", changes), changes.drop("bank_id")))
+
+    def mark_consolidated(self, ids: DataFrame, at: str) -> None:
+        """Marks facts (bank_id, fact_id)."""
+        self.replace("facts", ids, mark_consolidated(self.of_banks("facts", ids), ids, at))
+
+    def upsert_entities(self, rows: DataFrame) -> None:
+        old = self.of_banks("entities", rows)
+        self.replace("entities", rows, upsert_entities(old, rows.select(*old.columns)))
 
     def insert_links(self, rows: DataFrame) -> None:
+        """Adds links (bank_id, source_id, target_id, link_type, weight, seq); the weight of the last written one holds."""
         from memspark.operators.links import upsert
 
-        self.commit({"graph_links": upsert(self.read("graph_links"), rows)})
+        old = self.of_banks("graph_links", rows)
+        bank = rows.select("bank_id", "source_id").unionAll(old.select("bank_id", "source_id")).distinct()
+        self.replace("graph_links", rows, upsert(old.drop("bank_id"), rows.drop("bank_id")).join(bank, "source_id"))
+
+    def index_facts(self, terms: DataFrame, facts: DataFrame) -> None:
+        """Puts the terms (a positional index) of facts (bank_id, fact_id) in place of those that they had."""
+        old = self.of_banks("terms", facts).join(facts.select("bank_id", "fact_id"), ["bank_id", "fact_id"], "left_anti")
+        self.replace("terms", facts, old.unionByName(terms))
 
     def create_bank(self, rows: DataFrame) -> None:
         """Adds banks; raises if a disposition or a bias is out of its range."""
         bad = rows.where("skepticism not between 1 and 5 or literalism not between 1 and 5 or empathy not between 1 and 5 or bias_strength not between 0 and 1")
         if not bad.isEmpty():
             raise ValueError("dispositions are from 1 to 5, and a bias from 0 to 1")
-        self.append("banks", rows)
+        self.insert("banks", rows)
 
     def get_bank(self, bank_id: int) -> DataFrame:
         found = self.read("banks").where(F.col("bank_id") == bank_id)
@@ -117,17 +154,19 @@ class MemoryStore:
         return self.read("entities").where(F.col("bank_id") == bank_id).orderBy("name")
 
     def delete_bank(self, bank_id: int) -> None:
-        """Removes a bank with all that belongs to it, in one commit."""
-        kept = {name: self.read(name).where(F.col("bank_id") != bank_id) for name in ("banks", *OF_BANK)}
-        gone = self.read("facts").where(F.col("bank_id") == bank_id).select("fact_id")
-        for name, ends in OF_FACTS.items():
-            rows = self.read(name)
-            for end in ends:
-                rows = rows.join(gone.withColumnRenamed("fact_id", end), end, "left_anti")
-            kept[name] = rows.select(*self.read(name).columns)
-        self.commit(kept)
+        """Removes a bank's folders, the bank's own last; no other file is read or written."""
+        for name in sorted(TABLES, key=lambda n: n == "banks"):
+            self._drop(name, [bank_id])
 
     def reset_consolidation(self) -> None:
-        """Removes observations and links to them, and marks all facts as not yet consolidated."""
-        facts = self.read("facts").where("network <> 'observation'").withColumn("consolidated_at", F.lit(None).cast("timestamp_ntz"))
-        self.commit({"facts": facts, "graph_links": without_orphans(self.read("graph_links"), facts)})
+        """Removes observations, their terms and links to them, and marks all facts as not yet consolidated."""
+        facts = self.read("facts")
+        gone = facts.where("network = 'observation'").select("bank_id", "fact_id")
+        links, terms = self.read("graph_links"), self.read("terms")
+        lost = links.join(gone.select(F.col("fact_id").alias("source_id")), "source_id", "left_semi").unionByName(links.join(gone.select(F.col("fact_id").alias("target_id")), "target_id", "left_semi"))
+        touched = lost.select("bank_id").distinct()
+        self.replace("graph_links", touched, without_orphans(self.of_banks("graph_links", touched), facts.where("network <> 'observation'")))
+        self.replace("terms", gone, self.of_banks("terms", gone).join(gone, ["bank_id", "fact_id"], "left_anti"))
+        stale = facts.where("network = 'observation' or consolidated_at is not null").select("bank_id").distinct()
+        kept = self.of_banks("facts", stale).where("network <> 'observation'").withColumn("consolidated_at", F.lit(None).cast("timestamp_ntz"))
+        self.replace("facts", stale, kept)

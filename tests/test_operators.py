@@ -93,23 +93,12 @@ def test_opinions(spark):
     assert {r.cluster_id: r.evidence_ids for r in clusters.merged_evidence(o).collect()} == {1: [1, 2, 3], 9: []}
 
 
-def test_resolution_tiers_and_aliases(spark):
-    from memspark.functions.vector import mock_embedding
-
-    entities = spark.createDataFrame([(0, 1, "Rust", ["rust-lang"]), (0, 2, "Go", []), (1, 3, "Rust", [])], "bank_id long, entity_id long, name string, aliases array<string>")
-    mentions = spark.createDataFrame([(0, "Rust"), (0, "rust-lang"), (0, "Zig"), (0, " zig"), (0, "Go")], "bank_id long, mention string")
-    got = {r.mention: (r.entity_id, r.tier) for r in resolve.resolve(mentions, entities, lambda c: mock_embedding(c, 16)).collect()}
-    assert got["Rust"] == (1, "exact") and got["rust-lang"] == (1, "exact") and got["Go"] == (2, "exact") and got["Zig"] == got[" zig"] == (None, "create")
-    near = spark.createDataFrame([(0, "Golang", 2, "accept")], "bank_id long, mention string, entity_id long, tier string")
-    assert {r.entity_id: r.aliases for r in resolve.with_aliases(entities, near).collect()}[2] == ["Golang"]
-
-
 def test_dedup(spark):
     f = facts(spark, [(i, 0, "world", None, None, v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])])
     assert [r.fact_id for r in resolve.dedup(f.where("fact_id > 0"), f.where("fact_id = 0")).collect()] == [2]
     chunks = f.withColumn("chunk", (F.col("fact_id") / 1).cast("int"))
-    assert sorted(r.fact_id for r in resolve.dedup_sequential(chunks).collect()) == [0, 2]
-    assert sorted(r.fact_id for r in resolve.dedup_sequential(chunks.withColumn("chunk", F.lit(0))).collect()) == [0, 1, 2]
+    assert sorted(r.fact_id for r in resolve.dedup_in_order(chunks).collect()) == [0, 2]
+    assert sorted(r.fact_id for r in resolve.dedup_in_order(chunks.withColumn("chunk", F.lit(0))).collect()) == [0, 1, 2]
 
 
 def test_provenance(spark):
@@ -117,7 +106,7 @@ def test_provenance(spark):
     closure = {(r.fact_id, r.evidence_id) for r in provenance.evidence_closure(evidence).collect()}
     assert {(9, x) for x in (1, 2, 3, 4)} <= closure and (4, 1) not in closure
     f = spark.createDataFrame([(i, i * 10) for i in (1, 2, 3, 4, 9)], "fact_id long, source_turn_id long")
-    assert {r.fact_id: r.turns for r in provenance.support(f, evidence).collect()}[2] == [20, 30, 40]
+    assert {r.fact_id: r.turns for r in provenance.support(f, f, evidence).collect()}[2] == [20, 30, 40]
     turns = spark.createDataFrame([("c", i, r, r[0]) for i, r in enumerate(["user", "assistant", "assistant", "user", "user", "assistant", "user"])], "conv_id string, turn long, role string, text string")
     assert [r["round"] for r in provenance.rounds(turns).orderBy("turn").collect()] == [0, 0, 0, 1, 1, 1, 2]
 
