@@ -9,14 +9,15 @@ high similarities. A candidate is verified by its sizes and sketches, and confir
 
 Equal sets are one node. A key may hold a third of all nodes, so pairs of a key are never listed: first each node is compared with one
 other, of the least nodes of its keys that with the most keys in common. What that links is one component, and only nodes of a key that
-are in different components are compared further, in tiles of bounded size: those outside the key's largest component with all.
-So a group of copies takes work by its size. No pair is left out, whatever the size of a key.
+are in different components are compared further, in tiles of bounded size: those outside the key's largest component with all. Of these
+pairs the nearest of each node are confirmed first, round by round, so that groups of copies grow together; in the end all that are
+still between components are. So a group of copies takes work by its size. No pair is left out, whatever the size of a key.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard
 from .components import components
-from .simhash import _mixed, shingle_hashes
+from .shingles import mixed, shingle_hashes
 
 #: Words of a shingle, and the least similarity of linked sets as a fraction.
 SHINGLE, ALIKE, OF = 5, 85, 100
@@ -55,7 +56,7 @@ def limit(alike: int, of: int) -> int:
 
 @cache
 def _functions(k: int) -> tuple[np.ndarray, np.ndarray]:
-    x = _mixed(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
+    x = mixed(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
     return x[:k] | np.uint32(1), x[k:]
 
 
@@ -73,13 +74,13 @@ def keys(low: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n = len(low) // rows
     key = np.arange(1, n + 1, dtype=np.uint64)
     for column in low.reshape(n, rows).T.astype(np.uint64):
-        key = _mixed((key << np.uint64(32)) ^ (key >> np.uint64(32)) ^ column)
+        key = mixed((key << np.uint64(32)) ^ (key >> np.uint64(32)) ^ column)
     return key
 
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     """The parity bitmap of samples, as BITS / 64 longs."""
-    at = _mixed((np.arange(1, len(low) + 1, dtype=np.uint64) << np.uint64(32)) | low) % np.uint64(BITS)
+    at = mixed((np.arange(1, len(low) + 1, dtype=np.uint64) << np.uint64(32)) | low) % np.uint64(BITS)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
 
 
@@ -97,26 +98,27 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
 
 
-def signed(docs: DataFrame, n_bands: int) -> DataFrame:
-    """doc_id, at (a hash of the text), digest (of the set), n (its size), sketch and keys of each row of docs; without words no sketch and no keys."""
+def signed(docs: DataFrame, n_bands: int, mark: Callable[[str | None], int] | None = None) -> DataFrame:
+    """doc_id, at (a hash of the text), digest (of the set), n (its size), sketch, keys and the mark of each row of docs; without words no sketch and no keys."""
 
     rows = ROWS
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            digests, sizes, sketches, all_keys = [], [], [], []
-            for t in batch.column(2):
-                x = shingle_set(t.as_py())
+            digests, sizes, sketches, all_keys, marks = [], [], [], [], []
+            for t in (s.as_py() for s in batch.column(2)):
+                x = shingle_set(t)
+                marks.append(0 if mark is None else mark(t))
                 low = samples(x, n_bands * rows) if len(x) else None
                 digests.append(_digest(x))
                 sizes.append(len(x))
                 sketches.append(none if low is None else odd_sketch(low))
                 all_keys.append(none if low is None else keys(low, rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(sketches), _lists(all_keys)], names=["doc_id", "at", "digest", "n", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(sketches), _lists(all_keys), pa.array(marks, pa.int64())], names=["doc_id", "at", "digest", "n", "sketch", "keys", "mark"])
 
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text")
-    return bare.mapInArrow(apply, "doc_id long, at long, digest binary, n long, sketch array<long>, keys array<long>")
+    return bare.mapInArrow(apply, "doc_id long, at long, digest binary, n long, sketch array<long>, keys array<long>, mark long")
 
 
 def _full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -154,8 +156,9 @@ def _may_link(alike: int, of: int, most: int) -> Column:
     return (F.least("na", "nb") * of >= F.greatest("na", "nb") * alike) & (bits <= most)
 
 
-def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of: int, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key, are in different components so far and may be linked.
+def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of: int, most: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key, are in different components so far and may be linked: all, or with each node outside the
+    largest component of a key the nearest one only.
 
     In each key the nodes outside its largest component meet all others, in tiles of TILE by TILE nodes. A tile is compared by
     numpy and returns just the pairs that sizes and sketches allow.
@@ -170,7 +173,6 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
     right = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: F.struct(F.xxhash64("key", i, block("wide")).alias("tile"), F.lit(False).alias("left")))
     none = F.array().cast("array<struct<tile: bigint, left: boolean>>")
     dealt = rows.select("node", "root", "rest", F.explode(F.concat(F.coalesce(left, none), right)).alias("x")).select("x.*", "node", "root", "rest")
-    # a node's rows need its sketch and size once a tile, so these come last and only to what is compared
     dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").select("tile", "left", "node", "root", "rest", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(BITS // 64)))
 
     def compare(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +183,19 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
             for lo in range(0, len(x), 256):
                 i = x[lo : lo + 256]
                 fits = (root[i, None] != root[y]) & (np.minimum(n[i, None], n[y]) * of >= np.maximum(n[i, None], n[y]) * alike)
-                fits &= ~rest[y] | (node[i, None] < node[y])  # two nodes outside the largest component meet both ways
+                if not nearest:
+                    fits &= ~rest[y] | (node[i, None] < node[y])  # two nodes outside the largest component meet both ways
                 p, q = np.nonzero(fits)
-                near = np.zeros(len(p), np.int32)
+                bits = np.zeros(len(p), np.int32)
                 for k in range(sketch.shape[1]):
-                    near += np.bitwise_count(sketch[i[p], k] ^ sketch[y[q], k])
-                p, q = node[i[p[near <= most]]], node[y[q[near <= most]]]
+                    bits += np.bitwise_count(sketch[i[p], k] ^ sketch[y[q], k])
+                p, q, bits = (v[bits <= most] for v in (p, q, bits))
+                if nearest:
+                    order = np.lexsort((node[y[q]], bits, p))
+                    order = order[np.unique(p[order], return_index=True)[1]]
+                    p, q, bits = p[order], q[order], bits[order]
                 if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i[p]]), pa.array(node[y[q]]), pa.array(bits)], names=["x", "y", "bits"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -202,11 +209,17 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
         if kept is not None and len(kept[0]):
             yield from compare(kept)
 
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(apply, "a long, b long").distinct()
+    met = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(apply, "x long, y long, bits int")
+    if nearest:
+        met = met.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("best")).select("x", "best.y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, alike: int, of: int) -> DataFrame:
-    """Edges (a, b) between nodes (node, digest, at, n, sketch, keys): within a component as connected as all pairs of sets that are alike enough."""
+def links(docs: DataFrame, nodes: DataFrame, alike: int, of: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Edges (a, b) between nodes (node, digest, at, n, sketch, keys): within a component as connected as all pairs of sets that are alike enough.
+
+    more may name other candidates (a, b) of nodes, to be confirmed at first.
+    """
     most = limit(alike, of)
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     heads = exploded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -214,10 +227,19 @@ def links(docs: DataFrame, nodes: DataFrame, alike: int, of: int) -> DataFrame:
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
     first = shared.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).count()
     first = first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
+    if more is not None:
+        first = first.unionByName(more(nodes)).distinct()
     first = cut(first.join(y, "b").join(x, "a").where(_may_link(alike, of, most)).select("a", "b"), "pairs")
-    found = _linked(docs, nodes, first, alike, of)
-    roots = components(found)
-    rest = cut(_apart(shared, nodes, roots, alike, of, most).join(first, ["a", "b"], "left_anti"), "pairs")
+    found, tried = _linked(docs, nodes, first, alike, of), first
+    while True:  # as long as an eighth of the nearest pairs are links: these join more and more nodes, and each round has fewer components
+        near = cut(_apart(shared, nodes, components(found), alike, of, most, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if near.isEmpty():
+            break
+        new = _linked(docs, nodes, near, alike, of)
+        found, tried = cut(found.unionByName(new), "links"), cut(tried.unionByName(near), "tried")
+        if new.count() * 8 < near.count():
+            break
+    rest = cut(_apart(shared, nodes, components(found), alike, of, most, False).join(tried, ["a", "b"], "left_anti"), "pairs")
     discard(shared)
     return found if rest.isEmpty() else found.unionByName(_linked(docs, nodes, rest, alike, of))
 
@@ -230,13 +252,16 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, alike: int, of:
     return found
 
 
-def classes(docs: DataFrame, alike: int = ALIKE, of: int = OF) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id, at, digest and n of each row of docs (doc_id, text), and digest and root, the class of equal or linked sets, of each set that isn't empty."""
-    rows = cut(signed(docs, bands(alike, of)), "signed")
-    order = F.struct("at", "sketch", "keys")
+def classes(docs: DataFrame, alike: int = ALIKE, of: int = OF, mark: Callable[[str | None], int] | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, at, digest and n of each row of docs (doc_id, text), and digest and root, the class of equal or linked sets, of each set that isn't empty.
+
+    mark gives a number for each text, which nodes carry for more (see links).
+    """
+    rows = cut(signed(docs, bands(alike, of), mark), "signed")
+    order = F.struct("at", "mark", "sketch", "keys")
     nodes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min(order).alias("one")).select("digest", "n", "one.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(links(docs.select("text"), nodes, alike, of))
+    roots = components(links(docs.select("text"), nodes, alike, of, more))
     found = cut(nodes.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "classes")
     return rows.select("doc_id", "at", "digest", "n"), found
 

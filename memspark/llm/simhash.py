@@ -12,70 +12,41 @@ Only different fingerprints are compared: copies share one, so a group of copies
 candidates returns a spanning forest of the links it found, not all pairs, and keys with many fingerprints are dealt
 into tiles of bounded size, each pair of blocks meeting in one.
 
-``keep_one``, the pipeline's stage, doesn't go by fingerprints, which miss edited copies: it links texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more, all of them, by prefix filtering.
+``keep_one``, the pipeline's stage, links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Linked fingerprints are its first candidates; fingerprints miss edited copies, so bands of MinHash samples complete them.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, unused
+from . import odd_sketch
+from .common import cut, unused
 from .components import components, forest
+from .shingles import mixed, shingle_hashes
 
-SEED, SHINGLE, BITS = 42, 4, 64
-#: Words of a near copy's shingles, and the Jaccard similarity of near copies as a fraction.
-COPY_SHINGLE, ALIKE, OF = 5, 4, 5
-#: Texts, about, whose shingles tell which are common, and common ones told; they set an order and never what is found.
-COUNTED, COMMON = 10_000, 200_000
-#: Longs of a sketch of a set of shingles at least.
-SKETCH = 8
+SHINGLE, BITS = 4, 64
+#: The Jaccard similarity of near copies as a fraction.
+ALIKE, OF = 4, 5
 #: Fingerprints that the plan's correlations are estimated on, and those whose pairs estimate candidates.
 SAMPLE, PAIRED = 20_000, 2_000
 #: Fingerprints of a key that are compared in one tile.
 TILE = 4096
 #: What a signature costs in units of comparing a candidate.
 SIGNATURE_COST = 60
-_CHUNK = 1 << 20
-_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 
 
-def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """XXH64 of the shingles of a text, a part of the text at a time."""
-    text, start, kept, any_ = text.lower(), 0, [], False
-    while start < len(text):
-        end = start + _CHUNK
-        if end < len(text):
-            end = m.start() if (m := _SPACE.search(text, end)) else len(text)
-        words = kept + text[start:end].split()
-        start = end
-        if len(words) < shingle:
-            kept = words
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
-        parts = map(joined.__getitem__, map(slice, starts.tolist(), ends[shingle - 1 :].tolist()))
-        yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(starts))
-        kept, any_ = words[-(shingle - 1) :], True
-    if kept and not any_:
-        yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
-
-
 def fingerprint(text: str | None) -> int:
     counts, n = np.zeros((8, 256), np.int64), 0
-    for hashes in shingle_hashes((text or "").encode()):
+    for hashes in shingle_hashes((text or "").encode(), SHINGLE):
         n += len(hashes)
         for i, column in enumerate(hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T):
             counts[i] += np.bincount(column, minlength=256)
@@ -143,12 +114,6 @@ def plan(sample: np.ndarray, n: int, most: int) -> list[tuple[list[int], int]]:
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def signatures(nodes: DataFrame, parts: list[tuple[list[int], int]], probes: bool = True) -> DataFrame:
     """key, probe, fp: a row for each partition's value of a fingerprint, and one for each value near it."""
     masks = [sum(1 << b for b in g) for g, _ in parts]
@@ -162,7 +127,7 @@ def signatures(nodes: DataFrame, parts: list[tuple[list[int], int]], probes: boo
                 for probe, values in ((0, [0]), (1, flip)):
                     for at in range(0, len(values), 64):
                         f = np.array(values[at : at + 64], np.uint64)
-                        key = _mixed((own[:, None] ^ f[None, :]) + salt).ravel().view(np.int64)
+                        key = mixed((own[:, None] ^ f[None, :]) + salt).ravel().view(np.int64)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(key), pa.array(np.full(len(key), probe, np.int8)), pa.array(np.repeat(fp, len(f)).view(np.int64))], names=["key", "probe", "fp"]
                         )
@@ -243,160 +208,28 @@ def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different hashes of a text's shingles of COPY_SHINGLE words, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((text or "").encode(), COPY_SHINGLE)]))
-
-
-def sketch(x: np.ndarray) -> np.ndarray:
-    """Each bit tells whether an odd number of shingles falls on it, so two sets differ in as many shingles at least as their
-    sketches do in bits. There are about as many bits as shingles, a power of two; half of them, folded, are the shorter sketch."""
-    n = 64 * max(SKETCH, 1 << max(0, -(-len(x) // 64) - 1).bit_length())
-    odd = np.bincount((_mixed(x) % np.uint64(n)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def _differ(a: Column, b: Column) -> Column:
-    """In how many bits the sketches in two columns differ, at the length of the shorter one."""
-    xor = lambda p, q: p.bitwiseXOR(q)
-    fold = lambda x, n: F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), xor)).otherwise(x)
-    bits = F.zip_with(fold(a, F.size(b)), fold(b, F.size(a)), lambda p, q: F.bit_count(xor(p, q)))
-    return F.aggregate(bits, F.lit(0), lambda total, c: total + c)
-
-
-def _near() -> Column:
-    """Whether the sketches ka and kb allow the sets of na and nb shingles to be near copies."""
-    return _differ(F.col("ka"), F.col("kb")) * (OF + ALIKE) <= (F.col("na") + F.col("nb")) * (OF - ALIKE)
-
-
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
-
-
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that several of a sample of texts hold, sorted, and how many of them do."""
-    share = COUNTED / max(1, docs.count())
-    few = docs.select("text").where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 32)) < int(share * (1 << 32)))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t.as_py()) for t in batch.column(0))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
-
-    counts = few.mapInArrow(apply, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counts.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
-    shingles, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, at (a hash of the text), node (a hash of the set of shingles), n (its size), sketch and prefix, its rarest shingles.
-
-    Two sets of which each has ALIKE / OF of the other's union in common share a shingle of their prefixes, whatever
-    the order of shingles is, as long as it is the same for all; rare ones first make few texts meet by chance.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
-        for batch in batches:
-            nodes, sizes, sketches, prefixes = [], [], [], []
-            for t in batch.column(2):
-                x = shingle_set(t.as_py())
-                count = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    count = np.where(known[at] == x, often[at], 0)
-                prefixes.append(x[np.argsort(count, kind="stable")[: len(x) + 1 + (-ALIKE * len(x) // OF)]])
-                nodes.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
-                sizes.append(len(x))
-                sketches.append(sketch(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(sketches), _lists(prefixes)], names=["doc_id", "at", "node", "n", "sketch", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text").mapInArrow(apply, "doc_id long, at long, node long, n int, sketch array<long>, prefix array<long>")
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of ALIKE / OF or more.
-
-    Sketches rule out most others: such sets differ in at most (OF - ALIKE) / (OF + ALIKE) of the sum of their sizes.
-    """
-    small = nodes.select("node", "n", "sketch")
-    x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
-    pairs = cut(pairs.join(y, "b").join(x, "a").where(_near()).select("a", "b"), "pairs")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t.as_py()) for t in batch.column(1)])], names=["node", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept[i] = OF * both >= ALIKE * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
-
-    asked = nodes.select("node", "at").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    texts = docs.select(F.xxhash64("text").alias("at"), "text").join(asked, "at").dropDuplicates(["node"]).select("node", "text")
-    sets = cut(texts.mapInArrow(read, "node long, shingles array<long>"), "sets")
-    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    found = cut(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
-    discard(sets, pairs)
-    return found
-
-
-def copy_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (node, n, sketch, prefix, and at of one text): within a component as connected as all pairs of near copies.
-
-    First each node is compared with one other: of the least nodes for each shingle of its prefix, that with the most such
-    shingles. Then those pairs are that share a shingle of theirs and that the links so far leave apart. So a group of copies takes pairs by its size, not by the square of it.
-    """
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "key"))
-    over = Window.partitionBy("key")
-    shared = rows.withColumns({"pivot": F.min(F.struct("node", "n")).over(over), "__last": F.max("node").over(over)})
-    shared = cut(shared.where(F.col("pivot.node") < F.col("__last")).drop("__last"), "shared")
-    fits = lambda x, y: F.least(x, y) * OF >= F.greatest(x, y) * ALIKE
-    first = shared.where((F.col("node") != F.col("pivot.node")) & fits("n", "pivot.n")).groupBy(F.col("pivot.node").alias("a"), F.col("node").alias("b")).count()
-    first = cut(first.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b"), "pairs")
-
-    found = _alike(first, nodes, docs)
-    roots = components(found)
-    placed = shared.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # at the first shingle that two sets have in common, what comes from there on must hold all that they need to have in common
-    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (OF + ALIKE) >= (F.col("na") + F.col("nb")) * ALIKE
-    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = cut(placed.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"), "apart")
-    # the lesser set of a pair has the shared shingle in the first part of its prefix, and the greater one is in its band of sizes or the next
-    band = F.floor(F.log("n") / math.log(1.0001 * OF / ALIKE))
-    early = placed.where(F.col("place") * (OF + ALIKE) <= F.col("n") * (OF - ALIKE)).withColumn("band", F.explode(F.array(band, band + 1)))
-    x, y = (
-        t.select("key", "band", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("sketch").alias(f"k{c}"))
-        for t, c in ((early, "a"), (placed.withColumn("band", band), "b"))
-    )
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    rest = x.join(y, ["key", "band"]).where(ordered & (F.col("ra") != F.col("rb")) & fits("na", "nb") & enough & _near()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    return found if rest.isEmpty() else found.unionByName(_alike(rest, nodes, docs))
+def by_fingerprints(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """Pairs (a, b) of nodes (node, mark, the fingerprint of a text) that fingerprints link: each with the least one of its fingerprint, and those of linked fingerprints."""
+    least = cut(nodes.groupBy(F.col("mark").alias("fp")).agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(least, F.col("mark") == F.col("fp")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    x, y = (least.select(F.col("fp").alias(f"f{c}"), F.col("least").alias(c)) for c in "ab")
+    near = links(least.select("fp"), most).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(x, "fa").join(y, "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(near)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: that of the least doc_id, and of the least hashes of its text and of its other columns where several have it.
 
     Near copies are what links join, each between two texts whose sets of shingles have a Jaccard similarity of ALIKE / OF
-    or more. A shingle is COPY_SHINGLE words, lower-cased as in fingerprints, or the whole text if it has fewer. Defined
+    or more. A shingle is five words, lower-cased as in fingerprints, or the whole text if it has fewer. Fingerprints give the first candidates;
+    they miss edited copies, so bands of MinHash samples give the others, and all candidates are confirmed on their full sets. Defined
     results: null and empty texts and texts of white space have no words and are copies of each other; rows that share a
     doc_id and aren't near copies all stay; a null doc_id is after all others, and its rows are copies like others;
     repeated rows are copies; an empty table gives an empty result; other columns stay as they are, whatever their names.
     """
-    sets = shingle_sets(docs.select("doc_id", "text"))
+    rows, classes = odd_sketch.classes(docs.select("doc_id", "text"), ALIKE, OF, lambda t: int(np.array(fingerprint(t), np.uint64).view(np.int64)), by_fingerprints)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("at").alias("at"))
-    nodes = cut(sets.groupBy("node").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.min("at").alias("at"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
-    roots = components(copy_links(docs.select("text"), nodes))
-    least = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    least = rows.groupBy("digest").agg(F.min(row).alias("least")).join(classes, "digest", "left").groupBy(F.coalesce("root", F.lit(-1)).alias("root")).agg(F.min("least").alias("least"))
     key, first = unused(docs, "kept", "first")
     name = lambda i, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), t.cast("string")).alias(key)
     kept = cut(least.select(name(F.col("least.id"), F.col("least.at"))), "kept")

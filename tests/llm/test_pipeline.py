@@ -34,5 +34,5 @@ def test_stages_one_by_one(spark, tmp_path):
 
 def test_entry_has_every_query():
     names = __spark_entry__.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
