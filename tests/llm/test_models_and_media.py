@@ -72,18 +72,15 @@ def test_encoded_frame(spark):
 
 
 def brute(rows, k=5):
-    good = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = min(good.get(i, v), v)
-    ids, x = np.array(list(good)), np.array(list(good.values()), np.float64)
-    n = np.sqrt((x * x).sum(1))
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
-    for q in ids[ids % 50 == 0]:
-        at = int(np.flatnonzero(ids == q)[0])
-        s = (x @ x[at]) / (n * n[at])
-        s[at] = -np.inf
-        out[int(q)] = [int(ids[j]) for j in np.lexsort((ids, -np.round(s, 12)))[:k] if j != at]
+    for n in {len(v) for _, v in good}:
+        ids, x = np.array([i for i, v in good if len(v) == n]), np.array([v for _, v in good if len(v) == n], np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        for at in np.flatnonzero(ids % 50 == 0):
+            s = np.round((x @ x[at]) / (norm * norm[at]), 12)
+            s[at] = -np.inf
+            out.setdefault(int(ids[at]), []).extend(int(ids[j]) for j in np.lexsort((ids, -s))[:k] if j != at)
     return out
 
 
@@ -106,14 +103,28 @@ def test_neighbors_of_odd_vectors_are_exact_when_few(spark):
     assert search(spark, []) == {}
 
 
-def test_recall_and_ties(spark):
+def test_every_row_and_every_length_takes_part(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 0.1]), (2, [1.0, 1.0]), (50, [1.0, 0.0, 0.0]), (3, [1.0, 1.0, 0.0]), (100, [1.0]), (200, [1.0, 2.0, 3.0, 4.0])]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 4)))
+    assert sorted(got[50]) == [(1, 1, 0.995), (1, 3, 0.7071), (2, 2, 0.7740), (3, 1, 0.0995)] and set(got) == {50}
+    twins = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [1.0, 0.1])]
+    assert search(spark, twins) == {50: [50, 50, 7, 7]} or search(spark, twins) == {50: [50, 7, 50, 7]}
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_recall_and_ties(spark, n):
+    """Of clustered vectors few lists are probed, and nearly all neighbours found."""
     rng = np.random.default_rng(1)
-    centres = rng.standard_normal((40, 32))
-    rows = [(i, (centres[i % 40] + 0.4 * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(3000)]
-    rows += [(3000 + i, rows[7][1]) for i in range(1500)]  # one very common vector
+    centres = rng.standard_normal((60, 32))
+    rows = [(i, (centres[i % 60] + 0.4 * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(n)]
+    rows += [(n + i, rows[7][1]) for i in range(n // 2)]  # one very common vector
     got, want = search(spark, rows), brute(rows)
     assert set(got) == set(want)
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    model = nearest.fit(np.array([v for _, v in rows[: nearest.SAMPLE]], np.float64), len(rows), 5)
+    assert model["probes"] < len(model["centres"]) / 3
 
 
 def test_very_large_and_very_small_vectors_have_cosines(spark):
