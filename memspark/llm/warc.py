@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index (operator 4).
 
 Captures are written as WARC/1.1 records, each its own gzip member, so an archive is its members one after another and a
-record is read by archive, offset and length. Archives are kept as a table of members (archive, offset, length, member)
-in a folder that Spark reads and writes, wherever that is; ``export`` makes a plain .warc.gz of one.
+record is read by archive, offset and length. Each task writes one .warc.gz file to the shared folder, through whatever file system that
+is in, and gives back where its records are; only these narrow rows are moved. A record is read by a range read of its file.
 
 The index sorts the captures by their reversed-host URL key and id, and cuts them into compressed blocks of many lines.
 The first key of each block makes a sparse directory of at most ``DIRECTORY`` entries. A lookup searches the directory by
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -20,14 +21,17 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts, shared_folder
 
-#: Lines in a block at least, entries in the directory at most, characters of a key at most before its rest is hashed.
-LINES, DIRECTORY, KEY_CHARS = 3000, 1 << 16, 240
+#: Lines in a block at least, and entries in the directory at most.
+LINES, DIRECTORY = 3000, 1 << 16
+#: Bytes that are read of a file at once where records lie next to each other.
+READ = 8 << 20
 #: The time that records carry; the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 _NONE = -(1 << 63)
@@ -47,8 +51,7 @@ def url_key(url: str | None) -> str:
         key = "-" + url
     else:
         key = ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    key = key.replace("\n", "%0A").replace("\t", "%09")
-    return key if len(key) <= KEY_CHARS else key[:KEY_CHARS] + "#" + hashlib.sha1(key.encode()).hexdigest()
+    return key.replace("\n", "%0A").replace("\t", "%09")
 
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -83,11 +86,13 @@ def capture(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """The archives of pages, written to the shared folder: archive, offset, length, member, url_key, capture.
+    """Writes the archives of pages to the shared folder, and gives a row for each record: archive (the file), offset, length, url_key and capture.
 
     Of pages with equal payloads of at least least_bytes bytes, that with the largest page_id is a response and the others
-    revisit it; smaller payloads are all responses.
+    revisit it; smaller payloads are all responses. Each attempt of a task writes a file of its own, and the rows tell which files count;
+    a file holds one warcinfo record and those of its task's pages. Defined results are those of round_trip; no pages, no archives.
     """
+    folder = f"{shared_folder(pages.sparkSession)}/memspark-{uuid.uuid4().hex}/warc"
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     each = each.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     same = each.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -96,29 +101,36 @@ def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("revisit", F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"captures-{TaskContext.get().partitionId():06d}"
-        member = record("warcinfo", [("WARC-Record-ID", f"<urn:x-archive:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-        out, at = [(name, 0, len(member), member, "", None)], len(member)
-        for batch in batches:
+        context, out, at = TaskContext.get(), None, 0
+        name = f"captures-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
+        for batch in (x for whole in batches for x in parts(iter([whole]), 2, READ)):
+            found: list[tuple] = []
             for page_id, url, html, sha1, kept, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                member = capture(page_id, url, html.encode(), digest, kept, revisit)
-                out.append((name, at, len(member), member, url_key(url), _NONE if page_id is None else page_id))
+                if out is None:
+                    files, path = FileSystem.from_uri(folder)
+                    files.create_dir(path, recursive=True)
+                    out = files.open_output_stream(f"{path}/{name}", compression=None)
+                    out.write(info := record("warcinfo", [("WARC-Record-ID", f"<urn:x-archive:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    at = len(info)
+                member = capture(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), kept, revisit)
+                out.write(member)
+                found.append((f"{folder}/{name}", at, len(member), url_key(url), _NONE if page_id is None else page_id))
                 at += len(member)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARCHIVE)], names=_NAMES)
-            out = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 5, _ARCHIVE)], names=_NAMES)
+        if out is not None:
+            out.close()
 
-    schema = "archive string, offset long, length long, member binary, url_key string, capture long"
-    return cut(rows.select("page_id", "url", "html", "sha1", "kept", "revisit").mapInArrow(apply, schema), "archives")
+    schema = "archive string, offset long, length long, url_key string, capture long"
+    return cut(rows.select("page_id", "url", "html", "sha1", "kept", "revisit").mapInArrow(apply, schema), "records")
 
 
-_ARCHIVE = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
-_NAMES = ["archive", "offset", "length", "member", "url_key", "capture"]
+_ARCHIVE = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+_NAMES = ["archive", "offset", "length", "url_key", "capture"]
 
 
 def build_index(archives: DataFrame, lines: int = LINES) -> tuple[DataFrame, list[tuple[str, int, int]]]:
     """Blocks (block, data) in the shared folder, and the directory: (first url_key, first capture, block), in order."""
-    entries = archives.where("capture is not null").select("url_key", "capture", "archive", "offset", "length")
+    entries = archives.select("url_key", "capture", "archive", "offset", "length")
     lines = max(lines, -(-entries.count() // DIRECTORY))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +184,34 @@ def locate(blocks: DataFrame, directory: list[tuple[str, int, int]], wanted: Dat
     return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(find, "archive string, offset long, length long")
 
 
-def read(archives: DataFrame, located: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records at the located ranges, all from the archived bytes."""
+def ranges(rows: Iterator[tuple[str, int, int]]) -> Iterator[bytes]:
+    """The bytes at (archive, offset, length), by range reads. Records that follow one another in a file are read together, READ bytes or one record at a time."""
+    name, file, have, start = None, None, b"", 0
+    for archive, offset, length in rows:
+        if archive != name:
+            if file is not None:
+                file.close()
+            files, path = FileSystem.from_uri(archive)
+            name, file, have, start = archive, files.open_input_file(path), b"", 0
+            size = file.size()
+        if not start <= offset <= offset + length <= start + len(have):
+            start, have = offset, file.read_at(min(max(length, READ), size - offset), offset)
+        yield have[offset - start : offset - start + length]
+    if file is not None:
+        file.close()
+
+
+def read(located: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records at the located ranges (archive, offset, length), all from the archived bytes.
+
+    Ranges are sorted by file and offset and dealt evenly, so a task reads few files from one place on. A record that is damaged is an error.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for member in batch.column(0):
-                headers, block = parse(member.as_py())
+            for member in ranges(zip(*(c.to_pylist() for c in batch.columns))):
+                headers, block = parse(member)
                 http, _, payload = block.partition(b"\r\n\r\n")
                 size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
@@ -190,8 +222,8 @@ def read(archives: DataFrame, located: DataFrame) -> DataFrame:
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ranges = archives.select("archive", "offset", "member").join(located, ["archive", "offset"])
-    return ranges.select("member").mapInArrow(apply, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    sorted_ = located.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    return sorted_.mapInArrow(apply, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -203,14 +235,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     archives = write(pages, least_bytes)
     blocks, directory = build_index(archives)
-    return read(archives, locate(blocks, directory, archives.where("capture is not null").select("url_key", "capture")))
-
-
-def export(archives: DataFrame, archive: str, path: str) -> None:
-    """One archive as a .warc.gz file of its own."""
-    with open(path, "wb") as out:
-        for r in archives.where(F.col("archive") == archive).orderBy("offset").toLocalIterator():
-            out.write(r.member)
+    return read(locate(blocks, directory, archives.select("url_key", "capture")))
 
 
 #: The same rows from the table itself. A base32 digit is five bits: those of two hex digits, shifted.
