@@ -97,7 +97,7 @@ def test_neighbors_of_odd_vectors_are_exact_when_few(spark):
     rows = [(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(1, 60)]
     rows += [(0, [1.0] + [0.0] * 7), (100, [2.0] + [0.0] * 7), (101, [3.0] + [0.0] * 7), (102, [0.5] + [0.0] * 7), (103, None), (104, [0.0] * 8), (105, [float("nan")] * 8), (106, [None] * 8), (107, [float("inf")] * 8), (None, [1.0] * 8), (108, []), (101, [3.0] + [0.0] * 7)]
     got = search(spark, rows)
-    assert got[0][:3] == [100, 101, 102] and got[100][:3] == [0, 101, 102]
+    assert got[0][:4] == [100, 101, 101, 102] and got[100][:4] == [0, 101, 101, 102]
     assert got == brute(rows)
     assert search(spark, rows[:3]) == {} and search(spark, [(50, [1.0, 0.0]), (3, [0.0, 1.0])]) == {50: [3]}
     assert search(spark, []) == {}
