@@ -748,37 +748,50 @@ def run_totals(t):
     return evaluate.total(t("eval_results"), ["correct", "f1"]).withColumn("f1", F.round("f1", 4))
 
 
-# Phrases and what they mean at 2026-02-25 12:00:00.
-PHRASES = {
-    "what happened recently?": ("2026-02-18 12:00:00", "2026-02-25 12:00:00"), "plans for today": ("2026-02-25 00:00:00", "2026-02-25 12:00:00"),
-    "what did I do yesterday": ("2026-02-24 00:00:00", "2026-02-24 23:59:59"), "last week": ("2026-02-18 12:00:00", "2026-02-25 12:00:00"),
-    "in the last month": ("2026-01-26 12:00:00", "2026-02-25 12:00:00"), "last year": ("2025-02-25 12:00:00", "2026-02-25 12:00:00"),
-    "in December": ("2025-12-01 00:00:00", "2025-12-31 23:59:59"), "back in january": ("2026-01-01 00:00:00", "2026-01-31 23:59:59"),
-    "2026-01-15 to 2026-01-20": ("2026-01-15 00:00:00", "2026-01-20 23:59:59"), "on 2026-01-15": ("2026-01-15 00:00:00", "2026-01-15 23:59:59"), "no time at all": (None, None),
-}
-INSTANTS = {
-    "2023/05/25 (Thu) 14:30": "2023-05-25 14:30:00", "2023/05/25 14:30": "2023-05-25 14:30:00", "2023-05-25 14:30": "2023-05-25 14:30:00", "2023-05-25": "2023-05-25 23:59:59",
-    "2023/05/25": "2023-05-25 23:59:59", "2023-05-25T14:30:15Z": "2023-05-25 14:30:15", "2023-05-25T14:30:15+02:00": "2023-05-25 12:30:15", "soon": None,
-}
-
-
-def _values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else "'" + x + "'"
-    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM (VALUES {_values([(k, *v) for k, v in PHRASES.items()])}) t(phrase, start, finish)")
+def _at(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+#: Kinds of phrases of time; {d} and {e} are days, {m} a month's name.
+PHRASES = ("what happened recently?", "plans for today", "what did I do yesterday", "last week", "in the last month", "last year", "back in {m}", "{d} to {e}", "on {d}", "no time at all")
+#: What they mean to one who asks at noon of day o: SQL of start and end.
+_RANGES = (
+    ("n - INTERVAL 7 DAY", "n"), ("o", "n"), ("o - INTERVAL 1 DAY", "o - INTERVAL 1 SECOND"), ("n - INTERVAL 7 DAY", "n"), ("n - INTERVAL 30 DAY", "n"), ("n - INTERVAL 365 DAY", "n"),
+    ("m", "m + INTERVAL 1 MONTH - INTERVAL 1 SECOND"), ("o", "o + INTERVAL 4 DAY - INTERVAL 1 SECOND"), ("o", "o + INTERVAL 1 DAY - INTERVAL 1 SECOND"), ("NULL", "NULL"),
+)
+
+
+def _by_kind(at: int) -> str:
+    return "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {r[at]}" for i, r in enumerate(_RANGES)) + " END"
+
+
+@query(f"""SELECT o_orderkey, {_at(_by_kind(0))} AS start, {_at(_by_kind(1))} AS finish FROM (SELECT *, o + INTERVAL 12 HOUR AS n,
+    make_timestamp(CASE WHEN o_custkey % 12 + 1 <= month(o) THEN year(o) ELSE year(o) - 1 END, o_custkey % 12 + 1, 1, 0, 0, 0) AS m FROM (SELECT *, date_trunc('day', o_orderdate)::TIMESTAMP AS o FROM {{orders}}))""")
 def parse_temporal_phrase(t):
-    rows = t("region").sparkSession.createDataFrame([(p,) for p in PHRASES], "phrase string")
-    start, end = temporal.parse_phrase(F.col("phrase"), F.lit("2026-02-25 12:00:00").cast("timestamp_ntz"))
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
+    fill = {"{d}": F.date_format(day, "yyyy-MM-dd"), "{e}": F.date_format(F.date_add(day, 3), "yyyy-MM-dd"), "{m}": F.array(*map(F.lit, [m.capitalize() for m in temporal.MONTHS]))[(F.col("o_custkey") % 12).cast("int")]}
+    said = F.array(*map(F.lit, PHRASES))[(F.col("o_orderkey") % 10).cast("int")]
+    for mark, value in fill.items():
+        said = F.replace(said, F.lit(mark), value)
+    rows = t("orders").select("o_orderkey", said.alias("phrase"), (day + F.expr("INTERVAL '12' HOUR")).alias("now"))
+    start, end = temporal.parse_phrase(F.col("phrase"), F.col("now"))
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return rows.select("phrase", shown(start).alias("start"), shown(end).alias("finish"))
+    return rows.select("o_orderkey", shown(start).alias("start"), shown(end).alias("finish"))
+
+
+#: Forms of a reference date, as patterns of Spark, and SQL of what each means of day o with its time of day x.
+INSTANTS = (
+    ("yyyy/MM/dd '(Thu)' HH:mm", "o + x"), ("yyyy/MM/dd HH:mm", "o + x"), ("yyyy-MM-dd HH:mm", "o + x"), ("yyyy-MM-dd", "o + INTERVAL 1 DAY - INTERVAL 1 SECOND"), ("yyyy/MM/dd", "o + INTERVAL 1 DAY - INTERVAL 1 SECOND"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "o + x"), ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "o + x - INTERVAL 2 HOUR"), ("'soon'", "NULL"),
+)
 
 
-@query(f"SELECT * FROM (VALUES {_values(list(INSTANTS.items()))}) t(reference, instant)")
+@query(f"SELECT o_orderkey, {_at('CASE o_orderkey % 8 ' + ' '.join(f'WHEN {i} THEN {r}' for i, (_, r) in enumerate(INSTANTS)) + ' END')} AS instant FROM (SELECT *, date_trunc('day', o_orderdate)::TIMESTAMP AS o, to_minutes((o_custkey % 1440)::INT) AS x FROM {{orders}})")
 def parse_reference_instant(t):
-    rows = t("region").sparkSession.createDataFrame([(p,) for p in INSTANTS], "reference string")
-    return rows.select("reference", F.date_format(temporal.parse_instant(F.col("reference")), "yyyy-MM-dd HH:mm:ss").alias("instant"))
+    at = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_custkey") % 1440).cast("int"))
+    kind = F.col("o_orderkey") % len(INSTANTS)
+    said = F.coalesce(*[F.when(kind == i, F.date_format(at, form)) for i, (form, _) in enumerate(INSTANTS)])
+    return t("orders").select("o_orderkey", F.date_format(temporal.parse_instant(said), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
 def _case(x: str, labels: list[str]) -> str:
@@ -815,7 +828,7 @@ def mock_embedding(t):
     return t("benchmark").select("item_id", vector.mock_embedding(F.col("text"), 16).alias("embedding"))
 
 
-@query()
+@query("""SELECT item_id, '{"id": ' || item_id || ', "text": "a } b"}' AS found FROM benchmark""")
 def json_salvage(t):
     wrapped = F.concat(F.lit('Sure:\n```json\n{"id": '), F.col("item_id"), F.lit(', "text": "a } b"}\n``` done'))
     return t("benchmark").select("item_id", text.json_salvage(wrapped).alias("found"))
@@ -828,18 +841,34 @@ def retain_end_to_end(t):
     return retain(t("documents").select(F.col("doc_id"), (F.col("doc_id") % 4).alias("bank_id"), "text"))
 
 
-@query()
+def _scoped_sql(networks: str) -> str:
+    """A recall over some networks within 512 tokens: query_id, fact_id, rank."""
+    scope = f"f.network IN ({networks})"
+    seeds = _activation_sql().replace("ON f.bank_id = q.bank_id WHERE true", f"ON f.bank_id = q.bank_id WHERE {scope}")
+    words = f"SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) - 1 AS rank, source FROM ({_KEYWORD_SQL}) WHERE fact_id IN (SELECT fact_id FROM {{facts}} f WHERE {scope})"
+    near = _TEMPORAL_SQL.replace("WHERE (temporal_start IS NULL", f"WHERE {scope} AND (temporal_start IS NULL")
+    channels = f"{seeds}, ch AS (SELECT * FROM ({_semantic_sql(40, scope)}) UNION ALL SELECT * FROM ({words}) UNION ALL SELECT * FROM ({_GRAPH}) UNION ALL SELECT * FROM ({near}))"
+    return f"SELECT query_id, fact_id, rank FROM ({channels}{_FUSED[len(_CHANNELS):]} {_BUDGETED.replace('<= 4096', '<= 512')})"
+
+
+@query(f"""WITH k AS (SELECT *, 0 AS call, 'search_observations' AS tool FROM ({_scoped_sql("'observation'")}) UNION ALL SELECT *, 1, 'recall' FROM ({_scoped_sql("'world', 'experience', 'opinion'")})),
+  m AS (SELECT *, call = min(call) OVER (PARTITION BY query_id, fact_id) AS fresh FROM k)
+  SELECT query_id, call, tool, count(*) AS found, count(*) FILTER (fresh) AS new, count(*) FILTER (fresh AND rank < 3) AS cited FROM m GROUP BY 1, 2, 3""")
 def reflect_trace(t):
     from memspark.plans.engine import reflect
 
     return reflect(_now_queries(t), t("facts"), t("graph_links"), recall.inverted_index(t("facts"), _WORDS), _WORDS)
 
 
-@query()
+@query(f"""SELECT bank_id, batch, 'create' AS action, evidence_ids, entity_ids, {_at('low')} AS first, {_at('high')} AS last, marked FROM
+    (SELECT bank_id, batch, string_agg(fact_id::VARCHAR, ',' ORDER BY fact_id) AS evidence_ids, min(temporal_start) AS low, max(temporal_end) AS high, count(*) AS marked FROM {{batch_queries}} GROUP BY 1, 2)
+    JOIN (SELECT bank_id, batch, string_agg(entity_id::VARCHAR, ',' ORDER BY entity_id) AS entity_ids FROM (SELECT DISTINCT b.bank_id, b.batch, e.entity_id FROM {{batch_queries}} b JOIN {{fact_entities}} e ON e.fact_id = b.fact_id) GROUP BY 1, 2) USING (bank_id, batch)""")
 def consolidation_actions(t):
     from memspark.plans.engine import consolidate as plan
 
-    return plan(t("facts"), t("fact_entities"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return plan(t("facts"), t("fact_entities")).select("bank_id", "batch", "action", ids("evidence_ids"), ids("entity_ids"), shown("temporal_start").alias("first"), shown("temporal_end").alias("last"), "marked")
 
 
 def stream_consolidation_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -849,3 +878,9 @@ def stream_consolidation_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_consolidation_trigger"] = stream_consolidation_trigger
+ORACLES["stream_consolidation_trigger"] = fixtures.duckdb("""WITH RECURSIVE f AS (SELECT bank_id, (epoch_us(created_at) // 1000000)::DOUBLE AS second, network IN ('world', 'experience') AND consolidated_at IS NULL AS open FROM {facts}),
+  s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY second, open) AS pos FROM f),
+  z AS (SELECT DISTINCT bank_id, 0::BIGINT AS pos, 0::BIGINT AS waiting, -1e18::DOUBLE AS last, false AS ran, 0::BIGINT AS seen FROM f
+    UNION ALL SELECT bank_id, pos, CASE WHEN ran AND seen >= 32 THEN 0 ELSE seen END, CASE WHEN ran THEN second ELSE last END, ran, seen FROM
+      (SELECT s.bank_id, s.pos, s.second, z.last, z.waiting + s.open::INT AS seen, s.second - z.last >= 30 AS ran FROM z JOIN s ON s.bank_id = z.bank_id AND s.pos = z.pos + 1))
+  SELECT bank_id, last AS evaluated_at, seen AS waiting, seen >= 32 AS due FROM z WHERE ran""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memspark.operators.pairs import shared_folder
+
 #: Unconsolidated facts that make a bank due, and seconds after an evaluation in which none follows.
 MIN_FACTS, COOLDOWN = 32, 30.0
 
@@ -17,11 +18,11 @@ DECISIONS = "bank_id long, evaluated_at double, waiting long, due boolean"
 
 
 def decide(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A row for each evaluation of a bank. Facts (second, open) come in order of time; an evaluation within the cooldown of
+    """A row for each evaluation of a bank. Facts (second, open) come in order of time, those that aren't open first within a second; an evaluation within the cooldown of
     the one before doesn't happen, one below the threshold restarts it all the same, and one that is due empties the count."""
     waiting, last = state.get if state.exists else (0, float("-inf"))
     out = []
-    facts = pd.concat(list(rows)).sort_values("second")
+    facts = pd.concat(list(rows)).sort_values(["second", "open"], kind="stable")
     for second, open_ in zip(facts["second"], facts["open"]):
         waiting += int(open_)
         if second - last < COOLDOWN:
@@ -42,7 +43,7 @@ def trigger(facts: DataFrame) -> DataFrame:
 def replay(facts: DataFrame, folder: str | None = None) -> DataFrame:
     """The decisions over a table of facts, replayed as a stream that ends with its input."""
     spark = facts.sparkSession
-    folder = folder or (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-")).rstrip("/") + f"/replay-{pd.Timestamp.now().value}"
+    folder = folder or f"{shared_folder(spark)}/replay-{pd.Timestamp.now().value}"
     second = F.datediff("created_at", F.lit("1970-01-01").cast("date")) * 86400 + F.hour("created_at") * 3600 + F.minute("created_at") * 60 + F.second("created_at")
     open_ = F.col("network").isin("world", "experience") & F.col("consolidated_at").isNull()
     facts.select("bank_id", second.cast("double").alias("second"), open_.alias("open")).write.parquet(f"{folder}/in")

@@ -93,3 +93,29 @@ def test_chunks_cover_a_text_at_characters(value, most, overlap):
     for a, b in at:
         data[a:b].decode()
     assert "".join(c["content"] for c in resolve.chunks_of("", 5, 1)) == ""
+
+
+# Phrases and what they mean at 2026-02-25 12:00:00, and reference dates and their instants.
+PHRASES = {
+    "what happened recently?": ("2026-02-18 12:00:00", "2026-02-25 12:00:00"), "plans for today": ("2026-02-25 00:00:00", "2026-02-25 12:00:00"),
+    "what did I do yesterday": ("2026-02-24 00:00:00", "2026-02-24 23:59:59"), "in the last month": ("2026-01-26 12:00:00", "2026-02-25 12:00:00"), "last year": ("2025-02-25 12:00:00", "2026-02-25 12:00:00"),
+    "in December": ("2025-12-01 00:00:00", "2025-12-31 23:59:59"), "back in january": ("2026-01-01 00:00:00", "2026-01-31 23:59:59"),
+    "2026-01-15 to 2026-01-20": ("2026-01-15 00:00:00", "2026-01-20 23:59:59"), "on 2026-01-15": ("2026-01-15 00:00:00", "2026-01-15 23:59:59"), "no time at all": (None, None),
+}
+INSTANTS = {
+    "2023/05/25 (Thu) 14:30": "2023-05-25 14:30:00", "2023/05/25 14:30": "2023-05-25 14:30:00", "2023-05-25": "2023-05-25 23:59:59", "2023/05/25": "2023-05-25 23:59:59",
+    "2023-05-25T14:30:15Z": "2023-05-25 14:30:15", "2023-05-25T14:30:15+02:00": "2023-05-25 12:30:15", "soon": None,
+}
+
+
+def test_phrases_and_instants(spark):
+    from pyspark.sql import functions as F
+
+    from memspark.functions import temporal
+
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    start, end = temporal.parse_phrase(F.col("x"), F.lit("2026-02-25 12:00:00").cast("timestamp_ntz"))
+    got = spark.createDataFrame([(p,) for p in PHRASES], "x string").select("x", shown(start).alias("a"), shown(end).alias("b")).collect()
+    assert {r.x: (r.a, r.b) for r in got} == PHRASES
+    got = spark.createDataFrame([(p,) for p in INSTANTS], "x string").select("x", shown(temporal.parse_instant(F.col("x"))).alias("a")).collect()
+    assert {r.x: r.a for r in got} == INSTANTS
