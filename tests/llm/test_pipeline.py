@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 from memspark.llm import common, pieces, queries
@@ -32,6 +34,29 @@ def test_stages_one_by_one(spark, tmp_path):
     assert [r.text for r in kept["pieces"]] and pieces.load(queries.VOCABULARY)
 
 
+def odd_documents(spark):
+    near = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, near, "en", "a", 1), (2, near + " more", None, None, None), (2, near + " more", None, None, None), (None, "alone here with some words", "en", "a", 2), (5, None, "en", "b", 0), (6, "", None, "b", 0), (7, " \t", "x", None, 3), (8, "long " * 60_000, "en", "a", 4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return table.withColumns({"KEPT": F.lit("k"), "__first": F.lit(1), "Size": F.lit(2), "score": F.lit("s")})
+
+
+def test_stages_of_odd_rows_and_of_nothing(spark, tmp_path):
+    """Nulls in any column, repeated rows, an empty and a long text, clashing names, no labels, and no rows."""
+    spark.createDataFrame([(1, 1, None), (None, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        now, ids = docs, {}
+        for name, stage in corpus_pipeline.STAGES:
+            now = common.cut(stage(spark, now, str(tmp_path)), name.replace(" ", "-"))
+            assert now.columns[: len(docs.columns)] == docs.columns
+            ids[name] = sorted((r.doc_id for r in now.select("doc_id").collect()), key=str)
+        if docs.isEmpty():
+            assert not any(ids.values())
+        else:
+            assert ids["toxicity"] == sorted([1, 2, 2, None, 5, 6, 7, 8], key=str) and ids["near duplicates"] == sorted([1, None, 5, 8], key=str)
+            assert 5 not in ids["mix sources"] and {1, 8} & set(ids["mix sources"])
+
+
 def test_entry_has_every_query():
     names = __spark_entry__.queries()
     assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
