@@ -105,6 +105,21 @@ def test_what_says_that_it_is_noise_goes_and_articles_stay(spark):
     assert {r.text for r in out} == {"T < x\nOne two\nThree\na\nb"} and all(r.n_chars == len(r.text) for r in out)
 
 
+@pytest.mark.parametrize("mark", ["ad content", "sidebar content", "footer text", "related post", "box with-ads", "related-story box", "post-comments", "search-box", "tags-list", "social links-share", "promo-text article"])
+def test_what_a_class_says_is_noise_goes(mark):
+    assert [t for _, _, t in style_tree.blocks(f"<p>a<div class='{mark}'>gone</div><p>b")] == ["a", "b"]
+
+
+@pytest.mark.parametrize("mark", ["tags-guide", "search-story", "story", "box content", "content with-sidebar", "main has-toc", "post tags-guide", "post category-search", "share-of-voice"])
+def test_what_a_class_says_is_about_something_stays(mark):
+    assert [t for _, _, t in style_tree.blocks(f"<p>a<div class='{mark}'>kept</div><p>b")] == ["a", "kept", "b"]
+
+
+def test_a_page_that_is_one_form():
+    page = "<form action=x><div>menu</div><input><article class=post><p>text<form>no<input></form><p>more</article><div class=content>main<nav>gone</nav></div><p>tail</form>"
+    assert [t for _, _, t in style_tree.blocks(page)] == ["text", "more", "main"]
+
+
 @given(st.text(alphabet="<>/ap!-\"'= &;#b", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_any_markup_is_read(source):
