@@ -5,7 +5,8 @@ A document is its set of different shingles, of five lower-cased words. Two sets
 their similarity. Bands of samples are keys: sets that are alike enough miss every common key with a probability of MISS at most.
 All samples are folded into an odd sketch, a bitmap that tells of each bit whether an odd number of samples falls on it. Samples that
 two sets have in common cancel in the exclusive or of their bitmaps, so its population count tells how many differ, most precisely for
-high similarities. A candidate is verified by its sizes and sketches, and confirmed on the full sets.
+high similarities. A candidate is verified by its sizes and sketches. Those that pass are held to the odd sketch of their whole sets, whose
+difference is never larger than that of the sets, so it rules out no link, and the others are confirmed on the full sets.
 
 Equal sets are one node. A key may hold a third of all nodes, so pairs of a key are never listed: first each node is compared with one
 other, of the least nodes of its keys that with the most keys in common. What that links is one component, and only nodes of a key that
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +86,29 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
 
 
+def whole_sketch(x: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a whole set: about as many bits as shingles, a power of two, 512 at least; half of them, folded, are the shorter bitmap."""
+    n = 64 * max(8, 1 << max(0, -(-len(x) // 64) - 1).bit_length())
+    return np.packbits((np.bincount((mixed(x) % np.uint64(n)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def differences(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of rows p and q differ, at the length of the shorter one; row i's are sizes[i] longs of values from starts[i]."""
+    out = np.zeros(len(p), np.int64)
+    for a, b in set(zip(sizes[p].tolist(), sizes[q].tolist())):
+        at = np.flatnonzero((sizes[p] == a) & (sizes[q] == b))
+        for lo in range(0, len(at), step := max(1, (1 << 20) // max(a, b))):
+            one = at[lo : lo + step]
+            x, y = values[starts[p[one]][:, None] + np.arange(a)], values[starts[q[one]][:, None] + np.arange(b)]
+            while x.shape[1] != y.shape[1]:
+                if x.shape[1] > y.shape[1]:
+                    x, y = y, x
+                half = y.shape[1] // 2
+                y = y[:, :half] ^ y[:, half:]
+            out[one] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The different hashes of a text's shingles, sorted; empty without words."""
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((text or "").encode(), SHINGLE)]))
@@ -99,14 +124,14 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def signed(docs: DataFrame, n_bands: int, mark: Callable[[str | None], int] | None = None) -> DataFrame:
-    """doc_id, at (a hash of the text), digest (of the set), n (its size), sketch, keys and the mark of each row of docs; without words no sketch and no keys."""
+    """doc_id, at (a hash of the text), digest (of the set), n (its size), sketch, whole, keys and the mark of each row of docs; without words no sketches and no keys."""
 
     rows = ROWS
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            digests, sizes, sketches, all_keys, marks = [], [], [], [], []
+            digests, sizes, sketches, wholes, all_keys, marks = [], [], [], [], [], []
             for t in (s.as_py() for s in batch.column(2)):
                 x = shingle_set(t)
                 marks.append(0 if mark is None else mark(t))
@@ -114,11 +139,12 @@ def signed(docs: DataFrame, n_bands: int, mark: Callable[[str | None], int] | No
                 digests.append(_digest(x))
                 sizes.append(len(x))
                 sketches.append(none if low is None else odd_sketch(low))
+                wholes.append(none if low is None else whole_sketch(x))
                 all_keys.append(none if low is None else keys(low, rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(sketches), _lists(all_keys), pa.array(marks, pa.int64())], names=["doc_id", "at", "digest", "n", "sketch", "keys", "mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(sketches), _lists(wholes), _lists(all_keys), pa.array(marks, pa.int64())], names=["doc_id", "at", "digest", "n", "sketch", "whole", "keys", "mark"])
 
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text")
-    return bare.mapInArrow(apply, "doc_id long, at long, digest binary, n long, sketch array<long>, keys array<long>, mark long")
+    return bare.mapInArrow(apply, "doc_id long, at long, digest binary, n long, sketch array<long>, whole array<long>, keys array<long>, mark long")
 
 
 def _full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -173,11 +199,14 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
     right = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: F.struct(F.xxhash64("key", i, block("wide")).alias("tile"), F.lit(False).alias("left")))
     none = F.array().cast("array<struct<tile: bigint, left: boolean>>")
     dealt = rows.select("node", "root", "rest", F.explode(F.concat(F.coalesce(left, none), right)).alias("x")).select("x.*", "node", "root", "rest")
-    dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").select("tile", "left", "node", "root", "rest", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(BITS // 64)))
-
-    def compare(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tile, left, node, root, rest, n = part[:6]
-        sketch = np.stack(part[6:], 1).view(np.uint64)
+    dealt = dealt.join(nodes.select("node", "n", "sketch", "whole"), "node").select("tile", "left", "node", "root", "rest", "n", "sketch", "whole")
+
+    def compare(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        tile, left, node, root, rest, n, sketches, wholes = (part.column(i).combine_chunks() for i in range(8))
+        tile, left, node, root, rest, n = (c.to_numpy(zero_copy_only=False) for c in (tile, left, node, root, rest, n))
+        sketch = sketches.flatten().to_numpy().view(np.uint64).reshape(len(tile), -1)
+        values, sizes = wholes.flatten().to_numpy().view(np.uint64), pc.list_value_length(wholes).to_numpy()
+        starts = np.cumsum(sizes) - sizes
         for at in np.split(np.arange(len(tile)), np.flatnonzero(tile[1:] != tile[:-1]) + 1):
             x, y = at[left[at]], at[~left[at]]
             for lo in range(0, len(x), 256):
@@ -190,6 +219,9 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
                 for k in range(sketch.shape[1]):
                     bits += np.bitwise_count(sketch[i[p], k] ^ sketch[y[q], k])
                 p, q, bits = (v[bits <= most] for v in (p, q, bits))
+                both = n[i[p]] + n[y[q]]
+                close = differences(values, starts, sizes, i[p], y[q]) * (of + alike) <= both * (of - alike)
+                p, q, bits = p[close], q[close], bits[close]
                 if nearest:
                     order = np.lexsort((node[y[q]], bits, p))
                     order = order[np.unique(p[order], return_index=True)[1]]
@@ -198,15 +230,16 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
                     yield pa.RecordBatch.from_arrays([pa.array(node[i[p]]), pa.array(node[y[q]]), pa.array(bits)], names=["x", "y", "bits"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: pa.Table | None = None
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            kept = now if kept is None else [np.concatenate([k, c]) for k, c in zip(kept, now)]
-            whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0  # the last tile may go on in the next batch
+            now = pa.Table.from_batches([batch])
+            kept = now if kept is None else pa.concat_tables([kept, now])
+            tile = kept.column(0).to_numpy()
+            whole = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0  # the last tile may go on in the next batch
             if whole:
-                yield from compare([x[:whole] for x in kept])
-                kept = [x[whole:] for x in kept]
-        if kept is not None and len(kept[0]):
+                yield from compare(kept.slice(0, whole))
+                kept = kept.slice(whole)
+        if kept is not None and kept.num_rows:
             yield from compare(kept)
 
     met = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(apply, "x long, y long, bits int")
@@ -216,7 +249,7 @@ def _apart(shared: DataFrame, nodes: DataFrame, roots: DataFrame, alike: int, of
 
 
 def links(docs: DataFrame, nodes: DataFrame, alike: int, of: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Edges (a, b) between nodes (node, digest, at, n, sketch, keys): within a component as connected as all pairs of sets that are alike enough.
+    """Edges (a, b) between nodes (node, digest, at, n, sketch, whole, keys): within a component as connected as all pairs of sets that are alike enough.
 
     more may name other candidates (a, b) of nodes, to be confirmed at first.
     """
@@ -258,7 +291,7 @@ def classes(docs: DataFrame, alike: int = ALIKE, of: int = OF, mark: Callable[[s
     mark gives a number for each text, which nodes carry for more (see links).
     """
     rows = cut(signed(docs, bands(alike, of), mark), "signed")
-    order = F.struct("at", "mark", "sketch", "keys")
+    order = F.struct("at", "mark", "sketch", "whole", "keys")
     nodes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min(order).alias("one")).select("digest", "n", "one.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = components(links(docs.select("text"), nodes, alike, of, more))

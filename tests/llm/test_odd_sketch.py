@@ -96,6 +96,20 @@ def test_sketches_let_all_links_pass():
                 assert np.intersect1d(odd_sketch.keys(a), odd_sketch.keys(b)).size
 
 
+def test_whole_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    rng, rows, want = np.random.default_rng(0), [], []
+    for n in (1, 70, 500, 520, 1100, 3000):
+        for share in (0.8, 0.95, 1.0):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: int(share * len(x))], rng.integers(0, 2**63, int((1 - share) * n) + n // 20).astype(np.uint64)]))
+            rows += [odd_sketch.whole_sketch(x), odd_sketch.whole_sketch(y)]
+            want.append(len(np.setxor1d(x, y)))
+    sizes = np.array([len(r) for r in rows])
+    p = np.arange(0, len(rows), 2)
+    got = odd_sketch.differences(np.concatenate(rows), np.cumsum(sizes) - sizes, sizes, p, p + 1)
+    assert (got <= want).all() and (got > np.array(want) / 2).any() and len(set(sizes)) > 3 and (sizes[p] != sizes[p + 1]).any()
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
