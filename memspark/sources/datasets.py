@@ -64,3 +64,36 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+#: Files of a run, beside each other in its folder.
+RESULTS, SUMMARY, DEBUG = "results", "summary", "debug"
+
+
+def write_run(results: DataFrame, usage: DataFrame, path: str, total_time_s: float, debug: DataFrame | None = None) -> None:
+    """A run's folder: results (question_id, category, conversation, correct, f1 and others) in the order of reports, a summary of one JSON
+    object, and, where given, debug records (question_id and others) beside them.
+
+    The summary has the time, the overall counts and means, those of each category and conversation, and usage (stage and sums) by stage.
+    """
+    from memspark.operators import evaluate
+
+    ranked = evaluate.ordered(results)
+    write_results(ranked.repartitionByRange("place").sortWithinPartitions("place").drop("place"), f"{path}/{RESULTS}")
+    if debug is not None:
+        write_results(debug, f"{path}/{DEBUG}")
+    level = F.when(F.col("category").isNotNull(), "per_category").when(F.col("conversation").isNotNull(), "per_conversation").otherwise("overall")
+    means = [c for c in evaluate.report(results).columns if c not in ("category", "conversation")]
+    report = evaluate.report(results.fillna("", ["category", "conversation"])).select(level.alias("level"), F.coalesce("category", "conversation", F.lit("")).alias("name"), F.struct(*means).alias("row"))
+    # a summary is one small object: a row for each category, conversation and stage
+    lists = report.groupBy().pivot("level", ["overall", "per_category", "per_conversation"]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "row")))))
+    stages = usage.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct(*[c for c in usage.columns if c != "stage"]).alias("row"))))).alias("stage_usage"))
+    summary = lists.crossJoin(stages).select(F.lit(float(total_time_s)).alias("total_time_s"), F.element_at("overall", "").alias("overall"), "per_category", "per_conversation", "stage_usage")
+    summary.coalesce(1).write.json(f"{path}/{SUMMARY}")
+
+
+def read_summary(spark: SparkSession, path: str) -> dict:
+    """A run's summary."""
+    import json
+
+    return json.loads(spark.read.text(f"{path}/{SUMMARY}").first().value)

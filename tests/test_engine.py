@@ -221,3 +221,16 @@ def test_small_rules(spark):
     changes = spark.createDataFrame([(1, "z", [1, 3], [4], 3, None)], "observation_id long, new_content string, new_evidence_ids array<long>, new_entity_ids array<long>, new_temporal_start int, new_temporal_end int")
     assert {r.observation_id: tuple(r)[1:] for r in engine.apply_updates(observations, changes).collect()} == {1: ("z", [1, 3], [2, 4], 3, 6), 2: ("b", [], [], None, None)}
     assert text.STOP_WORDS and datasets
+
+
+def test_a_run_is_written_with_its_summary(spark, tmp_path):
+    rows = [("q2", "b", "s1", 1, 1.0, 0.5), ("q1", "a", "s1", 0, 0.0, None), ("q3", "a", "s2", 1, 0.5, 1.0)]
+    results = spark.createDataFrame(rows, "question_id string, category string, conversation string, correct int, f1 double, evidence_recall double")
+    calls = spark.createDataFrame([("recall", 10.0, 0, 5), ("recall", 2.0, 1, 7), ("judge", 1.0, 0, 1)], "stage string, tokens double, error int, latency_ms long")
+    datasets.write_run(results, evaluate.usage(calls), str(tmp_path / "run"), 12.5, results.select("question_id", F.lit("why").alias("note")))
+    summary = datasets.read_summary(spark, str(tmp_path / "run"))
+    assert summary["total_time_s"] == 12.5 and summary["overall"] == {"n": 3, "correct": 2, "accuracy": pytest.approx(0.666667), "mean_f1": 0.5, "mean_evidence_recall": 0.5}
+    assert summary["per_category"]["a"]["n"] == 2 and set(summary["per_conversation"]) == {"s1", "s2"} and summary["stage_usage"]["recall"] == {"calls": 2, "tokens": 12.0, "errors": 1, "latency_ms": 12}
+    back = datasets.read_results(spark, str(tmp_path / "run" / "results"), "question_id string, conversation string")
+    assert sorted(r.question_id for r in back.collect()) == ["q1", "q2", "q3"]
+    assert datasets.read_results(spark, str(tmp_path / "run" / "debug"), "question_id string, note string").where("note = 'why'").count() == 3
