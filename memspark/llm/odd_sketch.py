@@ -313,3 +313,23 @@ def near_duplicates(docs: DataFrame, alike: int = ALIKE, of: int = OF) -> DataFr
     named = least.join(least.groupBy("root").agg(F.min("least").alias("named")), "root").select("digest", "named")
     out = rows.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("named")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same rows from the table itself, by all shared shingles of distinct sets.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM d),
+n AS MATERIALIZED (SELECT s, min(r) AS node, min(doc_id) AS least, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT node, n, unnest(s) AS shingle FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.node < b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+u AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT node, node AS low FROM n UNION SELECT u.b, c.low FROM c JOIN u ON u.a = c.node),
+k AS MATERIALIZED (SELECT node, min(low) AS root FROM c GROUP BY node),
+m AS MATERIALIZED (SELECT k.root, min(n.least) AS component_id FROM k JOIN n ON n.node = k.node GROUP BY k.root),
+o AS (SELECT g.doc_id, cast(len(g.s) AS BIGINT) AS n_shingles, CASE WHEN len(g.s) = 0 THEN g.doc_id ELSE m.component_id END AS component_id
+    FROM g LEFT JOIN n ON n.s = g.s LEFT JOIN k ON k.node = n.node LEFT JOIN m ON m.root = k.root)
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""

@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op8_chat": chat.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_filter_audit": audit.SQL}
+    return {"op4_warc": warc.SQL, "op8_chat": chat.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_odd_sketch": odd_sketch.SQL, "op13_filter_audit": audit.SQL}
