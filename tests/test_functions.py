@@ -119,3 +119,16 @@ def test_phrases_and_instants(spark):
     assert {r.x: (r.a, r.b) for r in got} == PHRASES
     got = spark.createDataFrame([(p,) for p in INSTANTS], "x string").select("x", shown(temporal.parse_instant(F.col("x"))).alias("a")).collect()
     assert {r.x: r.a for r in got} == INSTANTS
+
+
+def test_dates_before_texts_and_overlap(spark):
+    from pyspark.sql import functions as F
+
+    from memspark.functions import temporal
+    from memspark.operators import recall
+
+    row = spark.range(1).select(
+        temporal.dated(F.lit("x"), F.lit("2023/05/25")).alias("a"), temporal.dated(F.lit("x"), F.lit(None).cast("string")).alias("b"),
+        recall.lexical_overlap(F.lit("red cat"), F.lit("A Red  cat sat")).alias("all"), recall.lexical_overlap(F.lit("red cat"), F.lit("red dog")).alias("half"), recall.lexical_overlap(F.lit("red cat"), F.lit("")).alias("none"),
+    ).first()
+    assert row.a == "[Date: 2023/05/25]\nx" and row.b == "x" and row.all > row.half == 0.5 > row.none > 0
